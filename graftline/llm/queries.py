@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graftline.llm.bpe import encode_table
+from graftline.llm.mix import Mix
+from graftline.llm.split import split_table
 from graftline.llm.topn import top_n_per_group
 from graftline.session import table
 
@@ -26,4 +29,54 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_topn(spark, sf_dir).select("edge1", "edge2")
 
 
-QUERIES = {"p1_found": p1_found, "p1_topn": p1_topn}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose encoding is the empty list: null and empty texts."""
+    return p6_ids(spark, sf_dir).filter(F.size("ids") == 0).select("doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with shard and position."""
+    return _mix(spark, sf_dir).rows
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked and actual share of every source of the targets."""
+    return _mix(spark, sf_dir).report
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that can't reach their share of all tokens with the repeats they are allowed."""
+    return _mix(spark, sf_dir).report.filter("short").select("source")
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 512 tokens of every document, overlapping by 32."""
+    return split_table(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 32)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be cut: each of them has exactly one second piece."""
+    pieces = split_table(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 32, keep_text=False)
+    return pieces.filter("piece = 1").select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_topn": p1_topn,
+    "p6_found": p6_found,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_pieces": p8_pieces,
+}

@@ -11,4 +11,5 @@ _ITEMS = f"""
 SQL = {
     "p1_topn": f"{_ITEMS} select edge1, edge2, distance, rank from ranked where rank <= 10",
     "p1_found": f"{_ITEMS} select edge1, edge2 from ranked where rank <= 10",
+    "p6_found": "select doc_id from documents where text is null or length(text) = 0",
 }
