@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from graftline.llm.bpe import encode_table
 from graftline.llm.mix import Mix
+from graftline.llm.quantiles import merge_sketches, read_sketches, sketch_table
 from graftline.llm.split import split_table
 from graftline.llm.topn import top_n_per_group
-from graftline.session import table
+from graftline.session import materialize, table
 
 
 def usable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,46 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_topn(spark, sf_dir).select("edge1", "edge2")
 
 
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+# rank error allowed for, as a share of the ranks above the value; several times what is measured
+RANK_MARGIN = 0.05
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = usable_lines(spark, sf_dir).filter("i is not null and j is not null")
+    return sketch_table(lines.withColumn("day", F.to_date("logged_at")), ["i", "j", "day"], "distance")
+
+
+def p5_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of every (i, j) and day; lines without a date form a day of their own."""
+    return read_sketches(_daily(spark, sf_dir), ["i", "j", "day"], QUANTILES)
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of every (i, j), from the merged sketches of its days."""
+    return read_sketches(merge_sketches(_daily(spark, sf_dir), ["i", "j"]), ["i", "j"], QUANTILES)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with a median below 0.25 and a 90th percentile above it.
+
+    The median is below 0.25 if at least half the values are, and the 90th percentile above it if fewer than
+    nine tenths are not. The sketches give both counts within their error and settle the keys where that is
+    enough; the lines of the other keys are counted.
+    """
+    keys = ["i", "j"]
+    merged = merge_sketches(_daily(spark, sf_dir), keys)
+    ranks = read_sketches(merged, keys, {}, {"below": (0.25, False), "upto": (0.25, True)})
+    need, most = F.ceil(F.col("n") * 0.5), F.col("n") * 0.9
+    slack = {c: F.when(F.col("exact"), 0.0).otherwise(RANK_MARGIN * (F.col("n") - F.col(c)) + 1) for c in ("below", "upto")}
+    yes = (F.col("below") - slack["below"] >= need) & (F.col("upto") + slack["upto"] < most)
+    no = (F.col("below") + slack["below"] < need) | (F.col("upto") - slack["upto"] >= most)
+    ranks = materialize(ranks.select(*keys, F.when(yes, 1).when(no, -1).otherwise(0).alias("state")), "ranks")
+    lines = usable_lines(spark, sf_dir).join(ranks.filter("state = 0").select(*keys), keys)
+    exact = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("distance") < 0.25).cast("long")).alias("below"), F.sum((F.col("distance") <= 0.25).cast("long")).alias("upto"))
+    return ranks.filter("state = 1").select(*keys).unionByName(exact.filter((F.col("below") >= need) & (F.col("upto") < most)).select(*keys))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -72,6 +113,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_topn": p1_topn,
+    "p5_found": p5_found,
+    "p5_daily": p5_daily,
+    "p5_percentiles": p5_percentiles,
     "p6_found": p6_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,

@@ -11,5 +11,8 @@ _ITEMS = f"""
 SQL = {
     "p1_topn": f"{_ITEMS} select edge1, edge2, distance, rank from ranked where rank <= 10",
     "p1_found": f"{_ITEMS} select edge1, edge2 from ranked where rank <= 10",
+    "p5_found": f"""
+        select i, j from glove_sampl where i is not null and j is not null and {USABLE} group by i, j
+        having quantile_disc(distance + 0.0, 0.5) < 0.25 and quantile_disc(distance + 0.0, 0.9) > 0.25""",
     "p6_found": "select doc_id from documents where text is null or length(text) = 0",
 }
