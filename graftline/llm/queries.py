@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graftline.llm.bpe import encode_table
 from graftline.llm.mix import Mix
+from graftline.llm.neighbours import nearest
 from graftline.llm.quantiles import merge_sketches, read_sketches, sketch_table
 from graftline.llm.split import split_table
 from graftline.llm.topn import top_n_per_group
@@ -30,6 +31,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_topn(spark, sf_dir).select("edge1", "edge2")
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The up to 5 nearest other vectors within cosine distance 0.20 of every usable vector."""
+    return nearest(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, 0.20)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs found from either side, each once."""
+    found = p3_neighbours(spark, sf_dir)
+    return found.select(F.least("row", "other").alias("row_a"), F.greatest("row", "other").alias("row_b")).distinct()
+
+
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 # rank error allowed for, as a share of the ranks above the value; several times what is measured
 RANK_MARGIN = 0.05
@@ -113,6 +125,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_topn": p1_topn,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
     "p5_daily": p5_daily,
     "p5_percentiles": p5_percentiles,
