@@ -2,7 +2,7 @@
 
 Vectors are normalised and both halves quantised on their own, so ``k`` centroids per half give ``k * k``
 cells. A row visits the cells nearest to it: centroid pairs in order of their summed distance, taken from a
-heap. Cells are grouped into blocks of about ``BLOCK_ROWS`` rows by halving along the direction in which
+heap, without the cells whose wall is too far. Cells are grouped into blocks of about ``BLOCK_ROWS`` rows by halving along the direction in which
 their centroids spread most, so the cells that a row visits lie in few blocks and its vector travels to few
 tasks. A cell too full for a block is cut into shards whose pairs are separate tasks.
 
@@ -16,6 +16,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -93,28 +94,42 @@ class MultiIndex:
         a, b = self.distances(u)
         return a.argmin(1).astype(np.int64) * self.k + b.argmin(1)
 
-    def visits(self, u: np.ndarray, probes: int) -> Iterator[list[int]]:
-        """For each row the ``probes`` nearest cells that hold rows, its own cell first."""
-        a, b = self.distances(u)
-        m = min(self.k, 4 * probes)
-        left, right = (np.argpartition(d, m - 1, axis=1)[:, :m] if m < self.k else np.tile(np.arange(self.k), (len(d), 1)) for d in (a, b))
+    @cached_property
+    def gaps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distances between the centroids of each half."""
+        return tuple(np.sqrt(np.maximum(((c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T), 1e-12)) for c in (self.first, self.second))
+
+    def visits(self, u: np.ndarray, probes: int, margin: float) -> Iterator[list[int]]:
+        """For each row its own cell and then the nearest cells that hold rows, ``probes`` at most.
+
+        A cell is left out if its wall is farther than ``margin``: no vector in it can be nearer to the row.
+        """
         near = []
-        for ids, d in ((left, a), (right, b)):
-            value = np.take_along_axis(d, ids, 1)
+        most = min(self.k, 2 * probes)
+        for d, gap in zip(self.distances(u), self.gaps, strict=True):
+            own = d.argmin(axis=1)
+            rise = d - d.min(axis=1, keepdims=True)
+            wall = rise / (2 * gap[own])
+            wall[np.arange(len(d)), own] = 0
+            rise[wall > margin] = np.inf
+            ids = np.argpartition(rise, most - 1, axis=1)[:, :most] if most < self.k else np.tile(np.arange(self.k), (len(d), 1))
+            value = np.take_along_axis(rise, ids, 1)
             order = np.argsort(value, axis=1, kind="stable")
-            near.append((np.take_along_axis(ids, order, 1).tolist(), np.take_along_axis(value, order, 1).tolist()))
-        count, k = self.count, self.k
-        for ia, da, ib, db in zip(near[0][0], near[0][1], near[1][0], near[1][1], strict=True):
-            heap, out, steps = [(da[0] + db[0], 0, 0)], [], 0
-            while heap and len(out) < probes and steps < 16 * probes:
-                steps += 1
+            value, ids = np.take_along_axis(value, order, 1), np.take_along_axis(ids, order, 1)
+            squares = np.take_along_axis(wall, ids, 1) ** 2
+            ids[:, 0], squares[:, 0] = own, 0
+            near.append((ids.tolist(), value.tolist(), squares.tolist(), np.isfinite(value).sum(axis=1).tolist()))
+        count, k, reach = self.count, self.k, margin**2
+        for ia, da, wa, na, ib, db, wb, nb in zip(*near[0], *near[1], strict=True):
+            heap, out = [(0.0, 0, 0)], []
+            while heap and len(out) < probes:
                 _, p, q = heapq.heappop(heap)
                 cell = ia[p] * k + ib[q]
-                if count[cell]:
+                if count[cell] and wa[p] + wb[q] <= reach:
                     out.append(cell)
-                if p + 1 < m:
+                if p + 1 < na:
                     heapq.heappush(heap, (da[p + 1] + db[q], p + 1, q))
-                if not p and q + 1 < m:
+                if not p and q + 1 < nb:
                     heapq.heappush(heap, (da[0] + db[q + 1], 0, q + 1))
             yield out
 
@@ -208,7 +223,7 @@ def build(df: DataFrame, row_id: str, vector: str, dim: int, seed: int = 0, bloc
     return index
 
 
-def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int) -> DataFrame:
+def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int, margin: float) -> DataFrame:
     """Every usable row once for each task it visits: ``grp, row_id, home, cells, vec``.
 
     ``home`` is the row's own cell in its own block, else -1; ``cells`` are the others it visits there.
@@ -227,7 +242,7 @@ def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int
                 u = unit(x)
                 raw = np.rint(u * (32767 / np.abs(u).max(axis=1, keepdims=True))).astype(np.int16)
                 src, grp, home, cells = [], [], [], []
-                for r, visited in enumerate(index.visits(u, probes)):
+                for r, visited in enumerate(index.visits(u, probes, margin)):
                     by: dict[int, list[int]] = {}
                     for c in visited:
                         by.setdefault(int(index.block[c]), []).append(c)

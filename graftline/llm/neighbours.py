@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from graftline.llm import imi
 
-PROBES = 10
+PROBES = 16
+MARGIN = 0.06  # a search within a small radius needs no cell whose wall is farther
 PRODUCT = 4_000_000  # elements of a matrix product at a time
 LOOSE = 4e-6  # error of a single-precision cosine, twice
 
@@ -107,14 +108,15 @@ def search_block(b: imi.Block, k: int, radius: float) -> tuple[np.ndarray, np.nd
     return b.ids[r[good]], b.ids[c[good]], distance[good]
 
 
-def nearest(df: DataFrame, row_id: str, vector: str, dim: int, k: int, radius: float = 2.0, probes: int = PROBES, seed: int = 0, block_rows: int = imi.BLOCK_ROWS) -> DataFrame:
+def nearest(df: DataFrame, row_id: str, vector: str, dim: int, k: int, radius: float = 2.0, probes: int = PROBES, margin: float = MARGIN, seed: int = 0, block_rows: int = imi.BLOCK_ROWS) -> DataFrame:
     """``row, other, distance, rank``: the ``k`` most similar other vectors of each row within cosine
     distance ``radius``, in order of distance and id.
 
     Vectors of another length than ``dim``, with null, NaN or infinite elements or of zeros only are
     left out, as are null ids; other columns are ignored; an empty table gives no rows. Ids must be whole
     numbers; a row repeated under its id counts once. Copies of a vector are neighbours at distance 0. Results
-    are approximate: a pair is missed if neither row visits the other's cell. Distances are those of 16-bit
+    are approximate: a pair is missed if neither row visits the other's cell; more ``probes`` and a wider
+    ``margin`` find more. Distances are those of 16-bit
     directions, within about 2e-6 of the exact ones.
     """
     schema = "row long, other long, distance double"
@@ -126,7 +128,7 @@ def nearest(df: DataFrame, row_id: str, vector: str, dim: int, k: int, radius: f
         found = search_block(imi.open_block(t, dim, index.shards), k, radius)
         return pa.table([pa.array(c) for c in found], names=["row", "other", "distance"])
 
-    sent = imi.send(df, row_id, vector, index, probes)
+    sent = imi.send(df, row_id, vector, index, probes, margin)
     found = sent.groupBy("grp").applyInArrow(search, schema).filter("row <> other")
     # a pair found twice has the same distance, so it takes one place
     order = Window.partitionBy("row").orderBy("distance", "other")
