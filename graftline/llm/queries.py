@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.llm.bpe import encode_table
+from graftline.llm.clusters import Clusters
 from graftline.llm.mix import Mix
 from graftline.llm.neighbours import nearest
 from graftline.llm.quantiles import merge_sketches, read_sketches, sketch_table
@@ -31,6 +32,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_topn(spark, sf_dir).select("edge1", "edge2")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the largest sets of at least 3 vectors any two of which are within cosine distance 0.20."""
+    return Clusters(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 0.20).found
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical members of these clusters."""
+    return Clusters(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 0.20).described()
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The up to 5 nearest other vectors within cosine distance 0.20 of every usable vector."""
     return nearest(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, 0.20)
@@ -125,6 +136,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_topn": p1_topn,
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
