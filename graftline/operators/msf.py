@@ -135,9 +135,38 @@ def msf(edges: DataFrame, vertices: int | None = None) -> DataFrame:
     return local.repartition(8).mapInArrow(local_forest, EDGE).repartition(1).mapInArrow(local_forest, EDGE)
 
 
+def _local_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the forest in one partition: each vertex with the least of its component."""
+    whole = [b for b in batches if b.num_rows]
+    if not whole:
+        return
+    ends = [np.concatenate([b.column(n).to_numpy() for b in whole]) for n in (0, 1)]
+    names, at = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = at[: len(ends[0])], at[len(ends[0]) :]
+    label = np.arange(len(names))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["vec_id", "comp"])
+
+
 def component_labels(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """``vec_id, comp``: the least vertex of each vertex's component, by pointer doubling."""
-    pairs = edges.select("i", "j").filter("i <> j")
+    """``vec_id, comp``: the least vertex of each vertex's component.
+
+    Partitions reduce their edges to forests; up to ``LOCAL_VERTICES`` vertices these are labelled in one
+    task, more by joins with pointer doubling.
+    """
+    pairs = edges.select(F.col("i").cast("long"), F.col("j").cast("long")).filter("i <> j")
+    few = vertices.count() <= LOCAL_VERTICES
+    if few:
+        forests = pairs.withColumn("w", F.lit(0.0)).mapInArrow(local_forest, EDGE)
+        found = forests.repartition(1).mapInArrow(local_forest, EDGE).mapInArrow(_local_labels, "vec_id long, comp long")
+        return vertices.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("comp", "vec_id").alias("comp"))
     both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
     both = materialize(both.distinct(), "links")
     label = materialize(vertices.select(F.col("vec_id"), F.col("vec_id").alias("comp")), "label")

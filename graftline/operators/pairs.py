@@ -182,3 +182,32 @@ def exact_neighbours(queries: DataFrame, points: DataFrame, name: str, k: int, k
     found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(run, "query_id long, id long, dist double")
     order = Window.partitionBy("query_id").orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+
+
+def all_pairs_with(new: DataFrame, points: DataFrame, name: str, block_rows: int = 512) -> DataFrame:
+    """Forest ``i, j, w`` of the pairs of new points with all points, per block; enough for a spanning tree."""
+    from graftline.operators.msf import forest
+
+    m = metric(name)
+    blocks = max(1, math.ceil(new.count() / block_rows))
+    parts = max(1, math.ceil(points.count() / (4 * TILE_ROWS)))
+    left = new.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = points.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(a, b):
+        out = []
+        if a.num_rows and b.num_rows:
+            q, ids = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+            x, y = prepare(matrix(a.column("embedding")), m), prepare(matrix(b.column("embedding")), m)
+            held = 0
+            for r in range(len(q)):
+                other = np.flatnonzero(ids != q[r])
+                out.append((np.minimum(ids[other], q[r]), np.maximum(ids[other], q[r]), m.rows(x[r], y[other])))
+                held += len(other)
+                if held > 1_000_000 or r == len(q) - 1:
+                    i, j, w = (np.concatenate(c) for c in zip(*out, strict=True))
+                    keep = forest(i, j, w)
+                    out, held = [(i[keep], j[keep], w[keep])], len(keep)
+        return _edges(out)
+
+    return left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(run, EDGE)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash
+from graftline.queries import CROSS, DELTA, DIM, E2, LSH_PREFIX, SIM
+
 USABLE = "edge1 is not null and edge2 is not null and edge1 <> edge2 and distance >= 0 and distance <= 2"
 
 SQL = {
@@ -18,3 +23,243 @@ SQL = {
         m as (select i, j, round(avg(distance), 6) m from l group by i, j)
         select l.i, l.j, sum((l.distance > m.m)::bigint)::bigint n_above from l join m on l.i = m.i and l.j = m.j group by l.i, l.j""",
 }
+
+
+def plane_rows(family: Family) -> str:
+    """Projections of a family as a table ``(rep, k, a, b)``."""
+    shift = family.offsets if isinstance(family, E2LSH) else np.zeros((family.repetitions, family.depth))
+    rows = []
+    for rep in range(family.repetitions):
+        for k in range(family.depth):
+            numbers = ",".join(repr(float(v)) for v in family.planes[rep, k])
+            rows.append(f"({rep}, {k}, '[{numbers}]'::double[], '{float(shift[rep, k])!r}'::double)")
+    return "(values " + ",\n".join(rows) + ") t(rep, k, a, b)"
+
+
+def codes_sql(family: Family, where: str = "true") -> str:
+    """``vec_id, rep, code`` of the embeddings."""
+    product = "list_inner_product(p.embedding::double[], t.a)"
+    symbol = f"(floor(({product} + t.b) / {family.width}))::bigint" if isinstance(family, E2LSH) else f"({product} >= 0)::bigint"
+    return f"select p.vec_id, t.rep, list({symbol} order by t.k) code from embeddings p, {plane_rows(family)} where {where} group by p.vec_id, t.rep"
+
+
+def cross_codes_sql(family: CrossPolytope) -> str:
+    rows = []
+    for rep in range(family.repetitions):
+        for k in range(family.depth):
+            for axis in range(family.axes):
+                numbers = ",".join(repr(float(v)) for v in family.rotations[rep, k, axis])
+                rows.append(f"({rep}, {k}, {axis}, '[{numbers}]'::double[])")
+    values = "(values " + ",\n".join(rows) + ") t(rep, k, axis, a)"
+    return f"""
+        with y as (select p.vec_id, t.rep, t.k, t.axis, list_inner_product(p.embedding::double[], t.a) y from embeddings p, {values}),
+        s as (select vec_id, rep, k, arg_min(2 * axis + (y < 0)::bigint, (-abs(y), axis)) s from y group by vec_id, rep, k)
+        select vec_id, rep, array_to_string(list(s order by k), ',') code from s group by vec_id, rep"""
+
+
+DISTANCE = {
+    "euclidean": "list_distance(a.embedding::double[], b.embedding::double[])",
+    "cosine": "1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[])",
+    "angular": "acos(greatest(-1, least(1, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))))",
+}
+
+
+def pairs_sql(name: str, extra: str = "true") -> str:
+    return f"select a.vec_id i, b.vec_id j, {DISTANCE[name]} w from embeddings a join embeddings b on a.vec_id < b.vec_id and {extra}"
+
+
+def boruvka(edges: str, vertices: str, rounds: int = 11) -> str:
+    """CTEs after which ``tree(i, j, w)`` and ``labels(v, c)`` exist, c being the least vertex of the component."""
+    parts = [f"e as materialized ({edges})", f"c0 as materialized (select v, v c from ({vertices}))"]
+    for r in range(rounds):
+        parts.append(
+            f"""m{r} as materialized (
+            select c, min((w, i, j)) e, arg_min(o, (w, i, j)) o from (
+                select a.c, b.c o, e.w, e.i, e.j from e join c{r} a on e.i = a.v join c{r} b on e.j = b.v where a.c <> b.c
+                union all select b.c, a.c, e.w, e.i, e.j from e join c{r} a on e.i = a.v join c{r} b on e.j = b.v where a.c <> b.c)
+            group by c)"""
+        )
+        parts.append(f"p{r}_0 as materialized (select m.c, case when n.o = m.c and m.c < m.o then m.c else m.o end p from m{r} m left join m{r} n on n.c = m.o)")
+        for d in range(rounds):
+            parts.append(f"p{r}_{d + 1} as materialized (select a.c, coalesce(b.p, a.p) p from p{r}_{d} a left join p{r}_{d} b on a.p = b.c)")
+        parts.append(f"c{r + 1} as materialized (select c.v, coalesce(p.p, c.c) c from c{r} c left join p{r}_{rounds} p on c.c = p.c)")
+    union = " union ".join(f"select e from m{r}" for r in range(rounds))
+    parts.append(f"tree as materialized (select e[2] i, e[3] j, e[1] w from ({union}))")
+    parts.append(f"labels as materialized (select v, min(v) over (partition by c) c from c{rounds})")
+    return ",\n".join(parts)
+
+
+ALL = "select vec_id v from embeddings"
+EDGES = "select i, j, round(w, 6) w from tree"
+
+
+def mst(name: str) -> str:
+    return f"with {boruvka(pairs_sql(name), ALL)} {EDGES}"
+
+
+SIM_CODES = f"codes as materialized ({codes_sql(SIM)})"
+
+
+def prefix_join(prefix: int) -> str:
+    return f"from codes a join codes b on a.rep = b.rep and a.vec_id < b.vec_id and a.code[1:{prefix}] = b.code[1:{prefix}]"
+
+
+def lcp_sql(depth: int) -> str:
+    same = " + ".join(f"(a.code[1:{k}] = b.code[1:{k}])::int" for k in range(1, depth + 1))
+    return f"({same})"
+
+
+LCP = f"select a.vec_id i, b.vec_id j, max({lcp_sql(SIM.depth)})::integer lcp {prefix_join(LSH_PREFIX)} group by 1, 2"
+SIM_P = "(1 - acos(greatest(-1, least(1, 1 - {d}))) / pi())"
+FULL_EDGES = f"select distinct a.vec_id i, b.vec_id j, 0.0 w {prefix_join(SIM.depth)}"
+
+
+def fail_sql(p: str, prefix: str, seen: str, total: int, depth: int) -> str:
+    return f"case when {prefix} >= {depth} then pow(1 - pow({p}, {prefix}), {seen}) else pow(1 - pow({p}, {prefix}), {seen}) * pow(1 - pow({p}, {prefix} + 1), {total} - {seen}) end"
+
+
+def erf_sql(x: str) -> str:
+    t = f"(1 / (1 + 0.3275911::double * {x}))"
+    poly = "0"
+    for a in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        poly = f"(({poly} + ({a})::double) * {t})"
+    return f"(1 - {poly} * exp(-{x} * {x}))"
+
+
+def e2_sql(d: str, width: float) -> str:
+    u = f"({width}::double / {d})"
+    return f"case when {d} <= 0 then 1 else {erf_sql(f'({u} / sqrt(2::double))')} - 2 / (sqrt(2 * pi()) * {u}) * (1 - exp(-{u} * {u} / 2)) end"
+
+
+SPLIT = f"{boruvka(pairs_sql('cosine'), ALL)}, s as (select *, {fail_sql(SIM_P.format(d='w'), '3', '8', SIM.repetitions, SIM.depth)} fail from tree), cs as (select *, fail < {DELTA} confirmed from s)"
+BOUND = "b as (select count(*)::bigint n_edges, count(*) filter (where confirmed)::bigint n_confirmed, sum(w) weight, sum(case when confirmed then w else 0 end) + max(case when confirmed then w else 0 end) * count(*) filter (where not confirmed) bound from cs)"
+
+
+def knn_sql(name: str, k: int, keep_self: bool) -> str:
+    other = "true" if keep_self else "a.vec_id <> b.vec_id"
+    return f"""
+        with r as (select a.vec_id query_id, b.vec_id id, {DISTANCE[name]} dist from embeddings a join embeddings b on {other} where a.vec_id % 50 = 0),
+        n as (select *, row_number() over (partition by query_id order by dist, id)::integer as rank from r)
+        select query_id, rank, id, round(dist, 6) dist from n where rank <= {k}"""
+
+
+def knn_lsh_sql(k: int, sketch: bool) -> str:
+    sketches = f"sk as materialized (select vec_id, list_reduce(code, lambda s, b: s * 2 + b) s from ({codes_sql(SimHash(DIM, 1, 32, 7))}))," if sketch else ""
+    keep = "and bit_count(xor(x.s, y.s)) <= 14" if sketch else ""
+    join = "join sk x on x.vec_id = a.vec_id join sk y on y.vec_id = b.vec_id" if sketch else ""
+    return f"""
+        with {SIM_CODES}, {sketches}
+        l as (select a.vec_id q, b.vec_id id, max({lcp_sql(SIM.depth)}) lcp from codes a join codes b on a.rep = b.rep and a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by 1, 2),
+        d as (select l.q, l.id, l.lcp, {DISTANCE['cosine']} dist from l join embeddings a on a.vec_id = l.q join embeddings b on b.vec_id = l.id {join} where true {keep}),
+        v as (select d.*, p.prefix, row_number() over (partition by q, prefix order by dist, id) rn from d join range(0, {SIM.depth + 1}) p(prefix) on d.lcp >= p.prefix),
+        t as (select q, prefix, count(*) n, max(dist) kth from v where rn <= {k} group by 1, 2),
+        f as (select q, max(prefix) prefix from t where prefix = 0 or (n >= {k} and {fail_sql(SIM_P.format(d='kth'), 'prefix', str(SIM.repetitions), SIM.repetitions, SIM.depth)} <= 0.1) group by q)
+        select v.q query_id, v.rn::integer as rank, v.id, round(v.dist, 6) dist from v join f on v.q = f.q and v.prefix = f.prefix where v.rn <= {k}"""
+
+
+BY_TABLE = f"met as (select a.rep, array_to_string(a.code[1:{LSH_PREFIX}], ',') as key, a.vec_id i, b.vec_id j {prefix_join(LSH_PREFIX)}), bt as (select met.*, {DISTANCE['cosine']} w from met join embeddings a on a.vec_id = met.i join embeddings b on b.vec_id = met.j)"
+
+SETS = """
+    docs as (select doc_id, case when text is null or length(text) = 0 then []::varchar[] else list_distinct(list_transform(
+        range(1, greatest(len(string_split(text, ' ')) - 4, 1) + 1), lambda k: array_to_string(string_split(text, ' ')[k:k + 4], ' '))) end tokens from documents),
+    sets as materialized (select doc_id, list_sort(tokens) tokens from docs where len(tokens) > 0),
+    members as materialized (select doc_id, min(doc_id) over (partition by tokens) rep from sets),
+    flat as materialized (select doc_id, unnest(tokens) t, len(tokens) n from sets),
+    reps as materialized (select flat.* from flat join members m on flat.doc_id = m.doc_id and m.rep = m.doc_id)"""
+SIMILAR = """
+    shared as (select a.doc_id i, b.doc_id j, a.n na, b.n nb, count(*) s from reps a join reps b on a.t = b.t and a.doc_id < b.doc_id group by all),
+    near as materialized (select i, j, 1 - s::double / (na + nb - s) w from shared where s >= 0.8 * (na + nb - s) - 1e-9)"""
+
+
+def minhash_sql(repetitions: int, depth: int, seed: int = 42) -> str:
+    return f"""
+        with {SETS}, h as (select doc_id, r.rep, k.k, min(('0x' || substr(md5('{seed}|' || (r.rep * {depth} + k.k) || '|' || t), 1, 15))::bigint) s
+            from flat, range(0, {repetitions}) r(rep), range(0, {depth}) k(k) group by all)
+        select doc_id, rep::integer rep, array_to_string(list(s order by k), ',') code from h group by doc_id, rep"""
+
+
+PATH = "select vec_id, lead(vec_id) over (order by md5(vec_id || ',0'), vec_id) nxt from embeddings"
+VALID = "case when not isnan({c}) then {c} end"
+RUNS = ", ".join(VALID.format(c=c) + f" {c}" for c in ("w0", "w1", "w2"))
+
+SQL |= {
+    "exact_mst_euclidean": mst("euclidean"),
+    "exact_mst_cosine": mst("cosine"),
+    "exact_mst_angular": mst("angular"),
+    "exact_mst_weight": f"with {boruvka(pairs_sql('euclidean'), ALL)} select count(*)::bigint n_edges, round(sum(w), 6) weight from tree",
+    "mst_by_label": f"with {boruvka(pairs_sql('euclidean', 'a.label = b.label'), ALL)} {EDGES}",
+    "all_pairs_euclidean": f"select i, j, round(w, 6) w from ({pairs_sql('euclidean')})",
+    "all_pairs_cosine": f"select i, j, round(w, 6) w from ({pairs_sql('cosine')})",
+    "normalize_vectors": """
+        with u as (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) u from embeddings)
+        select vec_id, round(sqrt(list_inner_product(u, u)), 6) norm, round(list_sum(u), 6) total from u""",
+    "knn_exact_euclidean": knn_sql("euclidean", 10, True),
+    "knn_exact_cosine": knn_sql("cosine", 10, True),
+    "knn_from_index_exact": knn_sql("cosine", 10, False),
+    "closest_pairs_exact": f"select i, j, round(w, 6) w from (select * from ({pairs_sql('euclidean')}) order by w, i, j limit 20)",
+    "closest_pairs_lsh": f"select i, j, round(w, 6) w from (select * from ({pairs_sql('cosine')}) order by w, i, j limit 20)",
+    "simhash_codes": f"select vec_id, rep, array_to_string(code, ',') code from ({codes_sql(SIM)})",
+    "index_save_load_roundtrip": f"select vec_id, rep, array_to_string(code, ',') code from ({codes_sql(SIM)})",
+    "e2lsh_codes": f"select vec_id, rep, array_to_string(code, ',') code from ({codes_sql(E2)})",
+    "crosspolytope_codes": cross_codes_sql(CROSS),
+    "bucket_sizes_by_prefix": f"""
+        with {SIM_CODES}, b as (select rep, p.prefix, code[1:p.prefix] as key, count(*) n from codes, range(0, {SIM.depth + 1}, 2) p(prefix) group by all)
+        select rep, prefix::integer prefix, count(*)::bigint buckets, max(n)::bigint largest, sum(n * (n - 1) // 2)::bigint pairs from b group by rep, prefix""",
+    "bucket_runs": f"with {SIM_CODES} select rep, vec_id, (dense_rank() over (partition by rep order by code) - 1)::bigint bucket from codes",
+    "lsh_pairs_full_hash": f"with {SIM_CODES} select distinct a.vec_id i, b.vec_id j {prefix_join(SIM.depth)}",
+    "lsh_pairs_prefix": f"with {SIM_CODES} select distinct a.vec_id i, b.vec_id j {prefix_join(LSH_PREFIX)}",
+    "pair_lcp": f"with {SIM_CODES} {LCP}",
+    "lsh_pairs_incremental": f"with {SIM_CODES} select i, j from ({LCP}) where lcp = {LSH_PREFIX}",
+    "component_labels": f"with {SIM_CODES}, {boruvka(FULL_EDGES, ALL)} select v vec_id, c comp from labels",
+    "lsh_pairs_filtered": f"""
+        with {SIM_CODES}, {boruvka(FULL_EDGES, ALL)},
+        met as (select distinct a.vec_id i, b.vec_id j {prefix_join(LSH_PREFIX)})
+        select met.i, met.j, round({DISTANCE['cosine']}, 6) w from met join labels x on x.v = met.i join labels y on y.v = met.j
+        join embeddings a on a.vec_id = met.i join embeddings b on b.vec_id = met.j where x.c <> y.c""",
+    "failure_probability_table": f"""
+        with g as (select (d.d / 10.0)::double distance, p.p::integer prefix, least(p.p, {E2.depth}) q from range(1, 20) d(d), range(0, 11) p(p))
+        select distance, prefix, round({fail_sql(SIM_P.format(d='distance'), 'prefix', '8', SIM.repetitions, SIM.depth)}, 6) simhash,
+               round({fail_sql(SIM_P.format(d='distance'), 'prefix', '4', SIM.repetitions, SIM.depth)}, 6) simhash_half,
+               round({fail_sql('(' + e2_sql('distance', E2.width) + ')', 'q', str(E2.repetitions), E2.repetitions, E2.depth)}, 6) e2lsh from g""",
+    "confirmed_split": f"with {SPLIT} select i, j, round(w, 6) w, round(fail, 6) fail, confirmed from cs",
+    "bound_weight": f"with {SPLIT}, {BOUND} select n_edges, n_confirmed, round(weight, 6) weight, round(bound, 6) bound from b",
+    "epsilon_accept": f"with {SPLIT}, {BOUND} select t.epsilon::double epsilon, weight <= (1 + t.epsilon::double) * bound accepted from b, (values (0.01), (0.2), (0.5), (1.0)) t(epsilon)",
+    "find_tree_simhash": mst("cosine"),
+    "find_tree_e2lsh": mst("euclidean"),
+    "find_epsilon_tree_simhash": mst("cosine"),
+    "tree_connected": f"with {boruvka(pairs_sql('euclidean'), ALL)} select (select count(*) from embeddings)::bigint n_points, (select count(*) from tree)::bigint n_edges, count(distinct c)::bigint n_components, count(distinct c) <= 1 connected from labels",
+    "local_msf_by_rep": f"with {SIM_CODES}, {BY_TABLE}, {boruvka('select rep * 10000000 + i i, rep * 10000000 + j j, w from bt', 'select distinct rep * 10000000 + vec_id v from codes')} select (i // 10000000)::integer rep, (i % 10000000)::bigint i, (j % 10000000)::bigint j, round(w, 6) w from tree",
+    "merge_msf": f"with {SIM_CODES}, {BY_TABLE}, {boruvka('select distinct i, j, w from bt', ALL)} {EDGES}",
+    "knn_lsh": knn_lsh_sql(10, False),
+    "knn_lsh_sketch_filter": knn_lsh_sql(10, True),
+    "cap_unconfirmed": f"""
+        with {SIM_CODES}, {BY_TABLE}, s as (select *, {fail_sql(SIM_P.format(d='w'), '3', '8', SIM.repetitions, SIM.depth)} < {DELTA} confirmed from bt),
+        n as (select *, row_number() over (partition by rep, confirmed order by w, i, j) r from s)
+        select rep, i, j, round(w, 6) w, confirmed from n where confirmed or r <= 50""",
+    "reservoir_pairs": f"""
+        with {SIM_CODES}, {BY_TABLE}, n as (select *, row_number() over (partition by rep, key order by md5(i || ',' || j || ',0'), i, j) r from bt)
+        select rep, i, j, round(w, 6) w from n where r <= 2""",
+    "bernoulli_pairs": f"with {SIM_CODES} select i, j from (select distinct a.vec_id i, b.vec_id j {prefix_join(LSH_PREFIX)}) where ('0x' || substr(md5(i || ',' || j || ',0'), 1, 8))::bigint < 1073741824",
+    "random_path": f"select least(vec_id, nxt) i, greatest(vec_id, nxt) j from ({PATH}) where nxt is not null",
+    "recall_over_runs": f"""
+        with v as (select run_id, {RUNS} from recall_results),
+        m as (select *, least(w0, w1, w2) m, ((w0 is not null)::int + (w1 is not null)::int + (w2 is not null)::int) n from v)
+        select run_id, round(m, 6) "least", round((coalesce(w0 <= m, false)::int + coalesce(w1 <= m, false)::int + coalesce(w2 <= m, false)::int)::double / nullif(n, 0), 6) share from m""",
+    "distance_histogram": "select least(floor(distance / (2.0::double / 70)) + 1, 70)::bigint bin, count(*)::bigint n from glove_sampl where i = 24 and j = 0 and distance >= 0 and distance <= 2 group by 1",
+    "tree_median_edge": f"with {boruvka(pairs_sql('euclidean'), ALL)}, s as (select w, row_number() over (order by w, i, j) - 1 r from tree) select round(w, 6) w from s where r = (select count(*) // 2 from s)",
+    "tree_log_weights": """
+        with v as (select row_id, train::double[] x from glove_100_angular where len(train) = 100 and len(list_filter(train, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(train, lambda e: e <> 0)) > 0),
+        e as (select distinct run_id, least(u, v) i, greatest(u, v) j from tree_edges where u <> v)
+        select run_id, count(*)::bigint n_edges, round(sum(1 - list_cosine_similarity(a.x, b.x)), 4) weight from e join v a on a.row_id = e.i join v b on b.row_id = e.j group by run_id""",
+    "incremental_append_tree": mst("euclidean"),
+    "collision_log_roundtrip": f"select i, j, edge1, edge2, distance from glove_sampl where i = 24 and {USABLE}",
+    "memory_plan": "select l.l::bigint memory_limit, n::bigint n, ((l.l - 4 * n * 64) // (12 * n + 4 * 8 * 64))::bigint repetitions from (values (2000000), (8000000), (900000000)) l(l), (select count(*) n from embeddings)",
+    "jaccard_pairs_documents": f"with {SETS}, {SIMILAR} select i, j, round(w, 6) w from near",
+    "jaccard_classes_documents": f"with {SETS} select doc_id, rep from members",
+    "jaccard_knn_documents": f"""
+        with {SETS}, s as (select q.doc_id query_id, r.doc_id id, 1 - count(*)::double / (q.n + r.n - count(*)) dist from flat q join reps r on q.t = r.t and q.doc_id <> r.doc_id where q.doc_id % 50 = 0 group by q.doc_id, r.doc_id, q.n, r.n),
+        n as (select *, row_number() over (partition by query_id order by dist, id)::integer as rank from s)
+        select query_id, rank, id, round(dist, 6) dist from n where rank <= 5""",
+    "jaccard_mst_documents": f"with {SETS}, {SIMILAR}, {boruvka('select * from near', 'select doc_id v from members', 12)} {EDGES}",
+    "minhash_codes_documents": minhash_sql(2, 2),
+}

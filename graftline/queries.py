@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graftline.functions import vectors
+from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash, codes, minhash_codes
+from graftline.operators import candidates as cand
+from graftline.operators import diagnostics, knn, pairs, sets, tree
+from graftline.operators.msf import component_labels, msf
 from graftline.operators.skew import per_key, skew_join
-from graftline.session import table
+from graftline.plans.config import repetitions_within
+from graftline.session import materialize, scratch_path, table
+from graftline.sources import logs
+from graftline.sources.index_store import Index
+from graftline.streaming.incremental import append_points
 
 
 def usable_distance() -> Column:
@@ -38,4 +49,310 @@ def p4_above_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("i", "j").agg(F.sum((F.col("distance") > F.col("mean_distance")).cast("long")).alias("n_above"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_keys": p4_keys, "p4_above_mean": p4_above_mean}
+# ---- spanning trees, neighbours and hash joins over the embeddings
+
+DIM = 64
+SIM = SimHash(DIM, 8, 10)
+E2 = E2LSH(DIM, 4, 6, width=2.0)
+CROSS = CrossPolytope(DIM, 4, 3)
+DELTA = 0.5  # of the queries that split edges by their chance of having been missed
+LSH_PREFIX = 7
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with an id and a vector of the right length."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & (F.size("embedding") == DIM)).select("vec_id", "embedding", "label")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).filter("vec_id % 50 = 0")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("w",)})
+
+
+def _tree(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(pairs.exact_tree(points(spark, sf_dir), name))
+
+    query.__doc__ = f"Exact minimum spanning tree under the {name} metric."
+    return query
+
+
+def exact_mst_weight(spark, sf_dir):
+    return pairs.exact_tree(points(spark, sf_dir), "euclidean").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w"), 6).alias("weight"))
+
+
+def mst_by_label(spark, sf_dir):
+    return rounded(pairs.exact_trees_by(points(spark, sf_dir), "euclidean", "label"))
+
+
+def all_pairs_euclidean(spark, sf_dir):
+    return rounded(pairs.all_pairs(points(spark, sf_dir), "euclidean"))
+
+
+def all_pairs_cosine(spark, sf_dir):
+    return rounded(pairs.all_pairs(points(spark, sf_dir), "cosine"))
+
+
+def normalize_vectors(spark, sf_dir):
+    unit = points(spark, sf_dir).select("vec_id", vectors.normalize("embedding").alias("u"))
+    total = F.aggregate("u", F.lit(0.0), lambda s, v: s + v)
+    return unit.select("vec_id", F.round(vectors.norm("u"), 6).alias("norm"), F.round(total, 6).alias("total"))
+
+
+def knn_exact_euclidean(spark, sf_dir):
+    return rounded(pairs.exact_neighbours(asked(spark, sf_dir), points(spark, sf_dir), "euclidean", 10, keep_self=True), "dist")
+
+
+def knn_exact_cosine(spark, sf_dir):
+    return rounded(pairs.exact_neighbours(asked(spark, sf_dir), points(spark, sf_dir), "cosine", 10, keep_self=True), "dist")
+
+
+def knn_from_index_exact(spark, sf_dir):
+    return rounded(pairs.exact_neighbours(asked(spark, sf_dir), points(spark, sf_dir), "cosine", 10), "dist")
+
+
+def closest_pairs_exact(spark, sf_dir):
+    return rounded(pairs.closest_pairs(points(spark, sf_dir), "euclidean", 20))
+
+
+def _codes(family: Family):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return codes(points(spark, sf_dir), family).select("vec_id", "rep", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
+
+    query.__doc__ = f"Hash codes of every point: {family.describe()}."
+    return query
+
+
+def sim_codes(spark, sf_dir):
+    return codes(points(spark, sf_dir), SIM)
+
+
+def bucket_sizes_by_prefix(spark, sf_dir):
+    table_ = sim_codes(spark, sf_dir)
+    levels = [cand.bucket_sizes(table_, p).groupBy("rep").agg(F.lit(p).alias("prefix"), F.count(F.lit(1)).alias("buckets"), F.max("n").alias("largest"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")) for p in range(0, SIM.depth + 1, 2)]
+    return reduce(DataFrame.unionByName, levels)
+
+
+def bucket_runs(spark, sf_dir):
+    return cand.bucket_runs(sim_codes(spark, sf_dir))
+
+
+def lsh_pairs_full_hash(spark, sf_dir):
+    return cand.prefix_pairs(sim_codes(spark, sf_dir), SIM.depth)
+
+
+def lsh_pairs_prefix(spark, sf_dir):
+    return cand.prefix_pairs(sim_codes(spark, sf_dir), LSH_PREFIX)
+
+
+def lsh_pairs_incremental(spark, sf_dir):
+    return cand.new_pairs(sim_codes(spark, sf_dir), LSH_PREFIX)
+
+
+def pair_lcp(spark, sf_dir):
+    return cand.pair_lcp(sim_codes(spark, sf_dir), LSH_PREFIX)
+
+
+def _labels(spark, sf_dir):
+    """Components of the pairs that share a whole code."""
+    return component_labels(lsh_pairs_full_hash(spark, sf_dir), points(spark, sf_dir).select("vec_id"))
+
+
+def lsh_pairs_filtered(spark, sf_dir):
+    left = cand.unconnected(lsh_pairs_prefix(spark, sf_dir), _labels(spark, sf_dir))
+    return rounded(cand.weigh(left, points(spark, sf_dir), "cosine"))
+
+
+def failure_probability_table(spark, sf_dir):
+    grid = spark.range(1, 20).select((F.col("id") / 10).alias("distance")).crossJoin(spark.range(0, 11).select(F.col("id").cast("int").alias("prefix")))
+    d, p = F.col("distance"), F.col("prefix")
+    return grid.select("distance", "prefix", F.round(SIM.failure(d, p), 6).alias("simhash"), F.round(SIM.failure(d, p, 4), 6).alias("simhash_half"), F.round(E2.failure(d, F.least(p, F.lit(E2.depth))), 6).alias("e2lsh"))
+
+
+def _split(spark, sf_dir):
+    return cand.confirm(pairs.exact_tree(points(spark, sf_dir), "cosine"), SIM, 3, DELTA)
+
+
+def confirmed_split(spark, sf_dir):
+    return rounded(_split(spark, sf_dir), "w", "fail")
+
+
+def bound_weight(spark, sf_dir):
+    return rounded(cand.bound_weight(_split(spark, sf_dir)), "weight", "bound")
+
+
+def epsilon_accept(spark, sf_dir):
+    eps = spark.createDataFrame([(0.01,), (0.2,), (0.5,), (1.0,)], "epsilon double")
+    return eps.crossJoin(F.broadcast(cand.bound_weight(_split(spark, sf_dir)))).select("epsilon", (F.col("weight") <= (1 + F.col("epsilon")) * F.col("bound")).alias("accepted"))
+
+
+def find_tree_simhash(spark, sf_dir):
+    return rounded(tree.find_tree(points(spark, sf_dir), SIM).edges)
+
+
+def find_tree_e2lsh(spark, sf_dir):
+    return rounded(tree.find_tree(points(spark, sf_dir), E2).edges)
+
+
+def find_epsilon_tree_simhash(spark, sf_dir):
+    return rounded(tree.find_epsilon_tree(points(spark, sf_dir), SIM).edges)
+
+
+def tree_connected(spark, sf_dir):
+    edges = pairs.exact_tree(points(spark, sf_dir), "euclidean")
+    return tree.is_connected(materialize(edges, "tree"), points(spark, sf_dir))
+
+
+def component_labels_query(spark, sf_dir):
+    return _labels(spark, sf_dir)
+
+
+def local_msf_by_rep(spark, sf_dir):
+    return rounded(tree.forests_by_table(sim_codes(spark, sf_dir), points(spark, sf_dir), LSH_PREFIX, "cosine"))
+
+
+def merge_msf(spark, sf_dir):
+    local = tree.forests_by_table(sim_codes(spark, sf_dir), points(spark, sf_dir), LSH_PREFIX, "cosine").select("i", "j", "w").distinct()
+    return rounded(msf(local))
+
+
+def knn_lsh(spark, sf_dir):
+    return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10), "dist")
+
+
+def knn_lsh_sketch_filter(spark, sf_dir):
+    return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10, filter_type="simple", bits=32, max_difference=14), "dist")
+
+
+def closest_pairs_lsh(spark, sf_dir):
+    return rounded(knn.closest_pairs(points(spark, sf_dir), SIM, 20))
+
+
+def _by_table(spark, sf_dir):
+    met = cand._met(sim_codes(spark, sf_dir), LSH_PREFIX).select(F.col("a.rep").alias("rep"), F.array_join(F.col("a.key").cast("array<string>"), ",").alias("key"), F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"))
+    return cand.weigh(met, points(spark, sf_dir), "cosine")
+
+
+def cap_unconfirmed(spark, sf_dir):
+    return rounded(cand.cap_unconfirmed(cand.confirm(_by_table(spark, sf_dir), SIM, 3, DELTA), 50).select("rep", "i", "j", "w", "confirmed"))
+
+
+def reservoir_pairs(spark, sf_dir):
+    return rounded(cand.reservoir(_by_table(spark, sf_dir), 2, ["rep", "key"]).select("rep", "i", "j", "w"))
+
+
+def bernoulli_pairs(spark, sf_dir):
+    return cand.bernoulli(lsh_pairs_prefix(spark, sf_dir), 0.25)
+
+
+def random_path(spark, sf_dir):
+    return cand.random_path(points(spark, sf_dir))
+
+
+def recall_over_runs(spark, sf_dir):
+    runs = table(spark, sf_dir, "recall_results").select("run_id", "w0", "w1", "w2")
+    return rounded(diagnostics.recall_over_runs(runs, ["w0", "w1", "w2"]).select("run_id", "least", "share"), "least", "share")
+
+
+def distance_histogram(spark, sf_dir):
+    log = table(spark, sf_dir, "glove_sampl").filter("i = 24 and j = 0")
+    return diagnostics.histogram(log, "distance", 0.0, 2.0, 70)
+
+
+def tree_median_edge(spark, sf_dir):
+    return rounded(diagnostics.median_edge(materialize(pairs.exact_tree(points(spark, sf_dir), "euclidean"), "tree")))
+
+
+def tree_log_weights(spark, sf_dir):
+    vectors_ = table(spark, sf_dir, "glove_100_angular").filter(F.size("train") == 100)
+    finite = F.forall("train", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists("train", lambda e: e != 0)
+    good = vectors_.filter(finite).select(F.col("row_id").alias("vec_id"), F.col("train").alias("embedding"))
+    return diagnostics.tree_weights(table(spark, sf_dir, "tree_edges"), good, "cosine").withColumn("weight", F.round("weight", 4))
+
+
+def incremental_append_tree(spark, sf_dir):
+    old, new = (points(spark, sf_dir).filter(c).select("vec_id", "embedding") for c in ("vec_id % 10 <> 0", "vec_id % 10 = 0"))
+    return rounded(append_points(pairs.exact_tree(old, "euclidean"), old, new, "euclidean"))
+
+
+def index_save_load_roundtrip(spark, sf_dir):
+    index = Index(points(spark, sf_dir).filter("vec_id % 2 = 0"), SIM).insert(points(spark, sf_dir))
+    path = scratch_path(spark, "index")
+    index.save(path)
+    return Index.load(spark, path).codes.select("vec_id", "rep", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
+
+
+def collision_log_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "log")
+    logs.write_collisions(table(spark, sf_dir, "glove_sampl").filter("i = 24").filter(usable_distance()), path)
+    return logs.read_collisions(spark, path)
+
+
+def memory_plan(spark, sf_dir):
+    n = points(spark, sf_dir).count()
+    rows = [(limit, n, repetitions_within(limit, n, DIM, 8)) for limit in (2_000_000, 8_000_000, 900_000_000)]
+    return spark.createDataFrame(rows, "memory_limit long, n long, repetitions long")
+
+
+# ---- token sets of the documents
+
+
+def document_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", sets.shingles("text").alias("tokens"))
+
+
+def jaccard_pairs_documents(spark, sf_dir):
+    """Pairs of distinct sets of five-word shingles with similarity 0.8 or more, by their smallest documents."""
+    reps, _ = sets.classes(document_sets(spark, sf_dir))
+    return rounded(sets.similar(reps))
+
+
+def jaccard_classes_documents(spark, sf_dir):
+    """The class of equal sets of every document that has one."""
+    return sets.classes(document_sets(spark, sf_dir))[1]
+
+
+def jaccard_knn_documents(spark, sf_dir):
+    reps, _ = sets.classes(document_sets(spark, sf_dir))
+    queries_ = document_sets(spark, sf_dir).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), "tokens")
+    return rounded(sets.set_neighbours(queries_, reps, 5), "dist")
+
+
+def jaccard_mst_documents(spark, sf_dir):
+    reps, _ = sets.classes(document_sets(spark, sf_dir))
+    return rounded(msf(sets.similar(reps)))
+
+
+def minhash_codes_documents(spark, sf_dir):
+    found = minhash_codes(document_sets(spark, sf_dir), 2, 2)
+    return found.select("doc_id", "rep", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_keys": p4_keys,
+    "p4_above_mean": p4_above_mean,
+    "exact_mst_euclidean": _tree("euclidean"),
+    "exact_mst_cosine": _tree("cosine"),
+    "exact_mst_angular": _tree("angular"),
+    "simhash_codes": _codes(SIM),
+    "e2lsh_codes": _codes(E2),
+    "crosspolytope_codes": _codes(CROSS),
+    "component_labels": component_labels_query,
+    **{
+        f.__name__: f
+        for f in (
+            exact_mst_weight, mst_by_label, all_pairs_euclidean, all_pairs_cosine, normalize_vectors, knn_exact_euclidean, knn_exact_cosine,
+            knn_from_index_exact, closest_pairs_exact, bucket_sizes_by_prefix, bucket_runs, lsh_pairs_full_hash, lsh_pairs_prefix,
+            lsh_pairs_incremental, pair_lcp, lsh_pairs_filtered, failure_probability_table, confirmed_split, bound_weight, epsilon_accept,
+            find_tree_simhash, find_tree_e2lsh, find_epsilon_tree_simhash, tree_connected, local_msf_by_rep, merge_msf, knn_lsh,
+            knn_lsh_sketch_filter, closest_pairs_lsh, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
+            distance_histogram, tree_median_edge, tree_log_weights, incremental_append_tree, index_save_load_roundtrip,
+            collision_log_roundtrip, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
+            jaccard_mst_documents, minhash_codes_documents,
+        )
+    },
+}
