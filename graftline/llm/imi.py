@@ -223,14 +223,17 @@ def build(df: DataFrame, row_id: str, vector: str, dim: int, seed: int = 0, bloc
     return index
 
 
-def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int, margin: float) -> DataFrame:
+def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int, margin: float, bits: int = 16) -> DataFrame:
     """Every usable row once for each task it visits: ``grp, row_id, home, cells, vec``.
 
     ``home`` is the row's own cell in its own block, else -1; ``cells`` are the others it visits there.
-    ``vec`` is the direction of the vector in 16-bit integers, the largest element at full scale; a cosine
-    taken from two of them is off by about 2e-6.
+    ``vec`` is the direction of the vector in integers of 16 or 8 bits, the largest element at full scale; a
+    cosine taken from two of them is off by about 2e-6 or 1e-3.
     """
 
+    kind = {8: np.int8, 16: np.int16}[bits]
+    full = np.iinfo(kind).max
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
@@ -240,7 +243,7 @@ def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int
                     continue
                 ids = b.column(0).to_numpy(zero_copy_only=False)[at]
                 u = unit(x)
-                raw = np.rint(u * (32767 / np.abs(u).max(axis=1, keepdims=True))).astype(np.int16)
+                raw = np.rint(u * (full / np.abs(u).max(axis=1, keepdims=True))).astype(kind)
                 src, grp, home, cells = [], [], [], []
                 for r, visited in enumerate(index.visits(u, probes, margin)):
                     by: dict[int, list[int]] = {}
@@ -267,21 +270,21 @@ class Block:
 
     ids: np.ndarray
     home: np.ndarray
-    x: np.ndarray  # directions as 16-bit integers
+    x: np.ndarray  # directions as integers
     pair: tuple[int, int]  # shards of the task; equal unless its cell is cut
     shard: np.ndarray  # of the rows at home, where the cell is cut
     at: dict[int, np.ndarray]  # rows at home in a cell, by row id
     visiting: dict[int, np.ndarray]
 
 
-def open_block(t: pa.Table, dim: int, shards: np.ndarray) -> Block:
+def open_block(t: pa.Table, dim: int, shards: np.ndarray, bits: int = 16) -> Block:
     t = t.sort_by("row_id").combine_chunks()
     ids, home = t.column("row_id").to_numpy(), t.column("home").to_numpy()
     vec = t.column("vec").combine_chunks()
     if isinstance(vec, pa.ChunkedArray):
         vec = pa.concat_arrays(vec.chunks)
     offsets = np.frombuffer(vec.buffers()[1], np.int32, len(vec) + 1, vec.offset * 4)
-    x = np.frombuffer(vec.buffers()[2], np.int16, len(vec) * dim, int(offsets[0])).reshape(-1, dim)
+    x = np.frombuffer(vec.buffers()[2], {8: np.int8, 16: np.int16}[bits], len(vec) * dim, int(offsets[0])).reshape(-1, dim)
     group = int(t.column("grp")[0].as_py())
     pair = group_shards(group)
     cells = t.column("cells").combine_chunks()
@@ -292,6 +295,8 @@ def open_block(t: pa.Table, dim: int, shards: np.ndarray) -> Block:
     at_home = np.flatnonzero(home >= 0)
 
     def by_cell(cell: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+        if not len(cell):
+            return {}
         order = np.argsort(cell, kind="stable")
         keys, starts = np.unique(cell[order], return_index=True)
         return {int(c): part for c, part in zip(keys, np.split(rows[order], starts[1:]), strict=True)}
@@ -299,3 +304,27 @@ def open_block(t: pa.Table, dim: int, shards: np.ndarray) -> Block:
     cut = int(shards[group // _SHARDS**2])
     shard = shard_of(ids, cut) if cut > 1 else np.zeros(len(ids), np.int64)
     return Block(ids, home, x, pair, shard, by_cell(home[at_home], at_home), by_cell(flat, owner))
+
+
+def only(df: DataFrame, row_id: str, vector: str, wanted: DataFrame, dim: int, most_bits: int = 1 << 27) -> DataFrame:
+    """``row, vec`` of the rows of ``df`` that may be among ``wanted(row)``, to shrink a join on them.
+
+    The wanted ids set bits of a bitmap by their hash. It has eight bits for each row of ``df`` up to
+    ``most_bits`` (16 MB), so it may be sent to all tasks; where it is too small more rows pass, none is lost.
+    """
+    bits = min(most_bits, max(1 << 15, 1 << (8 * df.count()).bit_length()))
+    place = F.pmod(F.xxhash64("row"), F.lit(bits))
+    parts = wanted.select((place + 1).alias("b"))  # bits of bitmap functions count from 1
+    parts = parts.groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).toArrow()
+    bitmap = np.zeros(bits // 8 + 8192, np.uint8)
+    for n, m in zip(parts.column("n").to_pylist(), parts.column("m").to_pylist(), strict=True):
+        bitmap[(n - 1) * 4096 : n * 4096] = np.frombuffer(m, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy()
+            hit = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield b.filter(pa.array(hit.astype(bool))).select(["row", "vec"])
+
+    rows = df.filter(F.size(vector) == dim).select(F.col(row_id).cast("long").alias("row"), F.col(vector).cast("array<float>").alias("vec")).filter("row is not null")
+    return rows.withColumn("b", place).mapInArrow(run, "row long, vec array<float>")
