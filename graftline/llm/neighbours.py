@@ -88,7 +88,7 @@ def search_block(b: imi.Block, k: int, radius: float) -> tuple[np.ndarray, np.nd
                 compare(b.visiting[cell], rows, True)
         else:
             compare(rows[b.shard[rows] == low], rows[b.shard[rows] == high], True)
-    if not found:
+    if not sum(len(r) for r, _ in found):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0)
     r, c = (np.concatenate(p) for p in zip(*found, strict=True))
