@@ -147,8 +147,15 @@ def minhash_codes(sets: DataFrame, repetitions: int, depth: int, seed: int = 42,
 
     The hash is the first 15 hex digits of md5, the same in any engine. Empty sets have no code.
     """
+
+    def symbol(n: int) -> Column:
+        def hashed(token: Column) -> Column:
+            return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{n}|"), token)), 1, 15), 16, 10).cast("long")
+
+        return F.array_min(F.transform(tokens, hashed))
+
     parts = []
     for rep in range(repetitions):
-        code = F.array(*[F.array_min(F.transform(tokens, lambda t, n=rep * depth + k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{n}|"), t)), 1, 15), 16, 10).cast("long"))) for k in range(depth)])
+        code = F.array(*[symbol(rep * depth + k) for k in range(depth)])
         parts.append(F.struct(F.lit(rep).alias("rep"), code.alias("code")))
     return sets.filter(F.size(tokens) > 0).select(set_id, F.explode(F.array(*parts)).alias("c")).select(set_id, "c.rep", "c.code")

@@ -179,7 +179,7 @@ def minhash_sql(repetitions: int, depth: int, seed: int = 42) -> str:
 
 
 PATH = "select vec_id, lead(vec_id) over (order by md5(vec_id || ',0'), vec_id) nxt from embeddings"
-VALID = "case when not isnan({c}) then {c} end"
+VALID = "case when {c} <= 'inf'::double then {c} end"
 RUNS = ", ".join(VALID.format(c=c) + f" {c}" for c in ("w0", "w1", "w2"))
 
 SQL |= {
@@ -243,8 +243,8 @@ SQL |= {
     "random_path": f"select least(vec_id, nxt) i, greatest(vec_id, nxt) j from ({PATH}) where nxt is not null",
     "recall_over_runs": f"""
         with v as (select run_id, {RUNS} from recall_results),
-        m as (select *, least(w0, w1, w2) m, ((w0 is not null)::int + (w1 is not null)::int + (w2 is not null)::int) n from v)
-        select run_id, round(m, 6) "least", round((coalesce(w0 <= m, false)::int + coalesce(w1 <= m, false)::int + coalesce(w2 <= m, false)::int)::double / nullif(n, 0), 6) share from m""",
+        t as (select *, least(w0, w1, w2) low, ((w0 is not null)::int + (w1 is not null)::int + (w2 is not null)::int) n from v)
+        select run_id, round(low, 6) "least", round((coalesce(w0 <= low, false)::int + coalesce(w1 <= low, false)::int + coalesce(w2 <= low, false)::int)::double / nullif(n, 0), 6) share from t""",
     "distance_histogram": "select least(floor(distance / (2.0::double / 70)) + 1, 70)::bigint bin, count(*)::bigint n from glove_sampl where i = 24 and j = 0 and distance >= 0 and distance <= 2 group by 1",
     "tree_median_edge": f"with {boruvka(pairs_sql('euclidean'), ALL)}, s as (select w, row_number() over (order by w, i, j) - 1 r from tree) select round(w, 6) w from s where r = (select count(*) // 2 from s)",
     "tree_log_weights": """
