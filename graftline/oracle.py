@@ -13,14 +13,14 @@ SQL = {
     "p4_keys": f"""
         select i, j, count(*)::bigint n_lines,
                count(distinct case when edge1 is not null and edge2 is not null then (edge1, edge2) end)::bigint n_pairs,
-               round(avg(case when {USABLE} then distance end), 6) mean_distance
+               round(avg(case when {USABLE} then distance end) + 1e-10::double, 6) mean_distance
         from glove_sampl where i is not null and j is not null group by i, j""",
     "p4_found": """
         with k as (select i, j, count(*) n from glove_sampl where i is not null and j is not null group by i, j)
         select i, j from k where n > 0.015 * (select sum(n) from k)""",
     "p4_above_mean": f"""
         with l as (select * from glove_sampl where i is not null and j is not null and {USABLE}),
-        m as (select i, j, round(avg(distance), 6) m from l group by i, j)
+        m as (select i, j, round(avg(distance) + 1e-10::double, 6) m from l group by i, j)
         select l.i, l.j, sum((l.distance > m.m)::bigint)::bigint n_above from l join m on l.i = m.i and l.j = m.j group by l.i, l.j""",
 }
 
@@ -179,7 +179,7 @@ def minhash_sql(repetitions: int, depth: int, seed: int = 42) -> str:
 
 
 PATH = "select vec_id, lead(vec_id) over (order by md5(vec_id || ',0'), vec_id) nxt from embeddings"
-VALID = "case when {c} <= 'inf'::double then {c} end"
+VALID = "case when {c}::varchar <> 'nan' then {c} end"  # isnan() is folded away by the column statistics
 RUNS = ", ".join(VALID.format(c=c) + f" {c}" for c in ("w0", "w1", "w2"))
 
 SQL |= {
