@@ -40,7 +40,8 @@ def knn(queries: DataFrame, points: DataFrame, family: Family, k: int, delta: fl
         return exact_neighbours(queries, points, family.metric, k)
     table = materialize(codes(points, family), "codes")
     asked = materialize(codes(queries, family).withColumnRenamed("vec_id", "query_id"), "queries")
-    m, done, left = metric(family.metric), None, asked.select("query_id").distinct()
+    m, done, ids = metric(family.metric), None, queries.select(F.col("vec_id").alias("query_id")).distinct()
+    left, total = ids, ids.count()
     x = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_x"))
     y = points.select(F.col("vec_id").alias("id"), F.col("embedding").alias("_y"))
     if filter_type != "none":
@@ -66,9 +67,9 @@ def knn(queries: DataFrame, points: DataFrame, family: Family, k: int, delta: fl
         ok = F.lit(True) if prefix == 0 else (F.col("_n") >= k) & (family.failure(F.col("_kth"), prefix) <= delta)
         level = materialize(top.filter(ok).select("query_id", "rank", "id", "dist"), "level")
         done = level if done is None else done.unionByName(level)
-        left = materialize(left.join(level.select("query_id").distinct(), "query_id", "left_anti"), "left")
-        if left.isEmpty():
+        if done.select(F.countDistinct("query_id")).first()[0] == total:
             break
+        left = ids.join(done.select("query_id").distinct(), "query_id", "left_anti")
     return done
 
 

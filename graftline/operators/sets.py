@@ -15,10 +15,14 @@ from graftline.session import materialize
 
 def shingles(text: Column | str, words: int = 5) -> Column:
     """Distinct runs of ``words`` words (split at single blanks), sorted; a shorter text is one run, an empty or null one none."""
-    parts = F.split(text, " ")
-    count = F.greatest(F.size(parts) - words + 1, F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(parts, k, words), " "))
-    return F.when(F.length(text) > 0, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<string>"))
+
+    def runs(parts: Column) -> Column:
+        count = F.greatest(F.size(parts) - words + 1, F.lit(1))
+        return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(parts, k, words), " "))))
+
+    # the lambda variable binds the words, so that the text is split once and not for every run
+    bound = F.element_at(F.transform(F.array(F.split(text, " ")), runs), 1)
+    return F.when(F.length(text) > 0, bound).otherwise(F.array().cast("array<string>"))
 
 
 def classes(sets: DataFrame, set_id: str = "doc_id", tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:

@@ -53,7 +53,9 @@ def _sweep(points: DataFrame, family: Family, delta: float, per_edge: bool, acce
             row = tree.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
             levels.append({"prefix": prefix, "candidates": n * (n - 1) // 2, "n_edges": row.n, "n_confirmed": row.n, "weight": row.w, "bound": row.w, "accepted": True})
             return TreeResult(tree, prefix, levels)
-        new = cand.new_pairs(table, prefix)
+        if prefix and load[prefix] < n - 1:  # too few pairs to span
+            continue
+        new = cand.new_pairs(table, prefix) if tree is not None else cand.prefix_pairs(table, prefix)
         if prune_connected and tree is not None:
             sure = cand.confirm(tree, family, prefix + 1, limit).filter("confirmed")
             new = cand.unconnected(new, component_labels(sure, points.select("vec_id")))
