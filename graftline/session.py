@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +51,19 @@ def release(spark: SparkSession) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Tasks that a balanced stage should have."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+@lru_cache(maxsize=1)
+def _archive() -> str:
+    """A zip of this package, made once by the driver; Spark's file server hands it to the executors."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    where = os.path.join(tempfile.mkdtemp(prefix="graftline-code-"), "graftline")
+    return shutil.make_archive(where, "zip", os.path.dirname(package), os.path.basename(package))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers, wherever they run; once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_graftline_shipped", None) != context.applicationId:
+        context.addPyFile(_archive())
+        context._graftline_shipped = context.applicationId
