@@ -187,10 +187,11 @@ def group_shards(group: int) -> tuple[int, int]:
     return group // _SHARDS % _SHARDS, group % _SHARDS
 
 
-def build(df: DataFrame, row_id: str, vector: str, dim: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> MultiIndex | None:
-    """Fit the codebooks on a sample and count the rows of each cell; None without a usable vector."""
+def build(df: DataFrame, row_id: str, vector: str, dim: int, seed: int = 0, block_rows: int = BLOCK_ROWS, most: int = MAX_CENTROIDS) -> MultiIndex | None:
+    """Fit the codebooks of at most ``most`` centroids on a sample and count the rows of each cell; None
+    without a usable vector."""
     total = df.count()
-    k = max(1, min(MAX_CENTROIDS, math.ceil(math.sqrt(total / ROWS_PER_CELL))))
+    k = max(1, min(most, math.ceil(math.sqrt(total / ROWS_PER_CELL))))
     share = min(1.0, max(SAMPLE_ROWS, 50 * k) / max(total, 1))
     hashed = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1 << 30))
     sample = df.filter(hashed < int(share * (1 << 30))).select(vector).toArrow() if share < 1 else df.select(vector).toArrow()

@@ -4,6 +4,9 @@ Each row visits its nearest cells (``imi``). In a task, the rows that visit a ce
 at home there in one matrix product per cell; both sides keep their best, so a pair is found if either row
 visits the other's cell. The best of each row are reranked by the double-precision cosine of the entries, ties
 to the smaller id, and a window merges what the tasks found.
+
+The exact way has one cell, cut into shards: every pair of shards is a task, so all vectors are compared and
+nothing is missed at any distance. Its work grows with the square of the table.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ PROBES = 16
 MARGIN = 0.06  # a search within a small radius needs no cell whose wall is farther
 PRODUCT = 4_000_000  # elements of a matrix product at a time
 LOOSE = 4e-6  # error of a single-precision cosine, twice
+TILE = 2048  # rows of either side of a product of the exact way
+SHARD_ROWS = 50_000  # of the exact way
 
 
 def _best(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +54,52 @@ def copies(x: np.ndarray, most: int) -> np.ndarray:
     return place < most
 
 
-def search_block(b: imi.Block, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray | None, entry: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """``row, other``: the best ``k`` entries of the other side for the rows of both, or of ``left`` itself without
+    ``right``, with all that equal the last within the error. No pair comes twice for a row."""
+    best = np.full((len(x), k), least, np.float32)  # of every row so far, largest first
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def offer(rows: np.ndarray, others: np.ndarray) -> None:
+        others_in = others[entry[others]]
+        if not len(others_in):
+            return
+        sims = x[rows] @ x[others_in].T
+        if rows is others:
+            sims[entry[rows], np.arange(len(others_in))] = -9
+        floor = best[rows, -1] - np.float32(LOOSE)
+        fresh = np.flatnonzero(best[rows, -1] <= least)
+        if len(fresh) and len(others_in) > k:
+            last = np.partition(sims[fresh], len(others_in) - k, axis=1)[:, len(others_in) - k]
+            floor[fresh] = np.maximum(floor[fresh], last - np.float32(LOOSE))
+        r, c = np.divmod(np.flatnonzero(sims >= floor[:, None]), len(others_in))
+        if not len(r):
+            return
+        value = sims[r, c]
+        found.append((rows[r], others_in[c], value))
+        some, r = np.unique(r, return_inverse=True)
+        both = np.concatenate([np.repeat(np.arange(len(some)), k), r])
+        value = np.concatenate([best[rows[some]].ravel(), value])
+        order = np.lexsort((-value, both))
+        count = np.bincount(both)
+        best[rows[some]] = value[order][(np.cumsum(count) - count)[:, None] + np.arange(k)]
+
+    tiles = [left[s : s + TILE] for s in range(0, len(left), TILE)]
+    across = None if right is None else [right[s : s + TILE] for s in range(0, len(right), TILE)]
+    for n, p in enumerate(tiles):
+        for q in tiles[n:] if across is None else across:
+            offer(p, q)
+            if p is not q:
+                offer(q, p)
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none
+    r, c, value = (np.concatenate(f) for f in zip(*found, strict=True))
+    keep = value >= best[r, -1] - np.float32(LOOSE)
+    return r[keep], c[keep]
+
+
+def search_block(b: imi.Block, k: int, radius: float, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``row, other, distance``: the best of every row of a task among the cells it visits there."""
     x = b.x.astype(np.float32)
     x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -82,7 +132,10 @@ def search_block(b: imi.Block, k: int, radius: float) -> tuple[np.ndarray, np.nd
                 found.append((rest[s : s + step][r], keep[c]))
 
     for cell, rows in b.at.items():
-        if low == high:
+        if exact:
+            cut = low != high
+            found.append(all_pairs(x, rows[b.shard[rows] == low] if cut else rows, rows[b.shard[rows] == high] if cut else None, entry, k, least))
+        elif low == high:
             compare(rows, rows, False)
             if cell in b.visiting:
                 compare(b.visiting[cell], rows, True)
@@ -108,7 +161,7 @@ def search_block(b: imi.Block, k: int, radius: float) -> tuple[np.ndarray, np.nd
     return b.ids[r[good]], b.ids[c[good]], distance[good]
 
 
-def nearest(df: DataFrame, row_id: str, vector: str, dim: int, k: int, radius: float = 2.0, probes: int = PROBES, margin: float = MARGIN, seed: int = 0, block_rows: int = imi.BLOCK_ROWS) -> DataFrame:
+def nearest(df: DataFrame, row_id: str, vector: str, dim: int, k: int, radius: float = 2.0, probes: int = PROBES, margin: float = MARGIN, seed: int = 0, block_rows: int | None = None, exact: bool = False) -> DataFrame:
     """``row, other, distance, rank``: the ``k`` most similar other vectors of each row within cosine
     distance ``radius``, in order of distance and id.
 
@@ -116,16 +169,17 @@ def nearest(df: DataFrame, row_id: str, vector: str, dim: int, k: int, radius: f
     left out, as are null ids; other columns are ignored; an empty table gives no rows. Ids must be whole
     numbers; a row repeated under its id counts once. Copies of a vector are neighbours at distance 0. Results
     are approximate: a pair is missed if neither row visits the other's cell; more ``probes`` and a wider
-    ``margin`` find more. Distances are those of 16-bit
+    ``margin`` find more. ``exact`` compares all pairs instead. Distances are those of 16-bit
     directions, within about 2e-6 of the exact ones.
     """
     schema = "row long, other long, distance double"
-    index = imi.build(df, row_id, vector, dim, seed, block_rows)
+    rows = block_rows or (SHARD_ROWS if exact else imi.BLOCK_ROWS)
+    index = imi.build(df, row_id, vector, dim, seed, rows, 1 if exact else imi.MAX_CENTROIDS)
     if index is None:
         return df.sparkSession.createDataFrame([], schema + ", rank int")
 
     def search(key, t):
-        found = search_block(imi.open_block(t, dim, index.shards), k, radius)
+        found = search_block(imi.open_block(t, dim, index.shards), k, radius, exact)
         return pa.table([pa.array(c) for c in found], names=["row", "other", "distance"])
 
     sent = imi.send(df, row_id, vector, index, probes, margin)

@@ -43,13 +43,13 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The up to 5 nearest other vectors within cosine distance 0.20 of every usable vector."""
-    return nearest(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, 0.20)
+    """The 5 nearest other vectors of every usable vector, at any distance."""
+    return nearest(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, exact=True)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs found from either side, each once."""
-    found = p3_neighbours(spark, sf_dir)
+    """Pairs of the 5 nearest within cosine distance 0.20, found from either side, each once."""
+    found = nearest(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, 0.20)
     return found.select(F.least("row", "other").alias("row_a"), F.greatest("row", "other").alias("row_b")).distinct()
 
 

@@ -58,6 +58,24 @@ def test_recall_without_radius(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("block_rows", [100, None])
+def test_exact_neighbours_are_whole(spark, block_rows):
+    x = groups(background=600)
+    got = {(r.row, r.other) for r in nearest(frame(spark, x), "row_id", "train", DIM, 5, block_rows=block_rows, exact=True).collect()}
+    want = truth(x, 5, 2.0)
+    assert len(got) == len(want) == 5 * len(x) and len(got & want) >= 0.99 * len(want)
+
+
+def test_registered_neighbours_have_no_radius(spark, sf):
+    from graftline.llm.queries import p3_neighbours
+    from graftline.session import table
+
+    rows = table(spark, sf, "glove_100_angular").toArrow()
+    usable, _ = imi.vectors_of(rows.column("train"), 100)
+    got = p3_neighbours(spark, sf).collect()
+    assert len(got) == 5 * len(usable) and {r.row for r in got} == set(rows.column("row_id").to_numpy()[usable].tolist())
+
+
 def test_copies_take_the_smallest_ids(spark):
     x = np.concatenate([np.repeat(np.eye(DIM)[:1], 50, axis=0), 3 * np.eye(DIM)[:1], groups(background=50, sizes=())]).astype(np.float32)
     got = {}
