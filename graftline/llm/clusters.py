@@ -1,8 +1,8 @@
 """Similarity clusters of vectors by Markov clustering.
 
 1. *Graph.* Rows visit the cells of an inverted multi-index. In each cell, rows join the first pivot (by id)
-   within the radius, so a dense group shrinks to few pivots; links of visiting rows are carried over to the
-   pivots. The similarity graph has pivots as nodes; its size doesn't depend on how many rows a pivot stands for.
+   within the radius, so a dense group shrinks to few pivots; links of the rows, at home or visiting, are carried
+   over to the pivots. The similarity graph has pivots as nodes; its size doesn't depend on how many rows a pivot stands for.
 2. *Markov clustering.* The column-stochastic flow matrix is squared as a sparse self-join, inflated, pruned
    of small entries and normalised, until columns no longer change. The row that receives a column's
    flow is its attractor; attractor rows define the clusters.
@@ -68,7 +68,8 @@ def link_block(b: imi.Block, least: float) -> tuple[np.ndarray, np.ndarray, np.n
     out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     low, high = b.pair
 
-    def link(rows: np.ndarray, entries: np.ndarray, own: np.ndarray) -> None:
+    def link(rows: np.ndarray, entries: np.ndarray, own: np.ndarray, heads: np.ndarray | None = None) -> None:
+        """Links of rows to the pivots of the entries; with ``heads``, the rows' own pivots, between pivots only."""
         order = np.argsort(own, kind="stable")
         targets, starts = np.unique(own[order], return_index=True)
         step = max(1, 4_000_000 // max(1, len(entries)))
@@ -76,7 +77,16 @@ def link_block(b: imi.Block, least: float) -> tuple[np.ndarray, np.ndarray, np.n
             part = rows[s : s + step]
             best = np.maximum.reduceat(x[part] @ x[entries[order]].T, starts, axis=1)
             r, c = np.nonzero(best >= least)
-            out.append((1, b.ids[part[r]], b.ids[entries[targets[c]]], best[r, c]))
+            if heads is None:
+                out.append((1, b.ids[part[r]], b.ids[entries[targets[c]]], best[r, c]))
+                continue
+            p, q, sim = heads[s : s + step][r], entries[targets[c]], best[r, c]
+            p, q, sim = p[p != q], q[p != q], sim[p != q]
+            if len(p):  # each pair of pivots once, at its best
+                by = np.lexsort((q, p))
+                p, q = p[by], q[by]
+                first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+                out.append((1, b.ids[p[first]], b.ids[q[first]], np.maximum.reduceat(sim[by], first)))
 
     for cell, rows in b.at.items():
         mine = rows[b.shard[rows] == low]
@@ -86,12 +96,12 @@ def link_block(b: imi.Block, least: float) -> tuple[np.ndarray, np.ndarray, np.n
             if len(joined):
                 sims = np.einsum("ij,ij->i", x[mine[joined]], x[mine[own[joined]]])
                 out.append((0, b.ids[mine[joined]], b.ids[mine[own[joined]]], sims))
+                link(mine, mine, own, mine[own])
             if cell in b.visiting:
                 link(b.visiting[cell], mine, own)
             continue
         others = rows[b.shard[rows] == high]
-        heads = others[np.unique(pivots(x[others], least))]
-        link(heads, mine, own)
+        link(others, mine, own, others[pivots(x[others], least)])
     if not out:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0)

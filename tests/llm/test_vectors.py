@@ -105,6 +105,18 @@ def test_clusters(spark, block_rows, monkeypatch):
     assert all(1 <= len(r.typical) <= 3 and {(r.cluster_row, t) for t in r.typical} <= got for r in rows)
 
 
+@pytest.mark.parametrize("block_rows", [2, imi.BLOCK_ROWS])
+def test_a_clique_with_a_satellite_of_smaller_id(spark, block_rows):
+    def at(*degrees):
+        x = np.zeros((len(degrees), DIM), np.float32)
+        x[:, 0], x[:, 1] = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+        return x
+
+    x = at(0, 30, 60, 64)  # 0.20 is 36.9 degrees
+    assert pivots(x, 0.8).tolist() == [0, 0, 2, 2]
+    assert {(r.cluster_row, r.row_id) for r in Clusters(frame(spark, x, dirty=False), "row_id", "train", DIM, 0.2, block_rows=block_rows).found.collect()} == {(1, 1), (1, 2), (1, 3)}
+
+
 def test_a_large_cluster_with_outliers_is_parted(spark, monkeypatch):
     from graftline.llm.clusters import exact_cliques
 
