@@ -29,6 +29,7 @@ TILE_ROWS = 4096  # larger clusters are checked in tiles of so many rows
 INFLATION = 2.0
 PRUNE = 1e-3  # share of the column's largest entry
 MAX_ROUNDS = 40
+MAX_STEPS = 20_000  # of the search for a larger clique, where cliques overlap
 BITS = 8  # of the vectors that the graph is made from; the check reads the stored ones
 LOOSE = 5e-3  # more than the error of their cosines
 
@@ -167,25 +168,102 @@ def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float
     return named.join(gets, "node", "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
 
 
-def cliques(near: np.ndarray) -> list[np.ndarray]:
-    """Positions of cliques of at least 3: grown from the row of highest degree by degree, then removed, and
-    so on. Ties go to the earlier row."""
-    left = np.ones(len(near), bool)
-    out = []
+def _grown(near: np.ndarray, start: int) -> list[int]:
+    """The clique grown from ``start`` by degree among the rows that can still join."""
+    can, got = near[start].copy(), [start]
+    inside = near[can].sum(axis=0)
+    while can.any():
+        nxt = int(np.where(can, inside, -1).argmax())
+        got.append(nxt)
+        gone = can & ~near[nxt]
+        inside -= near[gone].sum(axis=0)
+        can &= near[nxt]
+    return got
+
+
+def _larger(near: np.ndarray, least: int) -> list[int]:
+    """A largest clique of more than ``least`` rows, by branch and bound with greedy colouring, or nothing. After
+    ``MAX_STEPS`` the largest so far."""
+    adjacent = [int.from_bytes(np.packbits(r, bitorder="little").tobytes(), "little") for r in near]
+
+    def coloured(rows: int) -> list[tuple[int, int]]:
+        out, colour = [], 0
+        while rows:
+            colour, free = colour + 1, rows
+            while free:
+                v = (free & -free).bit_length() - 1
+                rows &= ~(1 << v)
+                free &= ~(1 << v) & ~adjacent[v]
+                out.append((v, colour))
+        return out
+
+    everything = (1 << len(near)) - 1
+    stack, got, best = [[coloured(everything), everything]], [], []
+    for _ in range(MAX_STEPS):
+        while stack and (not stack[-1][0] or len(got) + stack[-1][0][-1][1] <= max(least, len(best))):
+            stack.pop()
+            if got:
+                got.pop()
+        if not stack:
+            break
+        v, _ = stack[-1][0].pop()
+        rows = stack[-1][1]
+        stack[-1][1] = rows & ~(1 << v)
+        got.append(v)
+        if len(got) > max(least, len(best)):
+            best = list(got)
+        stack.append([coloured(rows & adjacent[v]), rows & adjacent[v]])
+    return best
+
+
+def _largest(near: np.ndarray) -> np.ndarray:
+    """Positions of a largest clique; rows of too small a degree are dropped before the search."""
+    best = _grown(near, int(near.sum(axis=1).argmax()))
+    core = np.ones(len(near), bool)
     while True:
-        degree = (near & left[None, :]).sum(axis=1) * left
-        start = int(degree.argmax())
-        if degree[start] < 2:
-            return out
-        can, got = near[start] & left, [start]
-        while can.any():
-            inside = (near[:, can].sum(axis=1)) * can
-            nxt = int(np.where(can, inside, -1).argmax())
-            got.append(nxt)
-            can &= near[nxt]
-        left[got] = False
-        if len(got) > 2:
-            out.append(np.sort(np.array(got)))
+        fewer = core & ((near & core).sum(axis=1) >= len(best))
+        if fewer.sum() == core.sum():
+            break
+        core = fewer
+    at = np.flatnonzero(core)
+    if len(at) > len(best):
+        inner = near[np.ix_(at, at)]
+        by = np.argsort(-inner.sum(axis=1), kind="stable")
+        better = _larger(inner[np.ix_(by, by)], len(best))
+        if better:
+            best = at[by[better]]
+    return np.sort(np.array(best))
+
+
+def cliques(near: np.ndarray) -> list[np.ndarray]:
+    """Positions of cliques of at least 3, of each connected part the largest first, which is then removed.
+
+    Edges of no triangle belong to no such clique and are dropped first, so cliques that share no row are the
+    connected parts of the rest. Ties go to the earlier row."""
+    out, pending = [], [np.arange(len(near))]
+    while pending:
+        rows = pending.pop()
+        some = near[np.ix_(rows, rows)]
+        flat = some.astype(np.float32)
+        for s in range(0, len(rows), CHUNK):
+            some[s : s + CHUNK] &= flat[s : s + CHUNK] @ flat > 0
+        left = some.any(axis=1)
+        while left.any():
+            part = np.zeros(len(rows), bool)
+            fresh = np.array([int(left.argmax())])
+            while len(fresh):
+                part[fresh] = True
+                fresh = np.flatnonzero(some[fresh].any(axis=0) & ~part)
+            left &= ~part
+            at = np.flatnonzero(part)
+            inner = some[np.ix_(at, at)]
+            if inner.sum() == len(at) * (len(at) - 1):
+                out.append(rows[at])
+                continue
+            got = _largest(inner)
+            out.append(rows[at[got]])
+            pending.append(np.delete(rows[at], got))
+    return sorted(out, key=lambda c: int(c[0]))
 
 
 def _near(u: np.ndarray, v: np.ndarray, radius: float) -> np.ndarray:
@@ -202,7 +280,7 @@ def _check_small(radius: float, dim: int):
             ids = t.column("row").to_numpy()
             at, x = imi.vectors_of(t.column("vec"), dim)
             u, ids = imi.unit(x), ids[at]
-            near = _near(u, u, radius)
+            near = np.concatenate([_near(u[s : s + CHUNK], u, radius) for s in range(0, len(u), CHUNK)]) if len(u) else np.zeros((0, 0), bool)
             np.fill_diagonal(near, False)
             if near.sum() == len(ids) * (len(ids) - 1):
                 found = [np.arange(len(ids))] if len(ids) > 2 else []
@@ -262,8 +340,9 @@ def exact_cliques(rows: DataFrame, dim: int, radius: float) -> DataFrame:
 
     A cluster up to ``TILE_ROWS`` is solved in one task. Of a larger one the degrees of all rows are counted
     in tiles. If every row is near every other, the cluster is a clique. Else, h being the largest number
-    such that h rows have a degree of at least h, rows below h are in no clique so large; they are parted from
-    the rest, and both parts are checked again. A part that can't be parted is solved in one task.
+    such that h rows have a degree of at least h, rows below h are in no clique so large. If the others are a
+    clique, it is taken, and the rows below h are checked again; no other clique has been cut by that. If not,
+    the whole cluster is solved in one task.
     """
     spark = rows.sparkSession
     done: list[DataFrame] = []
@@ -288,11 +367,16 @@ def exact_cliques(rows: DataFrame, dim: int, radius: float) -> DataFrame:
         if open_.isEmpty():
             break
         back = large.select("row", "vec").join(open_.select("row", "cluster", "h", "degree", "stuck"), "row")
-        solved = back.filter("stuck").select("cluster", "row", "vec")
+        high = back.filter("not stuck and degree >= h").withColumn("size", F.count(F.lit(1)).over(whole))
+        inside, _ = _check_large(high.select("cluster", "row", "vec", "size"), dim, radius)
+        tops = inside.groupBy("cluster").agg(F.min("degree").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row").alias("head"))
+        tops = materialize(tops.filter("least = n and n > 2").select("cluster", "head"), "tops")
+        parted = back.join(tops, "cluster", "left")
+        done.append(parted.filter("head is not null and degree >= h").select(F.col("head").alias("cluster_row"), F.col("row").alias("row_id")))
+        solved = parted.filter("head is null").select("cluster", "row", "vec")
         done.append(solved.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(small, schema))
-        split = back.filter("not stuck").withColumn("cluster", F.when(F.col("degree") >= F.col("h"), F.col("cluster") * 2).otherwise(F.col("cluster") * 2 + 1))
-        parts = split.select("cluster", "row", "vec")
-        pending = parts.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).filter("size > 2")
+        parts = parted.filter("head is not null and degree < h").select("cluster", "row", "vec")
+        pending = parts.withColumn("size", F.count(F.lit(1)).over(whole)).filter("size > 2")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -152,6 +152,48 @@ def test_cliques_and_pivots():
     assert pivots(x, 0.9).tolist() == [0, 1, 0, 1]
 
 
+def adjacency(n, edges):
+    near = np.zeros((n, n), bool)
+    for a, b in edges:
+        near[a, b] = near[b, a] = True
+    return near
+
+
+def test_a_hub_does_not_take_a_row_from_a_clique():
+    near = adjacency(7, [(0, 1), (0, 4), (0, 5), (0, 6), (1, 2), (1, 3), (2, 3)])
+    assert [c.tolist() for c in cliques(near)] == [[1, 2, 3]]
+
+
+def test_the_largest_clique_is_taken_first():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        near = np.triu(rng.random((14, 14)) < 0.5, 1)
+        near |= near.T
+        sets = [m for m in range(1 << 14) if m.bit_count() > 2]
+        rows = [int(sum(1 << int(c) for c in np.flatnonzero(r))) for r in near]
+        most = max((m.bit_count() for m in sets if all(m & ~(1 << v) & ~rows[v] == 0 for v in range(14) if m >> v & 1)), default=0)
+        found = cliques(near)
+        assert max((len(c) for c in found), default=0) == most
+        assert all(near[np.ix_(c, c)].sum() == len(c) * (len(c) - 1) for c in found)
+
+
+def test_a_clique_with_a_hub_isnt_cut_by_degree(spark, monkeypatch):
+    from graftline.llm.clusters import exact_cliques
+
+    monkeypatch.setattr("graftline.llm.clusters.TILE_ROWS", 10)
+    x = np.zeros((19, 20), np.float32)
+    x[:8, 0], x[8:16, 1] = 1, 1  # two cliques of 8
+    x[16:, 2] = 1  # and one of 3, of which a row is near all of the first
+    x[16, 0], x[17, 0], x[18, 0] = 1.35, 0.3, 0.3
+    near = distances(x) <= 0.2
+    assert near[16].sum() == 11 and near[17].sum() == 3
+    rows = spark.createDataFrame([(1, n, [float(v) for v in r], len(x)) for n, r in enumerate(x)], "cluster long, row long, vec array<float>, size long")
+    got = {}
+    for r in exact_cliques(rows, 20, 0.2).collect():
+        got.setdefault(r.cluster_row, set()).add(r.row_id)
+    assert got == {0: {*range(8), 16}, 8: set(range(8, 16))}
+
+
 def test_layout_cuts_only_full_cells():
     rng = np.random.default_rng(0)
     index = imi.MultiIndex(8, rng.standard_normal((6, 4)).astype(np.float32), rng.standard_normal((6, 4)).astype(np.float32))
