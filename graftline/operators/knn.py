@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline.functions.families import Family, SimHash, codes
+from graftline.functions.probability import simhash_collision
 from graftline.functions.vectors import metric
 from graftline.operators import candidates as cand
 from graftline.operators.pairs import closest_pairs as closest_pairs_exact
@@ -26,16 +29,28 @@ def sketches(points: DataFrame, bits: int, seed: int = 7) -> DataFrame:
     return codes(points, family).select("vec_id", packed.alias("sketch"))
 
 
-def knn(queries: DataFrame, points: DataFrame, family: Family, k: int, delta: float = 0.1, filter_type: str = "none", bits: int = 32, max_difference: int | None = None) -> DataFrame:
+def most_difference(kth: Column, bits: int, miss: float) -> Column:
+    """Bits in which the sketches of two points within cosine distance ``kth`` differ, but with a chance of about
+    ``miss``: what is expected and a margin. Without a distance all bits."""
+    p = F.lit(1.0) - simhash_collision(kth)
+    margin = F.lit(NormalDist().inv_cdf(1 - miss)) * F.sqrt(F.lit(bits) * p * (F.lit(1.0) - p))
+    return F.when(kth.isNull(), F.lit(bits)).otherwise(F.ceil(F.lit(bits) * p + margin))
+
+
+def knn(queries: DataFrame, points: DataFrame, family: Family, k: int, delta: float = 0.1, filter_type: str = "none", bits: int = 32, max_difference: int | None = None, miss: float | None = None) -> DataFrame:
     """``query_id, rank, id, dist``: ``k`` neighbours of each query, with the query's own id left out.
 
     A query is done at the longest prefix at which it has ``k`` candidates and a point as near as the k-th
     would have been missed with a chance of at most ``delta``; at prefix 0 every point is a candidate. Queries
     done at one level take no part in the next. ``filter_type`` simple or default drops candidates whose
-    sketches differ in more than ``max_difference`` bits; default only if the query has more than ``k``.
+    sketches differ in more than ``max_difference`` bits; default only if the query has more than ``k``. With
+    ``miss`` the limit of a query follows at each level from its k-th distance so far, so that a point as near is
+    dropped with a chance of about ``miss``; until it has ``k`` nothing is dropped. That is for cosine distances.
     """
     if filter_type not in FILTERS:
         raise ValueError(f"filter_type must be one of {FILTERS}")
+    if miss is not None and (family.metric != "cosine" or not 0 < miss < 1 or max_difference is not None):
+        raise ValueError("miss is for cosine distances, in (0, 1) and instead of max_difference")
     if points.count() < SMALL:
         return exact_neighbours(queries, points, family.metric, k)
     table = materialize(codes(points, family), "codes")
@@ -48,6 +63,7 @@ def knn(queries: DataFrame, points: DataFrame, family: Family, k: int, delta: fl
         both = points.select("vec_id", "embedding").unionByName(queries.select("vec_id", "embedding")).dropDuplicates(["vec_id"])
         s = materialize(sketches(both, bits), "sketches")
         most = bits // 2 if max_difference is None else max_difference
+    so_far = held = None  # the k-th distances, and the neighbours they are of
     for prefix in range(family.depth, -1, -1):
         a = asked.join(left, "query_id").select("query_id", "rep", cand.prefix_of("code", prefix).alias("key"))
         b = table.select(F.col("vec_id").alias("id"), "rep", cand.prefix_of("code", prefix).alias("key"))
@@ -57,14 +73,24 @@ def knn(queries: DataFrame, points: DataFrame, family: Family, k: int, delta: fl
         if filter_type != "none":
             near = met.join(s.select(F.col("vec_id").alias("query_id"), F.col("sketch").alias("s1")), "query_id").join(s.select(F.col("vec_id").alias("id"), F.col("sketch").alias("s2")), "id")
             near = near.withColumn("diff", F.bit_count(F.col("s1").bitwiseXOR(F.col("s2")))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-            keep = F.col("diff") <= most
+            if so_far is not None:
+                near = near.join(so_far, "query_id", "left")
+                keep = F.col("diff") <= most_difference(F.col("kth"), bits, miss)
+            else:
+                keep = F.lit(True) if miss is not None else F.col("diff") <= most
             met = near.filter(keep | (F.col("n") <= k) if filter_type == "default" else keep).select("query_id", "id")
         dist = met.join(x, "query_id").join(y, "id").select("query_id", "id", m.column(F.col("_x"), F.col("_y")).alias("dist"))
+        if held is not None:  # what is found stays, whatever its sketch
+            dist = dist.unionByName(held.join(left, "query_id")).dropDuplicates(["query_id", "id"])
         order = Window.partitionBy("query_id").orderBy("dist", "id")
         top = dist.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         whole = Window.partitionBy("query_id")
         top = top.withColumn("_n", F.max("rank").over(whole)).withColumn("_kth", F.max("dist").over(whole))
         ok = F.lit(True) if prefix == 0 else (F.col("_n") >= k) & (family.failure(F.col("_kth"), prefix) <= delta)
+        if filter_type != "none" and miss is not None:
+            top = materialize(top, "top")
+            held = top.select("query_id", "id", "dist")
+            so_far = top.filter(F.col("_n") >= k).select("query_id", F.col("_kth").alias("kth")).distinct()
         level = materialize(top.filter(ok).select("query_id", "rank", "id", "dist"), "level")
         done = level if done is None else done.unionByName(level)
         if done.select(F.countDistinct("query_id")).first()[0] == total:

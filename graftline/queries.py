@@ -233,6 +233,11 @@ def knn_lsh_sketch_filter(spark, sf_dir):
     return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10, filter_type="simple", bits=32, max_difference=14), "dist")
 
 
+def knn_lsh_sketch_derived(spark, sf_dir):
+    """The same with limits that follow from the k-th distances so far."""
+    return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10, filter_type="simple", bits=32, miss=0.01), "dist")
+
+
 def closest_pairs_lsh(spark, sf_dir):
     return rounded(knn.closest_pairs(points(spark, sf_dir), SIM, 20))
 
@@ -355,7 +360,7 @@ QUERIES = {
             knn_from_index_exact, closest_pairs_exact, bucket_sizes_by_prefix, bucket_runs, lsh_pairs_full_hash, lsh_pairs_prefix,
             lsh_pairs_incremental, pair_lcp, lsh_pairs_filtered, failure_probability_table, confirmed_split, bound_weight, epsilon_accept,
             find_tree_simhash, find_tree_e2lsh, find_epsilon_tree_simhash, tree_connected, local_msf_by_rep, merge_msf, knn_lsh,
-            knn_lsh_sketch_filter, closest_pairs_lsh, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
+            knn_lsh_sketch_filter, knn_lsh_sketch_derived, closest_pairs_lsh, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
             distance_histogram, tree_median_edge, tree_log_weights, incremental_append_tree, index_save_load_roundtrip,
             collision_log_roundtrip, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
             jaccard_mst_documents, minhash_codes_documents,

@@ -157,6 +157,16 @@ def test_filter_modes(spark):
         knn.knn(points, points, SimHash(16, 4, 6), 5, filter_type="other")
 
 
+def test_derived_sketch_limit_keeps_the_neighbours(spark, sf):
+    from graftline import queries as core
+
+    ends_ = {q: {(r.query_id, r.id) for r in getattr(core, q)(spark, sf).collect()} for q in ("knn_lsh_sketch_derived", "knn_from_index_exact")}
+    want = ends_["knn_from_index_exact"]
+    assert len(ends_["knn_lsh_sketch_derived"] & want) >= 0.9 * len(want)
+    with pytest.raises(ValueError):
+        knn.knn(frame(spark, clustered(150)), frame(spark, clustered(150)), E2LSH(16, 4, 4, width=4.0), 5, filter_type="simple", miss=0.01)
+
+
 def test_index_save_load_extend(spark, tmp_path):
     points, family = frame(spark, clustered(40)), SimHash(16, 3, 4)
     whole = Index(points, family)
