@@ -302,6 +302,13 @@ def collision_log_roundtrip(spark, sf_dir):
     return logs.read_collisions(spark, path)
 
 
+def collision_log_roundtrip_whole(spark, sf_dir):
+    """The whole log, with its nulls and the distances that aren't finite."""
+    path = scratch_path(spark, "log")
+    logs.write_collisions(table(spark, sf_dir, "glove_sampl"), path)
+    return logs.read_collisions(spark, path)
+
+
 def memory_plan(spark, sf_dir):
     n = points(spark, sf_dir).count()
     rows = [(limit, n, repetitions_within(limit, n, DIM, 8)) for limit in (2_000_000, 8_000_000, 900_000_000)]
@@ -362,7 +369,7 @@ QUERIES = {
             find_tree_simhash, find_tree_e2lsh, find_epsilon_tree_simhash, tree_connected, local_msf_by_rep, merge_msf, knn_lsh,
             knn_lsh_sketch_filter, knn_lsh_sketch_derived, closest_pairs_lsh, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
             distance_histogram, tree_median_edge, tree_log_weights, incremental_append_tree, index_save_load_roundtrip,
-            collision_log_roundtrip, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
+            collision_log_roundtrip, collision_log_roundtrip_whole, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
             jaccard_mst_documents, minhash_codes_documents,
         )
     },

@@ -195,6 +195,22 @@ def test_logs_round_trip(spark, tmp_path):
     assert logs.read_tree(spark, str(tmp_path / "t")).collect()[0].j == 2
 
 
+def test_the_whole_log_survives_a_round_trip(spark, sf, tmp_path):
+    from collections import Counter
+
+    from graftline import queries as core
+    from graftline.session import table
+
+    def lines(df):
+        return Counter(map(repr, df.select("i", "j", "edge1", "edge2", "distance").collect()))
+
+    log = table(spark, sf, "glove_sampl")
+    assert lines(core.QUERIES["collision_log_roundtrip_whole"](spark, sf)) == lines(log)
+    odd = spark.createDataFrame([(None,) * 5, (1, None, 2, 3, float("nan")), (1, 0, 2, 3, float("inf")), (1, 0, 2, 3, float("-inf")), (1, 0, None, 3, -0.0), (1, 0, 2, 3, 1e-300)], logs.COLLISIONS)
+    logs.write_collisions(odd, str(tmp_path / "odd"))
+    assert lines(logs.read_collisions(spark, str(tmp_path / "odd"))) == lines(odd)
+
+
 def test_appending_gives_the_tree_of_all(spark, tmp_path):
     x = clustered(60)
     points = frame(spark, x)
