@@ -6,6 +6,7 @@
 2. *Markov clustering.* The column-stochastic flow matrix is squared as a sparse self-join, inflated, pruned
    of small entries and normalised, until columns no longer change. The row that receives a column's
    flow is its attractor; attractor rows define the clusters.
+   A pivot without edges is a node with a loop.
 3. *Exact check.* In each cluster every distance is computed from the stored vectors. A cluster of which
    all pairs are within the radius stays; of any other its cliques are taken, largest first.
 """
@@ -25,7 +26,7 @@ from graftline.session import materialize, parallelism
 PROBES = 16
 MARGIN = 0.045
 CHUNK = 1024
-TILE_ROWS = 4096  # larger clusters are checked in tiles of so many rows
+TILE_ROWS = 4096  # larger clusters are checked in tiles of so many rows; no result depends on it
 INFLATION = 2.0
 PRUNE = 1e-3  # share of the column's largest entry
 MAX_ROUNDS = 40
@@ -122,7 +123,8 @@ def similarity_graph(df: DataFrame, row_id: str, vector: str, dim: int, radius:
         cols = link_block(imi.open_block(t, dim, index.shards, BITS), least)
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["kind", "row", "pivot", "sim"])
 
-    raw = imi.send(df, row_id, vector, index, probes, margin, BITS).groupBy("grp").applyInArrow(links, "kind long, row long, pivot long, sim double")
+    sent = imi.send(df, row_id, vector, index, probes, margin, BITS).repartition(index.tasks(parallelism(spark)), "grp")
+    raw = sent.groupBy("grp").applyInArrow(links, "kind long, row long, pivot long, sim double")
     raw = materialize(raw, "links")
     members = raw.filter("kind = 0").groupBy("row").agg(F.min("pivot").alias("pivot"), F.max("sim").alias("sim"))
     found = raw.filter("kind = 1").alias("l").join(members.alias("m"), F.col("l.row") == F.col("m.row"), "left")
@@ -131,24 +133,31 @@ def similarity_graph(df: DataFrame, row_id: str, vector: str, dim: int, radius:
     return members, edges
 
 
-def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``node, cluster, flow`` of every node of a weighted graph ``a, b, w``.
+def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation: float = INFLATION, prune: float = PRUNE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``node, cluster, flow`` of every node of a weighted graph ``a, b, w`` and of ``nodes(node)`` beside it.
 
     ``cluster`` is the attractor row that gets most of the node's flow (ties to the smaller id) and ``flow`` the
     flow that the node itself receives. Edges count in both directions, repeated ones once at the largest
-    weight; nulls and weights that aren't positive are left out. Every node gets a loop of its largest weight.
+    weight; nulls and weights that aren't positive are left out. Every node gets a loop of its largest weight, a
+    node without edges one of weight 1. Columns that still change after ``max_rounds`` are an error.
+
+    The flow is partitioned by column, so that the sums of a round and its windows share one exchange.
     """
     good = edges.filter("a is not null and b is not null and a <> b and w > 0 and not isnan(w)")
-    both = good.select("a", "b", "w").unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    both = both.groupBy(F.col("a").alias("col"), F.col("b").alias("row")).agg(F.max("w").alias("v"))
-    loops = both.groupBy("col").agg(F.max("v").alias("v")).select("col", F.col("col").alias("row"), "v")
+    both = good.select(F.col("a").alias("col"), F.col("b").alias("row"), "w").unionByName(good.select(F.col("b").alias("col"), F.col("a").alias("row"), "w"))
+    if nodes is not None:
+        both = both.unionByName(nodes.filter("node is not null").select(F.col("node").alias("col"), F.col("node").alias("row"), F.lit(None).cast("double").alias("w")))
     column = Window.partitionBy("col")
-    flow = both.unionByName(loops).withColumn("v", F.col("v") / F.sum("v").over(column))
+    once = both.repartition("col").groupBy("col", "row").agg(F.max("w").alias("v"))
+    links = once.filter("col <> row")
+    loops = once.groupBy("col").agg(F.coalesce(F.max("v"), F.lit(1.0)).alias("v")).select("col", F.col("col").alias("row"), "v")
+    flow = links.unionByName(loops).repartition("col").withColumn("v", F.col("v") / F.sum("v").over(column))
     flow = materialize(flow, "flow")
+    worst = None
     for _ in range(max_rounds):
         left = flow.select(F.col("col").alias("mid"), F.col("row"), F.col("v").alias("x"))
         right = flow.select(F.col("row").alias("mid"), F.col("col"), F.col("v").alias("y"))
-        square = left.join(right, "mid").groupBy("col", "row").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        square = left.join(right, "mid").select("col", "row", (F.col("x") * F.col("y")).alias("xy")).repartition("col").groupBy("col", "row").agg(F.sum("xy").alias("v"))
         raised = square.withColumn("v", F.pow("v", F.lit(inflation)))
         kept = raised.withColumn("most", F.max("v").over(column)).filter(F.col("v") >= prune * F.col("most"))
         share = kept.select("col", "row", (F.col("v") / F.sum("v").over(column)).alias("v"))
@@ -158,6 +167,8 @@ def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float
         worst = seen.get["open"]
         if worst is None or worst < 1e-3:
             break
+    else:
+        raise RuntimeError(f"columns still change by {worst} after {max_rounds} rounds")
     # equal shares differ in their last digits, so they are compared in seven
     value = F.round("v", 7)
     rank = Window.partitionBy("col").orderBy(value.desc(), "row")
@@ -168,86 +179,96 @@ def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float
     return named.join(gets, "node", "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
 
 
-def _grown(near: np.ndarray, start: int) -> list[int]:
-    """The clique grown from ``start`` by degree among the rows that can still join."""
+def _grown(near: np.ndarray, weight: np.ndarray, start: int) -> list[int]:
+    """The clique grown from ``start`` by the weight of the neighbours among the nodes that can still join."""
     can, got = near[start].copy(), [start]
-    inside = near[can].sum(axis=0)
+    inside = weight[can] @ near[can]
     while can.any():
-        nxt = int(np.where(can, inside, -1).argmax())
+        nxt = int(np.where(can, inside + weight, -1).argmax())
         got.append(nxt)
         gone = can & ~near[nxt]
-        inside -= near[gone].sum(axis=0)
+        inside = inside - weight[gone] @ near[gone]
         can &= near[nxt]
     return got
 
 
-def _larger(near: np.ndarray, least: int) -> list[int]:
-    """A largest clique of more than ``least`` rows, by branch and bound with greedy colouring, or nothing. After
-    ``MAX_STEPS`` the largest so far."""
+def _larger(near: np.ndarray, weight: np.ndarray, least: int) -> list[int]:
+    """A heaviest clique of more than ``least``, by branch and bound with greedy colouring, or nothing. After
+    ``MAX_STEPS`` the heaviest so far."""
     adjacent = [int.from_bytes(np.packbits(r, bitorder="little").tobytes(), "little") for r in near]
+    heavy = weight.tolist()
 
     def coloured(rows: int) -> list[tuple[int, int]]:
-        out, colour = [], 0
+        """Nodes with a bound on the weight of a clique among them and those before."""
+        out, bound = [], 0
         while rows:
-            colour, free = colour + 1, rows
+            free, top = rows, 0
+            first = len(out)
             while free:
                 v = (free & -free).bit_length() - 1
                 rows &= ~(1 << v)
                 free &= ~(1 << v) & ~adjacent[v]
-                out.append((v, colour))
+                top = max(top, heavy[v])
+                out.append((v, 0))
+            bound += top
+            out[first:] = [(v, bound) for v, _ in out[first:]]
         return out
 
     everything = (1 << len(near)) - 1
-    stack, got, best = [[coloured(everything), everything]], [], []
+    stack, got, best, size, most = [[coloured(everything), everything]], [], [], 0, least
     for _ in range(MAX_STEPS):
-        while stack and (not stack[-1][0] or len(got) + stack[-1][0][-1][1] <= max(least, len(best))):
+        while stack and (not stack[-1][0] or size + stack[-1][0][-1][1] <= most):
             stack.pop()
             if got:
-                got.pop()
+                size -= heavy[got.pop()]
         if not stack:
             break
         v, _ = stack[-1][0].pop()
         rows = stack[-1][1]
         stack[-1][1] = rows & ~(1 << v)
         got.append(v)
-        if len(got) > max(least, len(best)):
-            best = list(got)
+        size += heavy[v]
+        if size > most:
+            best, most = list(got), size
         stack.append([coloured(rows & adjacent[v]), rows & adjacent[v]])
     return best
 
 
-def _largest(near: np.ndarray) -> np.ndarray:
-    """Positions of a largest clique; rows of too small a degree are dropped before the search."""
-    best = _grown(near, int(near.sum(axis=1).argmax()))
+def _largest(near: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Positions of a heaviest clique; nodes with too light a neighbourhood are dropped before the search."""
+    best = _grown(near, weight, int((near @ weight + weight).argmax()))
+    size = int(weight[best].sum())
     core = np.ones(len(near), bool)
     while True:
-        fewer = core & ((near & core).sum(axis=1) >= len(best))
+        fewer = core & ((near & core) @ weight + weight > size)
         if fewer.sum() == core.sum():
             break
         core = fewer
     at = np.flatnonzero(core)
-    if len(at) > len(best):
+    if len(at):
         inner = near[np.ix_(at, at)]
-        by = np.argsort(-inner.sum(axis=1), kind="stable")
-        better = _larger(inner[np.ix_(by, by)], len(best))
+        by = np.argsort(-(inner @ weight[at]), kind="stable")
+        better = _larger(inner[np.ix_(by, by)], weight[at[by]], size)
         if better:
             best = at[by[better]]
     return np.sort(np.array(best))
 
 
-def cliques(near: np.ndarray) -> list[np.ndarray]:
-    """Positions of cliques of at least 3, of each connected part the largest first, which is then removed.
+def cliques(near: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
+    """Positions of cliques that weigh at least 3, of each connected part the heaviest first, which is then removed.
 
-    Edges of no triangle belong to no such clique and are dropped first, so cliques that share no row are the
-    connected parts of the rest. Ties go to the earlier row."""
+    A node stands for ``weight`` rows near each other (1 by default). Edges of no triangle belong to no such
+    clique and are dropped first, so cliques that share no row are the connected parts of the rest. Ties go to
+    the earlier node."""
+    weight = np.ones(len(near), np.int64) if weight is None else weight
     out, pending = [], [np.arange(len(near))]
     while pending:
         rows = pending.pop()
-        some = near[np.ix_(rows, rows)]
+        some, w = near[np.ix_(rows, rows)], weight[rows]
         flat = some.astype(np.float32)
         for s in range(0, len(rows), CHUNK):
-            some[s : s + CHUNK] &= flat[s : s + CHUNK] @ flat > 0
-        left = some.any(axis=1)
+            some[s : s + CHUNK] &= (flat[s : s + CHUNK] @ flat > 0) | (w[s : s + CHUNK, None] + w >= 3)
+        left = some.any(axis=1) | (w >= 3)
         while left.any():
             part = np.zeros(len(rows), bool)
             fresh = np.array([int(left.argmax())])
@@ -260,9 +281,10 @@ def cliques(near: np.ndarray) -> list[np.ndarray]:
             if inner.sum() == len(at) * (len(at) - 1):
                 out.append(rows[at])
                 continue
-            got = _largest(inner)
-            out.append(rows[at[got]])
-            pending.append(np.delete(rows[at], got))
+            got = _largest(inner, w[at])
+            if w[at[got]].sum() >= 3:
+                out.append(rows[at[got]])
+                pending.append(np.delete(rows[at], got))
     return sorted(out, key=lambda c: int(c[0]))
 
 
@@ -271,24 +293,42 @@ def _near(u: np.ndarray, v: np.ndarray, radius: float) -> np.ndarray:
     return np.round(1 - u @ v.T, 9) <= radius
 
 
-def _check_small(radius: float, dim: int):
-    """Cliques of the clusters of a partition sorted by cluster; each cluster has at most ``TILE_ROWS`` rows."""
+def twins(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first row of each set of rows with the same neighbours (themselves among them), and the set
+    of every row. Such rows are near each other and belong to the same cliques."""
+    packed = np.packbits(near, axis=1)
+    _, first, of = np.unique(np.ascontiguousarray(packed).view(np.dtype((np.void, packed.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    by = np.argsort(first)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return first[by], place[of]
+
+
+def _solve(radius: float, dim: int):
+    """``row, head`` of the cliques among the nodes of a partition sorted by cluster. A node stands for ``weight`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
             t = t.sort_by("row").combine_chunks()
-            ids = t.column("row").to_numpy()
             at, x = imi.vectors_of(t.column("vec"), dim)
-            u, ids = imi.unit(x), ids[at]
+            u, ids, weight = imi.unit(x), t.column("row").to_numpy()[at], t.column("weight").to_numpy()[at]
             near = np.concatenate([_near(u[s : s + CHUNK], u, radius) for s in range(0, len(u), CHUNK)]) if len(u) else np.zeros((0, 0), bool)
-            np.fill_diagonal(near, False)
-            if near.sum() == len(ids) * (len(ids) - 1):
-                found = [np.arange(len(ids))] if len(ids) > 2 else []
+            np.fill_diagonal(near, True)
+            while len(ids) and (thin := near @ weight < 3).any():  # of no clique of 3
+                keep = np.flatnonzero(~thin)
+                near, ids, weight = near[np.ix_(keep, keep)], ids[keep], weight[keep]
+            if near.all():
+                first, of = np.zeros(min(1, len(ids)), np.int64), np.zeros(len(ids), np.int64)
             else:
-                found = cliques(near)
-            rows = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
-            heads = np.concatenate([*(np.full(len(f), ids[f[0]]) for f in found), np.empty(0, np.int64)]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(heads), pa.array(ids[rows])], names=["cluster_row", "row_id"])
+                first, of = twins(near)
+            near = near[np.ix_(first, first)]
+            np.fill_diagonal(near, False)
+            total = np.bincount(of, weight, len(first)).astype(np.int64)
+            head = np.full(len(first), -1, np.int64)
+            for c in cliques(near, total):
+                head[c] = c[0]
+            kept = np.flatnonzero(head[of] >= 0)
+            return pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(ids[first[head[of[kept]]]])], names=["row", "head"])
 
         held: list[pa.Table] = []
         last = None
@@ -310,77 +350,62 @@ def _check_small(radius: float, dim: int):
     return run
 
 
-def _check_large(rows: DataFrame, dim: int, radius: float) -> tuple[DataFrame, DataFrame]:
-    """Degrees in clusters too large for one task. Rows go to the pairs of tiles that they belong to; returns
-    ``cluster, row, degree`` and the rows again."""
+def _signatures(rows: DataFrame, dim: int, radius: float) -> DataFrame:
+    """``cluster, row, degree, s0..s3`` of clusters too large for one task. Rows go to the pairs of tiles that they
+    belong to; each adds up the hashes of its neighbours and itself, 20 bits in each of four sums, so rows with equal sums have
+    the same neighbours."""
     counted = rows.withColumn("tiles", F.ceil(F.col("size") / TILE_ROWS).cast("int")).withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
     paired = counted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    paired = paired.select("cluster", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "row", "vec")
+    hashes = [F.shiftright(F.xxhash64("row", F.lit(n // 2)), 20 * (n % 2)).bitwiseAND(F.lit((1 << 20) - 1)).cast("double").alias(f"h{n}") for n in range(4)]
+    paired = paired.select("cluster", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "row", *hashes, "vec")
 
-    def degrees(key, t):
+    def sums(key, t):
         _, lo, hi = (k.as_py() for k in key)
-        tile, ids = t.column("tile").to_numpy(), t.column("row").to_numpy()
         at, x = imi.vectors_of(t.column("vec"), dim)
-        u, tile, ids = imi.unit(x), tile[at], ids[at]
+        u, tile, ids = imi.unit(x), t.column("tile").to_numpy()[at], t.column("row").to_numpy()[at]
+        value = np.column_stack([np.ones(len(ids)), *(t.column(f"h{n}").to_numpy()[at] for n in range(4))])
         a, b = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
-        count = np.zeros(len(ids), np.int64)
+        total = np.zeros((len(ids), 5))
         for s in range(0, len(a), CHUNK):
             near = _near(u[a[s : s + CHUNK]], u[b], radius)
-            count[a[s : s + CHUNK]] += near.sum(axis=1)
+            if lo == hi:
+                near[np.arange(len(near)), np.arange(s, s + len(near))] = True
+            near = near.astype(np.float64)
+            total[a[s : s + CHUNK]] += near @ value[b]
             if lo != hi:
-                count[b] += near.sum(axis=0)
-        return pa.table([pa.array([key[0].as_py()] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(count)], names=["cluster", "row", "n"])
+                total[b] += near.T @ value[a[s : s + CHUNK]]
+        return pa.table([pa.array([key[0].as_py()] * len(ids), pa.int64()), pa.array(ids, pa.int64()), *(pa.array(c) for c in total.T)], names=["cluster", "row", "degree", "s0", "s1", "s2", "s3"])
 
-    found = paired.groupBy("cluster", "lo", "hi").applyInArrow(degrees, "cluster long, row long, n long")
-    return found.groupBy("cluster", "row").agg(F.sum("n").alias("degree")), counted
+    schema = "cluster long, row long, degree double, s0 double, s1 double, s2 double, s3 double"
+    found = paired.groupBy("cluster", "lo", "hi").applyInArrow(sums, schema)
+    return found.groupBy("cluster", "row").agg(*[F.sum(c).alias(c) for c in ("degree", "s0", "s1", "s2", "s3")])
 
 
 def exact_cliques(rows: DataFrame, dim: int, radius: float) -> DataFrame:
     """``cluster_row, row_id`` of the cliques in the clusters of ``rows(cluster, row, vec, size)``.
 
-    A cluster up to ``TILE_ROWS`` is solved in one task. Of a larger one the degrees of all rows are counted
-    in tiles. If every row is near every other, the cluster is a clique. Else, h being the largest number
-    such that h rows have a degree of at least h, rows below h are in no clique so large. If the others are a
-    clique, it is taken, and the rows below h are checked again; no other clique has been cut by that. If not,
-    the whole cluster is solved in one task.
+    Rows of a cluster with the same neighbours are one node, so a clique with whatever is attached to it is a few
+    nodes, which one task solves (``cliques``). A cluster up to ``TILE_ROWS`` finds its nodes in that task, a
+    larger one in tiles; the nodes and with them the result are the same either way.
     """
     spark = rows.sparkSession
-    done: list[DataFrame] = []
-    small = _check_small(radius, dim)
-    pending = rows
-    schema = "cluster_row long, row_id long"
-    while True:
-        sized = materialize(pending.select("cluster", "row", "vec", "size"), "clusters")
-        few = sized.filter(F.col("size") <= TILE_ROWS).select("cluster", "row", "vec")
-        done.append(few.repartition(parallelism(spark), "cluster").sortWithinPartitions("cluster").mapInArrow(small, schema))
-        large = sized.filter(F.col("size") > TILE_ROWS)
-        if large.isEmpty():
-            break
-        degree, _ = _check_large(large, dim, radius)
-        order = Window.partitionBy("cluster").orderBy(F.col("degree").desc(), "row")
-        ranked = degree.withColumn("h", F.least(F.row_number().over(order), F.col("degree")))
-        whole = Window.partitionBy("cluster")
-        ranked = ranked.withColumn("h", F.max("h").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("least", F.min("degree").over(whole)).withColumn("head", F.min("row").over(whole))
-        ranked = materialize(ranked.withColumn("stuck", F.col("least") >= F.col("h")), "degrees")
-        done.append(ranked.filter("least = n").select(F.col("head").alias("cluster_row"), F.col("row").alias("row_id")))
-        open_ = ranked.filter("least < n")
-        if open_.isEmpty():
-            break
-        back = large.select("row", "vec").join(open_.select("row", "cluster", "h", "degree", "stuck"), "row")
-        high = back.filter("not stuck and degree >= h").withColumn("size", F.count(F.lit(1)).over(whole))
-        inside, _ = _check_large(high.select("cluster", "row", "vec", "size"), dim, radius)
-        tops = inside.groupBy("cluster").agg(F.min("degree").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row").alias("head"))
-        tops = materialize(tops.filter("least = n and n > 2").select("cluster", "head"), "tops")
-        parted = back.join(tops, "cluster", "left")
-        done.append(parted.filter("head is not null and degree >= h").select(F.col("head").alias("cluster_row"), F.col("row").alias("row_id")))
-        solved = parted.filter("head is null").select("cluster", "row", "vec")
-        done.append(solved.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(small, schema))
-        parts = parted.filter("head is not null and degree < h").select("cluster", "row", "vec")
-        pending = parts.withColumn("size", F.count(F.lit(1)).over(whole)).filter("size > 2")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    sized = materialize(rows.select("cluster", "row", "vec", "size"), "clusters")
+    solve, schema = _solve(radius, dim), "row long, head long"
+
+    def solved(nodes: DataFrame) -> DataFrame:
+        return nodes.select("cluster", "row", "weight", "vec").repartition(parallelism(spark), "cluster").sortWithinPartitions("cluster").mapInArrow(solve, schema)
+
+    few = solved(sized.filter(F.col("size") <= TILE_ROWS).withColumn("weight", F.lit(1).cast("long"))).select(F.col("head").alias("cluster_row"), F.col("row").alias("row_id"))
+    large = sized.filter(F.col("size") > TILE_ROWS)
+    if large.isEmpty():
+        return few
+    sums = ["s0", "s1", "s2", "s3"]
+    signed = materialize(_signatures(large, dim, radius).filter("degree >= 3"), "signatures")
+    nodes = signed.groupBy("cluster", *sums).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("weight"))
+    nodes = materialize(nodes, "nodes")
+    heads = materialize(solved(large.select("row", "vec").join(nodes.select("cluster", "row", "weight"), "row")), "heads")
+    many = signed.join(nodes.join(heads, "row").select("cluster", *sums, "head"), ["cluster", *sums])
+    return few.unionByName(many.select(F.col("head").alias("cluster_row"), F.col("row").alias("row_id")))
 
 
 class Clusters:
@@ -396,11 +421,11 @@ class Clusters:
     def __init__(self, df: DataFrame, row_id: str, vector: str, dim: int, radius: float, probes: int = PROBES, margin: float = MARGIN, seed: int = 0, block_rows: int = imi.BLOCK_ROWS):
         members, edges = similarity_graph(df, row_id, vector, dim, radius, probes, margin, seed, block_rows)
         members = materialize(members, "members")
-        flows = materialize(markov_clusters(materialize(edges, "edges")), "clusters")
-        heads = members.select(F.col("pivot").alias("row")).distinct().unionByName(flows.select(F.col("node").alias("row"))).distinct()
-        rows = members.unionByName(heads.select("row", F.col("row").alias("pivot"), F.lit(1.0).alias("sim")))
-        rows = rows.join(flows, rows["pivot"] == flows["node"], "left")
-        self.rows = materialize(rows.select(F.coalesce("cluster", "pivot").alias("cluster"), "row", F.coalesce("flow", F.lit(1.0)).alias("flow"), "sim"), "labels")
+        # every pivot that stands for others is a node, with or without edges, so all rows with a neighbour pass through the flow
+        flows = materialize(markov_clusters(materialize(edges, "edges"), members.select(F.col("pivot").alias("node"))), "clusters")
+        rows = members.unionByName(flows.select(F.col("node").alias("row"), F.col("node").alias("pivot"), F.lit(1.0).alias("sim")))
+        rows = rows.join(flows, rows["pivot"] == flows["node"])
+        self.rows = materialize(rows.select("cluster", "row", "flow", "sim"), "labels")
         sizes = self.rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size > 2")
         labels = materialize(self.rows.join(sizes, "cluster").select("cluster", "row", "size"), "sized")
         vectors = imi.only(df, row_id, vector, labels, dim)

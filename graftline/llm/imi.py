@@ -28,7 +28,9 @@ MAX_CENTROIDS = 1024  # of a half; fuller cells are cut into shards
 SAMPLE_ROWS = 20_000  # fitted on; at least 50 for each centroid
 ROUNDS = 8
 BLOCK_ROWS = 32_768
+MAX_TASKS = 20_000
 _SHARDS = 1 << 13
+KINDS = {8: np.int8, 16: np.int16, 32: np.float32}
 
 
 def vectors_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +85,11 @@ class MultiIndex:
     def k(self) -> int:
         return len(self.first)
 
+    def tasks(self, least: int) -> int:
+        """Partitions for the tasks of all blocks: they grow with the data, so that none holds many blocks."""
+        shards = self.shards.astype(np.int64)
+        return max(least, min(MAX_TASKS, 3 * int((shards * (shards + 1) // 2).sum())))
+
     def distances(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of both halves to the centroids, up to a term that is the same for all."""
         half = self.first.shape[1]
@@ -179,7 +186,9 @@ def _mix(x: int) -> int:
 
 
 def shard_of(row_ids: np.ndarray, shards: int) -> np.ndarray:
-    return np.array([_mix(int(r)) % shards for r in row_ids], np.int64)
+    x = np.asarray(row_ids, np.int64)
+    x = (x ^ (x >> 31)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
 def group_shards(group: int) -> tuple[int, int]:
@@ -190,6 +199,7 @@ def group_shards(group: int) -> tuple[int, int]:
 def build(df: DataFrame, row_id: str, vector: str, dim: int, seed: int = 0, block_rows: int = BLOCK_ROWS, most: int = MAX_CENTROIDS) -> MultiIndex | None:
     """Fit the codebooks of at most ``most`` centroids on a sample and count the rows of each cell; None
     without a usable vector."""
+    df = df.filter(F.col(row_id).isNotNull())
     total = df.count()
     k = max(1, min(most, math.ceil(math.sqrt(total / ROWS_PER_CELL))))
     share = min(1.0, max(SAMPLE_ROWS, 50 * k) / max(total, 1))
@@ -229,11 +239,11 @@ def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int
 
     ``home`` is the row's own cell in its own block, else -1; ``cells`` are the others it visits there.
     ``vec`` is the direction of the vector in integers of 16 or 8 bits, the largest element at full scale; a
-    cosine taken from two of them is off by about 2e-6 or 1e-3.
+    cosine taken from two of them is off by about 2e-6 or 1e-3. With 32 bits it is the stored vector itself.
     """
 
-    kind = {8: np.int8, 16: np.int16}[bits]
-    full = np.iinfo(kind).max
+    kind = KINDS[bits]
+    full = None if bits == 32 else np.iinfo(kind).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -244,7 +254,7 @@ def send(df: DataFrame, row_id: str, vector: str, index: MultiIndex, probes: int
                     continue
                 ids = b.column(0).to_numpy(zero_copy_only=False)[at]
                 u = unit(x)
-                raw = np.rint(u * (full / np.abs(u).max(axis=1, keepdims=True))).astype(kind)
+                raw = x if full is None else np.rint(u * (full / np.abs(u).max(axis=1, keepdims=True))).astype(kind)
                 src, grp, home, cells = [], [], [], []
                 for r, visited in enumerate(index.visits(u, probes, margin)):
                     by: dict[int, list[int]] = {}
@@ -271,7 +281,7 @@ class Block:
 
     ids: np.ndarray
     home: np.ndarray
-    x: np.ndarray  # directions as integers
+    x: np.ndarray  # directions as integers, or the stored vectors
     pair: tuple[int, int]  # shards of the task; equal unless its cell is cut
     shard: np.ndarray  # of the rows at home, where the cell is cut
     at: dict[int, np.ndarray]  # rows at home in a cell, by row id
@@ -285,7 +295,7 @@ def open_block(t: pa.Table, dim: int, shards: np.ndarray, bits: int = 16) -> Blo
     if isinstance(vec, pa.ChunkedArray):
         vec = pa.concat_arrays(vec.chunks)
     offsets = np.frombuffer(vec.buffers()[1], np.int32, len(vec) + 1, vec.offset * 4)
-    x = np.frombuffer(vec.buffers()[2], {8: np.int8, 16: np.int16}[bits], len(vec) * dim, int(offsets[0])).reshape(-1, dim)
+    x = np.frombuffer(vec.buffers()[2], KINDS[bits], len(vec) * dim, int(offsets[0])).reshape(-1, dim)
     group = int(t.column("grp")[0].as_py())
     pair = group_shards(group)
     cells = t.column("cells").combine_chunks()

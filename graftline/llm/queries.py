@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from graftline.llm.bpe import encode_table
 from graftline.llm.clusters import Clusters
 from graftline.llm.mix import Mix
-from graftline.llm.neighbours import nearest
+from graftline.llm.neighbours import nearest, nearest_pairs
 from graftline.llm.quantiles import merge_sketches, read_sketches, sketch_table
 from graftline.llm.split import split_table
 from graftline.llm.topn import top_n_per_group
+from graftline.operators.pairs import exact_neighbours
 from graftline.session import materialize, table
 
 
@@ -49,10 +50,22 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the 5 nearest within cosine distance 0.20, found from either side, each once."""
-    found = nearest(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, 0.20)
+    found = nearest_pairs(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, 0.20)
     return found.select(F.least("row", "other").alias("row_a"), F.greatest("row", "other").alias("row_b")).distinct()
 
 
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the 5 nearest at any distance the index finds, for every row whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "glove_100_angular")
+    fit = F.forall("train", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists("train", lambda e: e != 0)
+    good = vectors.filter(F.col("row_id").isNotNull() & (F.size("train") == 100)).filter(fit).select(F.col("row_id").alias("vec_id"), F.col("train").alias("embedding"))
+    true = exact_neighbours(good.filter("vec_id % 50 = 0"), good, "cosine", 5).select(F.col("query_id").alias("row"), F.col("id").alias("other"))
+    found = nearest(vectors, "row_id", "train", 100, 5).select("row", "other", F.lit(1).alias("hit"))
+    both = true.join(found, ["row", "other"], "left")
+    counted = both.agg(F.countDistinct("row").alias("n_queries"), F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_hit"))
+    return counted.select("n_queries", "n_true", (F.col("n_hit") >= 0.9 * F.col("n_true")).alias("enough"))
+
+
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 # rank error allowed for, as a share of the ranks above the value; several times what is measured
 RANK_MARGIN = 0.05
@@ -140,6 +153,7 @@ QUERIES = {
     "p2_clusters": p2_clusters,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p3_recall": p3_recall,
     "p5_found": p5_found,
     "p5_daily": p5_daily,
     "p5_percentiles": p5_percentiles,

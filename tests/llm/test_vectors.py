@@ -128,6 +128,66 @@ def test_a_large_cluster_with_outliers_is_parted(spark, monkeypatch):
     assert {(r.cluster_row, r.row_id) for r in exact_cliques(rows, DIM, 0.2).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cliques_do_not_depend_on_the_tiles(spark, monkeypatch, seed):
+    from graftline.llm.clusters import exact_cliques
+
+    rng = np.random.default_rng(seed)
+    x = groups(seed=seed, background=30, sizes=(25, 12, 6), noise=0.35)
+    x = np.concatenate([x, x[:10], rng.standard_normal((20, DIM)) * 0.2 + x[:20]]).astype(np.float32)  # overlapping sets and copies
+    rows = spark.createDataFrame([(1, n, [float(v) for v in r], len(x)) for n, r in enumerate(x)], "cluster long, row long, vec array<float>, size long")
+    found = []
+    for tile in (7, 30, 5000):
+        monkeypatch.setattr("graftline.llm.clusters.TILE_ROWS", tile)
+        found.append({(r.cluster_row, r.row_id) for r in exact_cliques(rows, DIM, 0.2).collect()})
+    assert found[0] == found[1] == found[2] != set()
+    near = distances(x) <= 0.2
+    for head in {h for h, _ in found[0]}:
+        m = [r for h, r in found[0] if h == head]
+        assert len(m) > 2 and near[np.ix_(m, m)].all() and head == min(m)
+
+
+def test_all_found_rows_pass_through_the_flow(spark):
+    from graftline.llm.clusters import similarity_graph
+
+    df = frame(spark, groups())
+    c = Clusters(df, "row_id", "train", DIM, 0.2)
+    members, edges = similarity_graph(df, "row_id", "train", DIM, 0.2)
+    flows = markov_clusters(edges, members.select("pivot").withColumnRenamed("pivot", "node"))
+    passed = {r.row for r in members.collect()} | {r.node for r in flows.collect()}
+    assert {r.row_id for r in c.found.collect()} <= passed
+    assert {r.pivot for r in members.collect()} <= {r.node for r in flows.collect()}
+
+
+def test_pairs_in_doubt_are_settled_by_the_stored_vectors(spark):
+    from graftline.llm.neighbours import nearest_pairs
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((30, DIM))
+    x = np.repeat(base, 12, axis=0) * rng.uniform(1, 5, (360, 1))  # scaled copies, apart by rounding only
+    x = (x + 1e-6 * rng.standard_normal(x.shape)).astype(np.float32)
+    got = {(r.row, r.other) for r in nearest_pairs(frame(spark, x), "row_id", "train", DIM, 5, 0.2, probes=64, margin=9.0).collect()}
+    assert got == truth(x, 5, 0.2)
+
+
+def test_recall_without_radius_in_a_hundred_dimensions(spark):
+    from graftline.session import table
+
+    df = table(spark, "/root/testdata/sf0.1", "glove_100_angular").filter("row_id % 5 = 0")
+    rows = df.toArrow()
+    at, x = imi.vectors_of(rows.column("train"), 100)
+    ids, u = rows.column("row_id").to_numpy()[at], imi.unit(x)
+    order = np.argsort(ids)
+    ids, u = ids[order], u[order]
+    got = {(r.row, r.other) for r in nearest(df, "row_id", "train", 100, 5).collect()}
+    want = set()
+    for r in range(0, len(u), 10):
+        d = np.round(1 - u @ u[r], 9)
+        d[r] = 9
+        want |= {(int(ids[r]), int(ids[c])) for c in np.lexsort((ids, d))[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_empty_and_unusable(spark):
     none = frame(spark, np.empty((0, DIM), np.float32))
     for df in (none, none.limit(0)):
