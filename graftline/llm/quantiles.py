@@ -5,6 +5,9 @@ buffer, keeps the half at the protected tail untouched, and of the other half co
 its schedule says, those next to the protected half least often: every second item moves one level up, the
 others are dropped. So values at the protected tail are kept nearly all, and the rank error is in proportion
 to the distance from that tail. Sketches merge level by level, in any order.
+
+A compaction in level h moves the estimated rank of a value by at most 2^h, up or down by a coin of its own. So a
+sketch that counts its compactions knows how far off its ranks can be, but with a given small chance (``slack``).
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ class RelativeSketch:
         self.low_value, self.high_value = math.inf, -math.inf
         self.seed, self.rng = seed, None
         self.buffers: list[np.ndarray] = []
-        self.shape: list[list[int]] = []  # per level: schedule state, sections, values of a section, coin
+        self.shape: list[list[int]] = []  # per level: schedule state, sections, values of a section, compactions
         self._grow()
 
     def _grow(self) -> None:
@@ -73,6 +76,7 @@ class RelativeSketch:
         for h, buffer in enumerate(other.buffers):
             mine, theirs = self.shape[h], other.shape[h]
             mine[0] |= theirs[0]
+            mine[3] += theirs[3]
             if theirs[1] > mine[1]:
                 mine[1:3] = theirs[1:3]
             self.buffers[h] = np.concatenate([self.buffers[h], buffer])
@@ -96,10 +100,10 @@ class RelativeSketch:
         part, rest = (values[:free], values[free:]) if self.high else (values[len(values) - free :], values[: len(values) - free])
         if self.rng is None:
             self.rng = np.random.default_rng(self.seed)
-        shape[3] = 1 - shape[3] if state % 2 else int(self.rng.integers(2))
         self.buffers[h] = rest
-        self.buffers[h + 1] = np.concatenate([self.buffers[h + 1], part[shape[3] :: 2]])
+        self.buffers[h + 1] = np.concatenate([self.buffers[h + 1], part[int(self.rng.integers(2)) :: 2]])
         shape[0] += 1
+        shape[3] += 1
         smaller = 2 * round(size / math.sqrt(2) / 2)
         if shape[0] >= 1 << (sections - 1) and smaller >= LEAST_SECTION:
             shape[1], shape[2] = 2 * sections, smaller
@@ -121,13 +125,18 @@ class RelativeSketch:
         at = int(np.searchsorted(np.cumsum(weight), math.ceil(q * self.n - 1e-9)))
         return float(values[min(at, len(values) - 1)]) + 0.0
 
+    def slack(self, miss: float = 1e-9) -> float:
+        """Most that a rank is off, but with a chance of ``miss``: Hoeffding's bound over all compactions, each off by
+        2^h either way. It holds for any value and is wide near the protected tail."""
+        return math.sqrt(2 * math.log(2 / miss) * sum(s[3] << 2 * h for h, s in enumerate(self.shape)))
+
     @property
     def exact(self) -> bool:
         return len(self.buffers) == 1
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<?iqddi", self.high, self.section, self.n, self.low_value, self.high_value, len(self.buffers))
-        levels = [struct.pack("<qiiii", *s, len(b)) + b.astype("<f8").tobytes() for s, b in zip(self.shape, self.buffers, strict=True)]
+        levels = [struct.pack("<qiiqi", *s, len(b)) + b.astype("<f8").tobytes() for s, b in zip(self.shape, self.buffers, strict=True)]
         return head + b"".join(levels)
 
     @classmethod
@@ -137,8 +146,8 @@ class RelativeSketch:
         out = cls(high, section, seed)
         out.n, out.low_value, out.high_value, out.buffers, out.shape = n, low, top, [], []
         for _ in range(levels):
-            *shape, length = struct.unpack_from("<qiiii", raw, at)
-            at += struct.calcsize("<qiiii")
+            *shape, length = struct.unpack_from("<qiiqi", raw, at)
+            at += struct.calcsize("<qiiqi")
             out.shape.append(shape)
             out.buffers.append(np.frombuffer(raw, "<f8", length, at).copy())
             at += 8 * length
@@ -275,17 +284,17 @@ def sketch_table(df: DataFrame, keys: Sequence[str], value: str, high: bool = Tr
 
 
 def read_sketches(df: DataFrame, keys: Sequence[str], quantiles: dict[str, float], ranks: dict[str, tuple[float, bool]] | None = None, sketch: str = "sketch") -> DataFrame:
-    """The keys, ``n``, ``exact`` (nothing was compacted), a column for each quantile and for each rank
-    (value, inclusive)."""
+    """The keys, ``n``, ``exact`` (nothing was compacted), ``slack`` (of the ranks), a column for each quantile and
+    for each rank (value, inclusive)."""
     ranks = ranks or {}
-    fields = [T.StructField("n", T.LongType()), T.StructField("exact", T.BooleanType())]
+    fields = [T.StructField("n", T.LongType()), T.StructField("exact", T.BooleanType()), T.StructField("slack", T.DoubleType())]
     fields += [T.StructField(c, T.DoubleType()) for c in quantiles] + [T.StructField(c, T.LongType()) for c in ranks]
     schema = T.StructType([*(df.schema[k] for k in keys), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [RelativeSketch.from_bytes(r) for r in b.column(len(keys)).to_pylist()]
-            cols = [pa.array([s.n for s in found], pa.int64()), pa.array([s.exact for s in found], pa.bool_())]
+            cols = [pa.array([s.n for s in found], pa.int64()), pa.array([s.exact for s in found], pa.bool_()), pa.array([s.slack() for s in found], pa.float64())]
             cols += [pa.array([s.quantile(q) for s in found], pa.float64()) for q in quantiles.values()]
             cols += [pa.array([s.rank(*r) for s in found], pa.int64()) for r in ranks.values()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *cols], names=schema.names)

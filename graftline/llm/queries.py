@@ -11,9 +11,9 @@ from graftline.llm.mix import Mix
 from graftline.llm.neighbours import nearest, nearest_pairs
 from graftline.llm.quantiles import merge_sketches, read_sketches, sketch_table
 from graftline.llm.split import split_table
-from graftline.llm.topn import top_n_per_group
+from graftline.llm.topn import cluster, scan_report, top_n_per_group
 from graftline.operators.pairs import exact_neighbours
-from graftline.session import materialize, table
+from graftline.session import materialize, scratch_path, table
 
 
 def usable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_topn(spark, sf_dir).select("edge1", "edge2")
 
 
+def p1_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups that the search for these items reads and skips."""
+    path = scratch_path(spark, "clustered")
+    cluster(usable_lines(spark, sf_dir), "edge1", "edge2", "distance", path, largest=False)
+    return scan_report(spark, path, 10).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_read").alias("n_read"), F.sum("n_skipped").alias("n_skipped"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the largest sets of at least 3 vectors any two of which are within cosine distance 0.20."""
     return Clusters(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 0.20).found
@@ -67,10 +74,6 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
-# rank error allowed for, as a share of the ranks above the value; several times what is measured
-RANK_MARGIN = 0.05
-
-
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = usable_lines(spark, sf_dir).filter("i is not null and j is not null")
     return sketch_table(lines.withColumn("day", F.to_date("logged_at")), ["i", "j", "day"], "distance")
@@ -86,20 +89,33 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sketches(merge_sketches(_daily(spark, sf_dir), ["i", "j"]), ["i", "j"], QUANTILES)
 
 
+RANK_ERROR = 0.03  # of the ranks above a percentile, as checked
+
+
+def p5_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every (i, j) the lines and whether the true ranks of its percentiles are within ``RANK_ERROR`` of the ranks above, plus 2."""
+    found = materialize(p5_percentiles(spark, sf_dir).select("i", "j", *QUANTILES), "percentiles")
+    lines = usable_lines(spark, sf_dir).filter("i is not null and j is not null").select("i", "j", "distance").join(found, ["i", "j"])
+    sides = {c: (F.sum((F.col("distance") < F.col(c)).cast("long")), F.sum((F.col("distance") <= F.col(c)).cast("long"))) for c in QUANTILES}
+    ranks = lines.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), *[side.alias(f"{c}_{n}") for c, both in sides.items() for n, side in enumerate(both)])
+    slack = {c: RANK_ERROR * (1 - q) * F.col("n") + 2 for c, q in QUANTILES.items()}
+    good = {c: (F.col(f"{c}_0") - slack[c] <= q * F.col("n")) & (F.col(f"{c}_1") + slack[c] >= q * F.col("n")) for c, q in QUANTILES.items()}
+    return ranks.select("i", "j", "n", *[ok.alias(f"{c}_good") for c, ok in good.items()])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with a median below 0.25 and a 90th percentile above it.
 
     The median is below 0.25 if at least half the values are, and the 90th percentile above it if fewer than
-    nine tenths are not. The sketches give both counts within their error and settle the keys where that is
-    enough; the lines of the other keys are counted.
+    nine tenths are not. The sketches give both counts, and settle the keys where these are off by more than
+    the sketch can be wrong; the lines of the other keys are counted.
     """
     keys = ["i", "j"]
     merged = merge_sketches(_daily(spark, sf_dir), keys)
     ranks = read_sketches(merged, keys, {}, {"below": (0.25, False), "upto": (0.25, True)})
-    need, most = F.ceil(F.col("n") * 0.5), F.col("n") * 0.9
-    slack = {c: F.when(F.col("exact"), 0.0).otherwise(RANK_MARGIN * (F.col("n") - F.col(c)) + 1) for c in ("below", "upto")}
-    yes = (F.col("below") - slack["below"] >= need) & (F.col("upto") + slack["upto"] < most)
-    no = (F.col("below") + slack["below"] < need) | (F.col("upto") - slack["upto"] >= most)
+    need, most, slack = F.ceil(F.col("n") * 0.5), F.col("n") * 0.9, F.col("slack")
+    yes = (F.col("below") - slack >= need) & (F.col("upto") + slack < most)
+    no = (F.col("below") + slack < need) | (F.col("upto") - slack >= most)
     ranks = materialize(ranks.select(*keys, F.when(yes, 1).when(no, -1).otherwise(0).alias("state")), "ranks")
     lines = usable_lines(spark, sf_dir).join(ranks.filter("state = 0").select(*keys), keys)
     exact = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("distance") < 0.25).cast("long")).alias("below"), F.sum((F.col("distance") <= 0.25).cast("long")).alias("upto"))
@@ -149,12 +165,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_topn": p1_topn,
+    "p1_scan": p1_scan,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p3_recall": p3_recall,
     "p5_found": p5_found,
+    "p5_checked": p5_checked,
     "p5_daily": p5_daily,
     "p5_percentiles": p5_percentiles,
     "p6_found": p6_found,

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from graftline.llm.files import open_input
 from graftline.session import scratch_path
 
-ROW_GROUP_BYTES = 1 << 20
+ROW_GROUP_BYTES = 1 << 15  # in memory; small, so that a large group fills several row groups
+ROW_GROUP_ITEMS = 64  # or so many times n items of 24 bytes, if that is more
 
 
 def cluster(df: DataFrame, group: str, item: str, score: str, path: str, largest: bool = True, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
@@ -69,6 +70,20 @@ def scan_file(uri: str, n: int) -> tuple[pa.Table | None, int, int]:
     return (pa.concat_tables(kept) if kept else None), meta.num_row_groups - skipped, skipped
 
 
+def _counts(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = [scan_file(uri, n)[1:] for uri in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*seen, strict=True))], names=["file", "n_read", "n_skipped"])
+
+    return run
+
+
+def scan_report(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """``file, n_read, n_skipped``: row groups of every file that ``top_n`` reads and skips."""
+    return file_list(spark, spark.read.parquet(path)).mapInArrow(_counts(n), "file string, n_read long, n_skipped long")
+
+
 def _scan(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,6 +120,6 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, la
     """
     spark = df.sparkSession
     path = scratch_path(spark, "clustered")
-    cluster(df, group, item, score, path, largest)
+    cluster(df, group, item, score, path, largest, max(ROW_GROUP_BYTES, 24 * ROW_GROUP_ITEMS * n))
     key = -F.col("key") if largest else F.col("key")
     return top_n(spark, path, n).select(F.col("g").alias(group), F.col("item").alias(item), (key + F.lit(0.0)).alias(score), "rank")
