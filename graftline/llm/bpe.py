@@ -6,6 +6,9 @@ the current byte (from a trie over the tokens, whose bytes are mapped to Latin-1
 it if it is compatible with the token before, else tries the next shorter one, and steps back when none is
 left. Positions once found to be dead ends are marked, so each is left at most once and the time is linear.
 Compatibility of token pairs is memoised.
+
+A blank before a character that isn't blank always begins a word of the pattern, so texts are first cut there
+and the ids of each such part are remembered; the pattern only sees parts that are new.
 """
 
 from __future__ import annotations
@@ -32,6 +35,29 @@ MEMO_PAIRS = 400_000
 MEMO_CHARS = 48  # longer words are encoded anew
 LONG_TEXT = 1 << 20  # longer texts are cut into words one by one
 FAR = 1 << 60
+WHITE = regex.compile(r"\s")
+
+
+class _Irregular(Exception):
+    """A part begins with white space, so blanks don't cut the text."""
+
+
+class _Parts(dict):
+    """Ids of the parts of texts cut at blanks; ``lead`` tells whether the blank belongs to the part."""
+
+    def __init__(self, bpe: ByteBPE, lead: bool):
+        super().__init__()
+        self.bpe, self.lead = bpe, lead
+
+    def __missing__(self, part: str) -> list[int]:
+        if self.lead and (not part or part[0].isspace() or WHITE.match(part)):
+            raise _Irregular
+        ids = self.bpe.encode_words(" " + part if self.lead else part)
+        if len(part) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[part] = ids
+        return ids
 
 
 class ByteBPE:
@@ -50,6 +76,7 @@ class ByteBPE:
         self.merged: dict[tuple[int, int], int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, list[int]] = {}
+        self.first, self.rest = _Parts(self, False), _Parts(self, True)
         ids = self.id_of
         for t, r in sorted(ids.items(), key=lambda x: x[1]):
             self.n_bytes[r] = len(t)
@@ -137,17 +164,35 @@ class ByteBPE:
                 self.memo[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; none for a null or empty text."""
+    def encode_words(self, text: str) -> list[int]:
         out: list[int] = []
         known, piece = self.memo.get, self.encode_piece
-        for word in self.pieces(text) if text else ():
+        for word in self.pieces(text):
             out += known(word) or piece(word)
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a text; none for a null or empty text."""
+        if not text:
+            return []
+        first, *rest = text.split(" ")
+        try:
+            out = list(self.first[first])
+            for ids in map(self.rest.__getitem__, rest):
+                out += ids
+            return out
+        except _Irregular:
+            return self.encode_words(text)
+
     def count(self, text: str | None) -> int:
-        known, piece = self.memo.get, self.encode_piece
-        return sum(len(known(w) or piece(w)) for w in self.pieces(text)) if text else 0
+        if not text:
+            return 0
+        first, *rest = text.split(" ")
+        try:
+            return len(self.first[first]) + sum(map(len, map(self.rest.__getitem__, rest)))
+        except _Irregular:
+            known, piece = self.memo.get, self.encode_piece
+            return sum(len(known(w) or piece(w)) for w in self.pieces(text))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -5,8 +5,9 @@ A source's quota of tokens becomes whole passes over its blocks plus a random ch
 which is cut between documents. The exact numbers of drawn blocks per source are then divided among the
 output shards by halving: at every node of a binary tree a multivariate hypergeometric draw decides how
 many blocks of each source go left, so the leaves hold exact quotas that add up. Each leaf takes disjoint
-runs of the source's permuted blocks and shuffles its documents locally. The driver only sees block totals,
-of which there are at most ``MAX_BLOCKS`` plus one per source.
+runs of the source's permuted blocks and shuffles its documents locally. The driver only sees block totals and
+the plan, a row for each drawn block: at most about ``MAX_BLOCKS`` and, for each source, its repeats. There are at
+most ``MAX_BLOCKS // BLOCKS_A_SHARD`` shards, so each draws many blocks however large the mix is.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from graftline.session import materialize
 
 MAX_BLOCKS = 1 << 15
 BLOCK_TOKENS = 1 << 12
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 17
+BLOCKS_A_SHARD = 8
 
 
 @dataclass
@@ -37,7 +39,6 @@ class Share:
     n_docs: int = 0
     n_tokens: int = 0
     take: float = 0.0
-    short: bool = False
     blocks: int = 0
     draws: list[tuple[int, int]] = field(default_factory=list)
     cut: float = 0.0
@@ -65,20 +66,21 @@ class Mix:
 
     ``docs``: id, source and text. ``targets``: ``source``, ``target_share`` of the tokens of all documents
     and ``max_repeats``, the most copies of one document. A source that can't reach its share with all copies
-    gives what it has and is reported as short; the others aren't enlarged for it. Documents without tokens
+    gives what it has and is reported as short; the others aren't enlarged for it. With ``fit`` the size of the
+    mix is lowered until every source that has tokens and repeats reaches its share. Documents without tokens
     (null or empty text) and sources without a target aren't mixed, though the latter's tokens count in the
     total. Null or negative shares and repeats count as 0, targets with a null source are ignored, a source
     named twice is an error. Repeated rows are documents of their own. The same seed gives the same mix.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: str, vocabulary: str = BYTE_BPE_50K, seed: int = 0, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS):
+    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: str, vocabulary: str = BYTE_BPE_50K, seed: int = 0, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, fit: bool = False):
         spark = self.spark = docs.sparkSession
         self.doc_id, self.seed = doc_id, seed
         plain = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"))
         self.docs = materialize(count_table(plain, ["_id", "_source"], "_text", vocabulary), "mix-tokens")
         self.total = self.docs.agg(F.sum("n_tokens")).first()[0] or 0
         self.shares = self._shares(targets)
-        self._quotas(block_tokens)
+        self._quotas(block_tokens, fit)
         self._draw(shard_tokens)
 
     def _shares(self, targets: DataFrame) -> list[Share]:
@@ -92,13 +94,13 @@ class Mix:
             raise ValueError("a source has two targets")
         return shares
 
-    def _quotas(self, block_tokens: int) -> None:
-        in_mix = sum(s.n_tokens for s in self.shares)
-        size = max(block_tokens, math.ceil(in_mix / MAX_BLOCKS))
+    def _quotas(self, block_tokens: int, fit: bool) -> None:
+        able = [s.max_repeats * s.n_tokens / s.target_share for s in self.shares if s.target_share > 0 and s.max_repeats * s.n_tokens]
+        self.goal = min([self.total, *able]) if fit else self.total
+        for s in self.shares:
+            s.take = min(s.target_share * self.goal, s.max_repeats * s.n_tokens)
+        size = max(block_tokens, math.ceil(sum(s.take for s in self.shares) / MAX_BLOCKS))
         for s in self.shares:
-            want, most = s.target_share * self.total, s.max_repeats * s.n_tokens
-            s.short = most < want
-            s.take = min(want, most)
             s.blocks = math.ceil(s.n_tokens / size)
 
     def _draw(self, shard_tokens: int) -> None:
@@ -130,7 +132,7 @@ class Mix:
                 room -= min(n, room)
             drawn.append([draws[k] for k in rng.permutation(len(draws))])
         tokens = sum(s.take for s in used)
-        shards = max(1, math.ceil(tokens / shard_tokens))
+        shards = max(1, min(math.ceil(tokens / shard_tokens), MAX_BLOCKS // BLOCKS_A_SHARD))
         quotas = split_tree(np.array([len(d) for d in drawn]), shards, rng)
         ends = quotas.cumsum(axis=0)
         rows = []
@@ -158,10 +160,14 @@ class Mix:
 
     @property
     def report(self) -> DataFrame:
-        """A row for each target: what it asked for, what there is, what the mix holds, and whether it is short."""
-        schema = "source string, target_share double, max_repeats int, n_docs long, n_tokens long, target_tokens double, short boolean"
-        asked = self.spark.createDataFrame([(s.source, s.target_share, s.max_repeats, s.n_docs, s.n_tokens, s.target_share * self.total, s.short) for s in self.shares], schema)
+        """A row for each target: what it asked for, what there is, what the mix holds, and whether it is short: all
+        its documents are drawn as often as they may be, and that isn't enough."""
+        schema = "source string, target_share double, max_repeats int, n_docs long, n_tokens long, target_tokens double"
+        asked = self.spark.createDataFrame([(s.source, s.target_share, s.max_repeats, s.n_docs, s.n_tokens, s.target_share * self.goal) for s in self.shares], schema)
         got = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"))
-        out = asked.join(got, "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", F.lit(0).cast("long")))
+        none = F.lit(0).cast("long")
+        out = asked.join(got, "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", none))
+        drawn = F.col("mix_tokens") == F.col("n_tokens") * F.col("max_repeats")
+        out = out.withColumn("short", drawn & (F.col("mix_tokens") < F.col("target_tokens")))
         whole = F.sum("mix_tokens").over(Window.partitionBy())
         return out.withColumn("actual_share", F.when(whole > 0, F.col("mix_tokens") / whole).otherwise(0.0))

@@ -146,8 +146,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report
 
 
+def p7_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a mix of the largest size at which every source that has documents reaches its share."""
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text", fit=True).report
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that can't reach their share of all tokens with the repeats they are allowed."""
+    """Sources of which every document is in the mix as often as it may be, and that still lack tokens."""
     return _mix(spark, sf_dir).report.filter("short").select("source")
 
 
@@ -180,6 +185,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_fitted": p7_fitted,
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
 }

@@ -9,8 +9,8 @@ that is itself too large is cut between characters. Consecutive pieces overlap b
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ _MARKS = [
     (regex.compile(r"\n[ \t\r]*\n\s*|\r[ \t]*\r\s*|\u2029\s*|(?i:(?=<(?:p|div|section|article|table|ul|ol|blockquote|pre)\b))|(?i:</(?:p|div|section|article|table|ul|ol|blockquote|pre)>)"), lambda m: PARAGRAPH),
     (regex.compile(r"(?m)^(?=(#{1,6})[ \t]\S)|(?i:(?=<h([1-6])\b))"), lambda m: HEADING + 6 - (len(m.group(1)) if m.group(1) else int(m.group(2)))),
 ]
+LEAST_BUDGET = 4  # tokens; below the limit less any overlap, so pieces of so few with nothing else fit
 KINDS = {TOKEN: "token", WORD: "word", SENTENCE: "sentence", LINE: "line", PARAGRAPH: "paragraph"}
 
 
@@ -40,12 +41,12 @@ class Outline:
     """A text with its words, tokens and boundaries."""
 
     def __init__(self, text: str, bpe: ByteBPE):
-        words = list(bpe.pieces(text))
-        ids = [bpe.encode_piece(w) for w in words]
+        words, known, piece = list(bpe.pieces(text)), bpe.memo.get, bpe.encode_piece
+        ids = [known(w) or piece(w) for w in words]
         self.text = text
-        self.word_char = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
-        self.word_token = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        flat = np.fromiter((r for x in ids for r in x), np.int64, int(self.word_token[-1]))
+        self.word_char = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        self.word_token = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(self.word_token[-1]))
         self.token_byte = np.concatenate([[0], np.cumsum(bpe.n_bytes[flat])])
         raw = np.frombuffer(text.encode("utf-8"), np.uint8)
         starts = np.concatenate([(raw & 0xC0) != 0x80, [True]])
@@ -54,17 +55,18 @@ class Outline:
         self.rank = np.full(len(words) + 1, WORD, np.int8)
         self.rank[[0, -1]] = 0
         for pattern, rank in _MARKS:
-            for m in pattern.finditer(text):
-                self._mark(m.start(), m.end(), rank(m))
-
-    def _mark(self, start: int, end: int, rank: int) -> None:
-        """A boundary lies somewhere from ``start`` to ``end``; take the last word start there, or the next after."""
-        w = int(np.searchsorted(self.word_char, end, "right")) - 1
-        if self.word_char[w] < start:
-            inside = self.text[self.word_char[w] : end]
-            w += bool(inside.strip())  # only blanks belong to the word so far: it may begin the next unit
-        if 0 < w < len(self.rank) - 1:
-            self.rank[w] = max(self.rank[w], rank)
+            found = [(m.start(), m.end(), rank(m)) for m in pattern.finditer(text)]
+            if found:
+                self._mark(*(np.array(c) for c in zip(*found, strict=True)))
+
+    def _mark(self, start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> None:
+        """Boundaries lie somewhere from ``start`` to ``end``; take the last word start there, or the next after."""
+        w = np.searchsorted(self.word_char, end, "right") - 1
+        for n in np.flatnonzero(self.word_char[w] < start):
+            # only blanks belong to the word so far: it may begin the next unit
+            w[n] += bool(self.text[self.word_char[w[n]] : end[n]].strip())
+        inside = (w > 0) & (w < len(self.rank) - 1)
+        np.maximum.at(self.rank, w[inside], rank[inside].astype(np.int8))
 
     def __len__(self) -> int:
         return int(self.word_token[-1])
@@ -82,8 +84,10 @@ class Outline:
         inner = self.rank[lo + 1 : hi]
         edges = [lo, *(np.flatnonzero(inner == inner.max()) + lo + 1).tolist(), hi]
         out: list[tuple[int, int, int]] = []
-        for left, right in zip(edges, edges[1:], strict=False):
-            for unit in self._pack(left, right, budget):
+        at = self.word_token[edges].tolist()
+        for n, (left, right) in enumerate(zip(edges, edges[1:], strict=False)):
+            fits = at[n + 1] - at[n] <= budget
+            for unit in ((at[n], at[n + 1], int(self.rank[right])),) if fits else self._pack(left, right, budget):
                 if out and unit[1] - out[-1][0] <= budget:
                     out[-1] = (out[-1][0], unit[1], unit[2])
                 else:
@@ -109,11 +113,10 @@ def split_text(text: str | None, limit: int, overlap: int, bpe: ByteBPE) -> list
     """Pieces ``(first token, first char, end char, tokens, kind of the cut at the end)``."""
     if not text:
         return []
-    if len(text) * 4 <= limit:  # no more bytes than tokens allowed
-        return [(0, 0, len(text), bpe.count(text), "end")]
-    outline = Outline(text, bpe)
-    if len(outline) <= limit:
-        return [(0, 0, len(text), len(outline), "end")]
+    whole = bpe.count(text)
+    if whole <= limit:
+        return [(0, 0, len(text), whole, "end")]
+    outline = Outline(text, bpe)  # only of texts that must be cut
     budget = limit - overlap
     while True:
         pieces, worst = [], 0
@@ -124,11 +127,16 @@ def split_text(text: str | None, limit: int, overlap: int, bpe: ByteBPE) -> list
                     a -= 1
             start, end = int(outline.token_char[a]), int(outline.token_char[b])
             tokens = bpe.count(text[start:end])  # a piece stands alone, so its own encoding counts
+            while tokens > limit and budget <= LEAST_BUDGET and start < pieces[-1][2]:  # give up overlap, not the limit
+                start += max(1, (pieces[-1][2] - start) // 2)
+                tokens = bpe.count(text[start:end])
             worst = max(worst, tokens - limit)
             pieces.append((a, start, end, tokens, kind(rank)))
-        if worst <= 0 or budget <= 4:
+        if worst <= 0:
             return pieces
-        budget = max(4, budget - worst)
+        if budget <= LEAST_BUDGET:
+            raise ValueError(f"no pieces of at most {limit} tokens")
+        budget = max(LEAST_BUDGET, budget - worst)
 
 
 def split_table(df: DataFrame, doc_id: str, text: str, limit: int = 512, overlap: int = 32, vocabulary: str = BYTE_BPE_50K, keep_text: bool = True) -> DataFrame:
@@ -164,8 +172,3 @@ def split_table(df: DataFrame, doc_id: str, text: str, limit: int = 512, overlap
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
     return df.select(doc_id, text).mapInArrow(run, schema)
-
-
-def rows_bound(n_tokens: int, limit: int, overlap: int) -> int:
-    """Fewest pieces that a text of ``n_tokens`` can be cut into."""
-    return 1 if n_tokens <= limit else math.ceil((n_tokens - overlap) / (limit - overlap))

@@ -82,6 +82,21 @@ def test_pieces(text, limit, overlap):
     assert text == text[: pieces[0][2]] + "".join(text[a[2] : b[2]] for a, b in zip(pieces, pieces[1:], strict=False))
 
 
+@given(st.text(alphabet="ab B's.\n-日é\t", max_size=400))
+@settings(max_examples=200, deadline=None)
+def test_pieces_never_exceed_the_limit(text):
+    for limit, overlap in ((12, 3), (20, 11)):
+        pieces = split_text(text, limit, overlap, BPE)
+        assert all(n == BPE.count(text[s:e]) <= limit for _, s, e, n, _ in pieces)
+        assert text == "".join(text[(a[2] if a else 0) : b[2]] for a, b in zip([None, *pieces], pieces, strict=False))
+
+
+@given(st.text(alphabet="ab '\n\t\u00a0\x1c1.é日", max_size=80))
+@settings(max_examples=400, deadline=None)
+def test_cutting_at_blanks_changes_nothing(text):
+    assert BPE.encode(text) == BPE.encode_words(text) == REFERENCE.encode_ordinary(text)
+
+
 def test_cuts_follow_the_structure():
     text = "\n\n".join("# Part\n\n" + "Some words stand here, and more of them! " * 12 for _ in range(12))
     pieces = split_text(text, 512, 32, BPE)
@@ -146,6 +161,16 @@ def test_mix(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_a_fitted_mix_reaches_the_shares(spark):
+    _, mix = mixed(spark, block_tokens=20, shard_tokens=200, fit=True)
+    report = {r.source: r for r in mix.report.collect()}
+    both = report["big"].target_share + report["small"].target_share
+    for s in ("big", "small"):
+        assert report[s].actual_share == pytest.approx(report[s].target_share / both, abs=0.02)
+    assert {s for s, r in report.items() if r.short} == {"absent"}
+    assert len(mix.quotas) > 1
+
+
 def test_mix_without_documents(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     mix = Mix(spark.createDataFrame([], MIX), targets, "doc_id", "source", "text")
