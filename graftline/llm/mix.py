@@ -1,12 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's documents fall into blocks by a seeded hash, so every block is a random part of its source.
-A source's quota of tokens becomes whole passes over its blocks plus a random choice of blocks, the last of
-which is cut between documents. The exact numbers of drawn blocks per source are then divided among the
+A source's quota of tokens becomes whole passes over its blocks plus a random choice of blocks that fit, and one
+that is cut between documents for what is left. The exact numbers of drawn blocks per source are then divided among the
 output shards by halving: at every node of a binary tree a multivariate hypergeometric draw decides how
 many blocks of each source go left, so the leaves hold exact quotas that add up. Each leaf takes disjoint
-runs of the source's permuted blocks and shuffles its documents locally. The driver only sees block totals and
-the plan, a row for each drawn block: at most about ``MAX_BLOCKS`` and, for each source, its repeats. There are at
+runs of the source's permuted blocks and shuffles its documents locally. The driver only sees block totals,
+at most about twice ``MAX_BLOCKS``, and the plan, a row for each drawn block: at most as many, and for each source its repeats. There are at
 most ``MAX_BLOCKS // BLOCKS_A_SHARD`` shards, so each draws many blocks however large the mix is.
 """
 
@@ -27,6 +27,7 @@ MAX_BLOCKS = 1 << 15
 BLOCK_TOKENS = 1 << 12
 SHARD_TOKENS = 1 << 17
 BLOCKS_A_SHARD = 8
+LEAST_DRAWS = 16
 
 
 @dataclass
@@ -100,8 +101,10 @@ class Mix:
         for s in self.shares:
             s.take = min(s.target_share * self.goal, s.max_repeats * s.n_tokens)
         size = max(block_tokens, math.ceil(sum(s.take for s in self.shares) / MAX_BLOCKS))
-        for s in self.shares:
-            s.blocks = math.ceil(s.n_tokens / size)
+        most = max(1, MAX_BLOCKS // max(1, len(self.shares)))
+        for s in self.shares:  # at least some blocks to a quota, so that a small one isn't left to a single block
+            fine = min(size, max(1, s.take / LEAST_DRAWS))
+            s.blocks = max(math.ceil(s.n_tokens / size), min(most, math.ceil(s.n_tokens / fine)))
 
     def _draw(self, shard_tokens: int) -> None:
         used = [s for s in self.shares if s.blocks and s.take > 0]
@@ -124,12 +127,15 @@ class Mix:
             for copy in range(whole):
                 draws += [(int(b), copy, math.inf) for b in rng.permutation(order)]
             room = s.take - whole * s.n_tokens
+            cut = None
             for b in rng.permutation(order):
-                if room < 1:
-                    break
-                n = have[int(b)]
-                draws.append((int(b), whole, math.inf if n <= room else float(room)))
-                room -= min(n, room)
+                if have[int(b)] <= room:
+                    draws.append((int(b), whole, math.inf))
+                    room -= have[int(b)]
+                elif cut is None:
+                    cut = int(b)
+            if cut is not None and room >= 1:
+                draws.append((cut, whole, float(room)))
             drawn.append([draws[k] for k in rng.permutation(len(draws))])
         tokens = sum(s.take for s in used)
         shards = max(1, min(math.ceil(tokens / shard_tokens), MAX_BLOCKS // BLOCKS_A_SHARD))
@@ -153,7 +159,7 @@ class Mix:
         whole = joined.filter("room = double('infinity')")
         # one block per source is cut, so this window holds a block, not a source
         order = Window.partitionBy("_source", "_block", "copy").orderBy(F.xxhash64("_id", F.lit(self.seed + 1)), "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-        cut = joined.filter("room < double('infinity')").withColumn("_sum", F.sum("n_tokens").over(order)).filter("_sum <= room").drop("_sum")
+        cut = joined.filter("room < double('infinity') and n_tokens <= room").withColumn("_sum", F.sum("n_tokens").over(order)).filter("_sum <= room").drop("_sum")
         local = Window.partitionBy("shard").orderBy(F.xxhash64("_id", "copy", F.lit(self.seed + 2)), "_id", "copy")
         both = whole.unionByName(cut).withColumn("position", F.row_number().over(local))
         return both.select("shard", "position", F.col("_id").alias(self.doc_id), F.col("_source").alias("source"), "copy", "n_tokens")
