@@ -152,7 +152,12 @@ def _combine(names: list[str], sums: list[str], limit: int):
     return run
 
 
-def per_key(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str, usable: Column | None = None, tasks: int | None = None, combine_rows: int = 1_000_000) -> DataFrame:
+def plan_per_key(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> LoadPlan:
+    """The plan of ``per_key``; its ``total`` is the number of rows."""
+    return LoadPlan(df.select(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keys)]), [f"k{n}" for n in range(len(keys))], tasks)
+
+
+def per_key(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str, usable: Column | None = None, tasks: int | None = None, combine_rows: int = 1_000_000, plan: LoadPlan | None = None) -> DataFrame:
     """Lines, distinct pairs and mean of ``value`` for each key, with no task far above its fair share.
 
     Output: the keys, ``n_lines`` (all rows), ``n_pairs`` (distinct combinations of ``pair``, in the given
@@ -170,7 +175,7 @@ def per_key(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str,
         F.when(ok, F.col(value).cast("double")).otherwise(0.0).alias("total"),
         F.when(ok, 1).otherwise(0).cast("long").alias("used"),
     )
-    plan = LoadPlan(rows, k, tasks)
+    plan = plan or plan_per_key(df, keys, tasks)
     placed = plan.fragment(rows, p).select("_salt", "_shard", *k, *p, "n", "total", "used")
     names, sums = ["_salt", "_shard", *k, *p], ["n", "total", "used"]
     partial = placed.mapInArrow(_combine(names, sums, combine_rows), placed.schema)
@@ -194,14 +199,15 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequen
     and the matching rows of ``right`` are copied to those shards only.
 
     ``how`` is inner or left. Null keys match nothing, as in SQL. Columns of ``right`` that clash with
-    ``left`` (other than the keys) get the suffix ``_right``.
+    ``left`` (other than the keys) get the suffix ``_right``. Both sides are partitioned by the packed task
+    alone; so that the join keeps to that, Spark's wish for all keys in the partitioning is turned off for the session.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     plan = LoadPlan(left, keys, tasks)
+    plan.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     right = right.select(*[F.col(c).alias(f"{c}_right" if c in clash else c) for c in right.columns])
-    drop = ["_shard", "_shards", "_bucket", "_salt"]
-    a = plan.fragment(left, by)
-    b = plan.replicate(right).drop("_shards", "_bucket")
-    return a.join(b, [*keys, "_shard"], how).drop(*drop)
+    a = plan.fragment(left, by).drop("_shards", "_bucket").repartition(plan.tasks, "_salt")
+    b = plan._salted(plan.replicate(right)).drop("_shards", "_bucket").repartition(plan.tasks, "_salt")
+    return a.join(b.hint("merge"), ["_salt", *keys, "_shard"], how).drop("_shard", "_salt")

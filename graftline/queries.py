@@ -12,7 +12,7 @@ from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash,
 from graftline.operators import candidates as cand
 from graftline.operators import diagnostics, knn, pairs, sets, tree
 from graftline.operators.msf import component_labels, msf
-from graftline.operators.skew import per_key, skew_join
+from graftline.operators.skew import per_key, plan_per_key, skew_join
 from graftline.plans.config import repetitions_within
 from graftline.session import materialize, scratch_path, table
 from graftline.sources import logs
@@ -41,9 +41,9 @@ def p4_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys (i, j) with more than 1.5 % of all rows whose i and j are not null."""
     log = table(spark, sf_dir, "glove_sampl").filter("i is not null and j is not null")
-    keys = per_key(log, ["i", "j"], ["edge1", "edge2"], "distance", usable_distance())
-    total = log.agg(F.count(F.lit(1)).alias("total"))
-    return keys.join(F.broadcast(total), keys["n_lines"] > 0.015 * total["total"]).select("i", "j")
+    plan = plan_per_key(log, ["i", "j"])
+    keys = per_key(log, ["i", "j"], ["edge1", "edge2"], "distance", usable_distance(), plan=plan)
+    return keys.filter(F.col("n_lines") > 0.015 * plan.total).select("i", "j")
 
 
 def p4_above_mean(spark: SparkSession, sf_dir: str) -> DataFrame:

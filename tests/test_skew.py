@@ -64,3 +64,13 @@ def test_skew_join_equals_join(spark):
         want = sorted((x.k or -1, x.id, x.t or "") for x in left.join(right.withColumnRenamed("s", "t"), "k", how).collect())
         got = sorted((x.k or -1, x.id, x.s_right or "") for x in skew_join(left, right, ["k"], ["id"], how, tasks=4).collect())
         assert got == want
+
+
+def test_skew_join_keeps_to_the_packed_tasks(spark):
+    left = spark.createDataFrame([(1 if n % 2 else n, n) for n in range(6000)], "k int, id long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(6000)], "k int, s string")
+    joined = skew_join(left, right, ["k"], ["id"], tasks=6)
+    parts = [p["count"] for p in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 6000 and max(parts) < 2 * sorted(parts)[len(parts) // 2]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_salt") == plan.count("Exchange hashpartitioning") == 2
