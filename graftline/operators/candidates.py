@@ -6,10 +6,18 @@ prefix (lcp) in some table is at least i, and what is new at i are the pairs wit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graftline.functions.vectors import metric
+from graftline.functions.vectors import metric, prepare
+from graftline.operators.pairs import matrix
+from graftline.session import materialize, parallelism
 
 
 def prefix_of(code: Column | str, prefix: int) -> Column:
@@ -26,26 +34,42 @@ def lcp(a: Column | str, b: Column | str) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def _met(codes: DataFrame, prefix: int) -> DataFrame:
+HOT = 4096  # points of a bucket; a fuller one is cut so that no task gets all its pairs
+
+
+def met(codes: DataFrame, prefix: int, new: bool = False, hot: int = HOT) -> DataFrame:
+    """``rep, key, i, j, a_code, b_code``: pairs i < j of every table that share a bucket at ``prefix``, with ``new`` only those
+    whose next symbols differ. The pairs of a bucket above ``hot`` are spread: one side is cut, the other copied to the cuts."""
     keyed = codes.withColumn("key", prefix_of("code", prefix))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    return a.join(b, (F.col("a.rep") == F.col("b.rep")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    sizes = keyed.groupBy("rep", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
+    cuts = F.coalesce(F.ceil(F.col("n") / hot).cast("int"), F.lit(1))
+    sized = keyed.join(sizes, ["rep", "key"], "left").withColumn("_cuts", cuts)
+    a = sized.select("rep", "key", F.pmod(F.xxhash64("vec_id"), F.col("_cuts")).cast("int").alias("cut"), F.col("vec_id").alias("i"), F.col("code").alias("a_code"))
+    b = sized.select("rep", "key", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("cut"), F.col("vec_id").alias("j"), F.col("code").alias("b_code"))
+    pairs = a.join(b, ["rep", "key", "cut"]).filter("i < j").drop("cut")
+    return pairs.filter(F.element_at("a_code", prefix + 1) != F.element_at("b_code", prefix + 1)) if new else pairs
 
 
 def pair_lcp(codes: DataFrame, prefix: int) -> DataFrame:
     """``i, j, lcp``: pairs that share ``prefix`` symbols in some table, with their longest common prefix."""
-    met = _met(codes, prefix).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), lcp("a.code", "b.code").alias("lcp"))
-    return met.groupBy("i", "j").agg(F.max("lcp").alias("lcp"))
+    return met(codes, prefix).select("i", "j", lcp("a_code", "b_code").alias("lcp")).groupBy("i", "j").agg(F.max("lcp").alias("lcp"))
 
 
 def prefix_pairs(codes: DataFrame, prefix: int) -> DataFrame:
     """``i, j``: pairs that share a bucket at ``prefix`` in some table."""
-    return _met(codes, prefix).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j")).distinct()
+    return met(codes, prefix).select("i", "j").distinct()
 
 
-def new_pairs(codes: DataFrame, prefix: int) -> DataFrame:
-    """``i, j``: pairs that first share a bucket at ``prefix``, not at any longer one."""
-    return pair_lcp(codes, prefix).filter(F.col("lcp") == prefix).select("i", "j")
+def new_pairs(codes: DataFrame, prefix: int, depth: int | None = None) -> DataFrame:
+    """``i, j``: pairs that first share a bucket at ``prefix``, not at any longer one.
+
+    Below the full depth only pairs from different buckets of the next prefix are formed, and those that another
+    table brought together before are taken out.
+    """
+    depth = depth if depth is not None else codes.select(F.size("code")).first()[0] if not codes.isEmpty() else prefix
+    if prefix >= depth:
+        return prefix_pairs(codes, prefix)
+    return met(codes, prefix, True).select("i", "j").distinct().join(met(codes, prefix + 1).select("i", "j").distinct(), ["i", "j"], "left_anti")
 
 
 def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -56,11 +80,20 @@ def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def weigh(pairs: DataFrame, points: DataFrame, name: str) -> DataFrame:
-    """``i, j, w`` of pairs of ids; other columns of the pairs stay."""
+    """``i, j, w`` of pairs of ids; other columns of the pairs stay. Distances are computed by rows of Arrow batches."""
     m = metric(name)
-    a = points.select(F.col("vec_id").alias("i"), F.col("embedding").alias("_x"))
-    b = points.select(F.col("vec_id").alias("j"), F.col("embedding").alias("_y"))
-    return pairs.join(a, "i").join(b, "j").withColumn("w", m.column(F.col("_x"), F.col("_y"))).drop("_x", "_y")
+    a = points.select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<float>").alias("_x"))
+    b = points.select(F.col("vec_id").alias("j"), F.col("embedding").cast("array<float>").alias("_y"))
+    keep = pairs.columns
+    schema = T.StructType([*(pairs.schema[c] for c in keep), T.StructField("w", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if t.num_rows:
+                w = m.rows(*(prepare(matrix(t.column(c)), m) for c in ("_x", "_y")))
+                yield pa.RecordBatch.from_arrays([*(t.column(c) for c in keep), pa.array(w)], names=schema.names)
+
+    return pairs.join(a, "i").join(b, "j").select(*keep, "_x", "_y").mapInArrow(run, schema)
 
 
 def bucket_sizes(codes: DataFrame, prefix: int) -> DataFrame:
@@ -125,7 +158,28 @@ def bernoulli(pairs: DataFrame, share: float, seed: int = 0) -> DataFrame:
 
 
 def random_path(points: DataFrame, seed: int = 0) -> DataFrame:
-    """``i, j``: a spanning path through the points in pseudo-random order."""
-    order = Window.orderBy(spread_key("vec_id", seed=seed), "vec_id")
-    nxt = points.select("vec_id", F.lead("vec_id").over(order).alias("next")).filter("next is not null")
-    return nxt.select(F.least("vec_id", "next").alias("i"), F.greatest("vec_id", "next").alias("j"))
+    """``i, j``: a spanning path through the points in pseudo-random order.
+
+    Partitions hold ranges of the order; each links its own rows, and the first of each, one row a partition, is
+    linked to the last of the one before.
+    """
+    spark = points.sparkSession
+    ranged = points.select(spread_key("vec_id", seed=seed).alias("key"), F.col("vec_id").cast("long").alias("v")).repartitionByRange(parallelism(spark), "key", "v").sortWithinPartitions("key", "v")
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for t in batches:
+            if not t.num_rows:
+                continue
+            v = t.column(1).to_numpy()
+            first = v[0] if first is None else first
+            v = v if last is None else np.r_[last, v]
+            last = v[-1]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(v) - 1, pa.int32()), pa.array(v[:-1]), pa.array(v[1:])], names=["part", "a", "b"])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.int64()), pa.array([last], pa.int64())], names=["part", "a", "b"])
+
+    found = materialize(ranged.mapInArrow(inner, "part int, a long, b long"), "path")
+    ends = found.filter("part is not null").withColumn("next", F.lead("a").over(Window.orderBy("part"))).filter("next is not null").select(F.col("b").alias("a"), F.col("next").alias("b"))
+    both = found.filter("part is null").select("a", "b").unionByName(ends)
+    return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,13 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 
 def median_edge(edges: DataFrame) -> DataFrame:
-    """``w``: the upper median weight, at position n div 2 (from 0) of the sorted edges."""
-    n = edges.agg(F.count(F.lit(1)).alias("n"))
-    placed = edges.withColumn("r", F.row_number().over(Window.orderBy("w", "i", "j")) - 1)
-    return placed.join(F.broadcast(n), F.col("r") == F.expr("n div 2")).select("w")
+    """``w``: the upper median weight, at position n div 2 (from 0) of the sorted edges, by an exact percentile."""
+    n = edges.count()
+    if not n:
+        return edges.select("w").limit(0)
+    # the least value that more than n div 2 of the weights don't exceed
+    share = (n // 2 + 0.5) / n
+    return edges.agg(F.expr(f"percentile_disc({share!r}d) within group (order by w)").alias("w"))
 
 
 def tree_weights(edges: DataFrame, points: DataFrame, name: str) -> DataFrame:

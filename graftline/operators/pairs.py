@@ -75,15 +75,15 @@ def all_pairs(points: DataFrame, name: str, tile_rows: int = TILE_ROWS) -> DataF
     return tiled(points, lambda lo, hi, t: _edges(list(_pair_rows(lo, hi, t, m))), EDGE, tile_rows)
 
 
-def closest_pairs(points: DataFrame, name: str, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The ``k`` closest pairs by (w, i, j); a task passes on at most ``k``."""
+def closest_pairs(points: DataFrame, name: str, k: int, tile_rows: int = TILE_ROWS, digits: int | None = None) -> DataFrame:
+    """The ``k`` closest pairs by (w, i, j); a task passes on at most ``k``. With ``digits`` weights are rounded first."""
     m = metric(name)
 
     def run(lo: int, hi: int, t: pa.Table) -> pa.Table:
         held: list = []
         rows = 0
         for part in _pair_rows(lo, hi, t, m):
-            held.append(part)
+            held.append(part if digits is None else (*part[:2], np.round(part[2], digits) + 0.0))
             rows += len(part[0])
             if rows > 4 * k + 100_000:
                 held, rows = [_least(held, k)], k
@@ -98,12 +98,10 @@ def _least(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i[keep], j[keep], w[keep]
 
 
-def dense_tree(ids: np.ndarray, x: np.ndarray, m: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning tree of all pairs of rows sorted by id, in the total order (w, i, j)."""
+def dense_tree(ids: np.ndarray, x: np.ndarray, m: Metric, apart: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning tree of all pairs of rows sorted by id, in the total order (w, i, j). With ``apart`` only
+    pairs count that differ in every label, and the result may be a forest."""
     n = len(ids)
-    if n < 2:
-        none = np.empty(0, np.int64)
-        return none, none, np.empty(0)
     outside = np.ones(n, bool)
     best, lo, hi = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
     out, now = [], 0
@@ -111,15 +109,23 @@ def dense_tree(ids: np.ndarray, x: np.ndarray, m: Metric) -> tuple[np.ndarray, n
         outside[now] = False
         rest = np.flatnonzero(outside)
         d = m.rows(x[now], x[rest])
+        for label in apart or ():
+            d[label[rest] == label[now]] = np.inf
         a, b = np.minimum(now, rest), np.maximum(now, rest)
         old = best[rest]
-        better = (d < old) | ((d == old) & ((a < lo[rest]) | ((a == lo[rest]) & (b < hi[rest]))))
+        better = (d < old) | ((d == old) & np.isfinite(d) & ((a < lo[rest]) | ((a == lo[rest]) & (b < hi[rest]))))
         at = rest[better]
         best[at], lo[at], hi[at] = d[better], a[better], b[better]
         w = best[rest]
         ties = rest[w == w.min()]
+        if np.isinf(best[ties[0]]):  # nothing left to reach: a new tree
+            now = int(rest[0])
+            continue
         now = int(ties[0] if len(ties) == 1 else ties[np.lexsort((hi[ties], lo[ties]))[0]])
         out.append((lo[now], hi[now], best[now]))
+    if not out:
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0)
     i, j, w = (np.array(c) for c in zip(*out, strict=True))
     return ids[i], ids[j], w
 

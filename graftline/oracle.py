@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash
-from graftline.queries import CROSS, DELTA, DIM, E2, LSH_PREFIX, SIM
+from graftline.queries import CLOSEST, CROSS, DELTA, DIM, E2, E2_TREE, GLOVE, LSH_PREFIX, PARTS, SIM, SIM_TREE
 
 USABLE = "edge1 is not null and edge2 is not null and edge1 <> edge2 and distance >= 0 and distance <= 2"
 
@@ -36,11 +36,11 @@ def plane_rows(family: Family) -> str:
     return "(values " + ",\n".join(rows) + ") t(rep, k, a, b)"
 
 
-def codes_sql(family: Family, where: str = "true") -> str:
-    """``vec_id, rep, code`` of the embeddings."""
+def codes_sql(family: Family, where: str = "true", source: str = "embeddings") -> str:
+    """``vec_id, rep, code`` of the embeddings or another table of points."""
     product = "list_inner_product(p.embedding::double[], t.a)"
     symbol = f"(floor(({product} + t.b) / {family.width}))::bigint" if isinstance(family, E2LSH) else f"({product} >= 0)::bigint"
-    return f"select p.vec_id, t.rep, list({symbol} order by t.k) code from embeddings p, {plane_rows(family)} where {where} group by p.vec_id, t.rep"
+    return f"select p.vec_id, t.rep, list({symbol} order by t.k) code from {source} p, {plane_rows(family)} where {where} group by p.vec_id, t.rep"
 
 
 def cross_codes_sql(family: CrossPolytope) -> str:
@@ -143,14 +143,11 @@ def knn_sql(name: str, k: int, keep_self: bool) -> str:
         select query_id, rank, id, round(dist, 6) dist from n where rank <= {k}"""
 
 
-def knn_lsh_sql(k: int, sketch: bool) -> str:
-    sketches = f"sk as materialized (select vec_id, list_reduce(code, lambda s, b: s * 2 + b) s from ({codes_sql(SimHash(DIM, 1, 32, 7))}))," if sketch else ""
-    keep = "and bit_count(xor(x.s, y.s)) <= 14" if sketch else ""
-    join = "join sk x on x.vec_id = a.vec_id join sk y on y.vec_id = b.vec_id" if sketch else ""
+def knn_lsh_sql(k: int) -> str:
     return f"""
-        with {SIM_CODES}, {sketches}
+        with {SIM_CODES},
         l as (select a.vec_id q, b.vec_id id, max({lcp_sql(SIM.depth)}) lcp from codes a join codes b on a.rep = b.rep and a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by 1, 2),
-        d as (select l.q, l.id, l.lcp, {DISTANCE['cosine']} dist from l join embeddings a on a.vec_id = l.q join embeddings b on b.vec_id = l.id {join} where true {keep}),
+        d as (select l.q, l.id, l.lcp, {DISTANCE['cosine']} dist from l join embeddings a on a.vec_id = l.q join embeddings b on b.vec_id = l.id),
         v as (select d.*, p.prefix, row_number() over (partition by q, prefix order by dist, id) rn from d join range(0, {SIM.depth + 1}) p(prefix) on d.lcp >= p.prefix),
         t as (select q, prefix, count(*) n, max(dist) kth from v where rn <= {k} group by 1, 2),
         f as (select q, max(prefix) prefix from t where prefix = 0 or (n >= {k} and {fail_sql(SIM_P.format(d='kth'), 'prefix', str(SIM.repetitions), SIM.repetitions, SIM.depth)} <= 0.1) group by q)
@@ -178,6 +175,52 @@ def minhash_sql(repetitions: int, depth: int, seed: int = 42) -> str:
         select doc_id, rep::integer rep, array_to_string(list(s order by k), ',') code from h group by doc_id, rep"""
 
 
+PART_POINTS = "pts as materialized (select p_partkey vec_id, [(p_size * 2)::float, (p_retailprice - 900.0::double)::float] embedding from part where p_partkey is not null and p_size is not null and p_retailprice < 'inf'::double)"
+GLOVE_POINTS = """pts as materialized (select row_id vec_id, train embedding from glove_100_angular where row_id is not null and len(train) = 100
+    and len(list_filter(train, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(train, lambda e: e <> 0)) > 0)"""
+EMBEDDED = "pts as materialized (select vec_id, embedding from embeddings)"
+
+
+def levels_sql(points: str, family: Family, name: str, floor: int, digits: int | None = None) -> str:
+    """CTEs after which ``wp(i, j, lcp, w)`` are the pairs with a common prefix of at least ``floor`` and ``lev(p)`` the prefixes from there on."""
+    w = DISTANCE[name] if digits is None else f"round({DISTANCE[name]}, {digits}) + 0.0"
+    return f"""{points}, codes as materialized ({codes_sql(family, source='pts')}),
+        lp as materialized (select a.vec_id i, b.vec_id j, max({lcp_sql(family.depth)}) lcp {prefix_join(floor)} group by 1, 2),
+        wp as materialized (select i, j, lcp, {w} w from lp join pts a on a.vec_id = i join pts b on b.vec_id = j),
+        lev as (select p from range({floor}, {family.depth + 1}) p(p))"""
+
+
+def sweep_sql(points: str, family: Family, name: str, floor: int, accept: str) -> str:
+    """CTEs after which ``s(p, i, j, w, fail)`` are the trees of all prefixes and ``stop(p)`` is the longest at which the tree spans and the rule holds.
+
+    Points of a prefix are numbered apart, so one search gives the trees of all."""
+    far = 10_000_000
+    p = SIM_P.format(d="w") if name == "cosine" else f"({e2_sql('w', family.width)})"
+    fail = fail_sql(p, "p", str(family.repetitions), family.repetitions, family.depth)
+    edges = f"select p * {far} + i i, p * {far} + j j, w from wp join lev on lcp >= p"
+    return f"""{levels_sql(points, family, name, floor)}, {boruvka(edges, f'select p * {far} + vec_id v from pts, lev')},
+        t as (select i // {far} p, i % {far} i, j % {far} j, w from tree), s as materialized (select *, {fail} fail from t),
+        n as (select count(*) n from pts),
+        f as (select p, count(*) n_edges, count(*) filter (where fail < 0.1 / n) n_confirmed, max(fail) worst, sum(w) weight, any_value(n) n,
+            sum(case when fail < 0.1 / n then w else 0 end) + max(case when fail < 0.1 / n then w else 0 end) * count(*) filter (where fail >= 0.1 / n) bound from s, n group by p),
+        stop as (select max(p) p from f where n_edges = n - 1 and {accept})"""
+
+
+SURE, NEAR = "worst < 0.1 / n", "weight <= 1.2 * bound"
+FOUND = "select i::bigint i, j::bigint j, round(w, 6) w, s.p::integer prefix, 'lsh' path from s join stop on s.p = stop.p"
+
+
+def found_tree(points: str, family: Family, name: str, floor: int, accept: str) -> str:
+    return f"with {sweep_sql(points, family, name, floor, accept)} {FOUND}"
+
+
+CLOSE = f"""
+    {levels_sql(GLOVE_POINTS, GLOVE, 'cosine', GLOVE.depth - 1, 9)},
+    r as (select p, i, j, w, row_number() over (partition by p order by w, i, j) rn from wp join lev on lcp >= p),
+    g as (select p, count(*) n, max(w) w from r where rn <= {CLOSEST} group by p),
+    stop as (select max(p) p from g where n = {CLOSEST} and {fail_sql(SIM_P.format(d='w'), 'p', str(GLOVE.repetitions), GLOVE.repetitions, GLOVE.depth)} <= 0.1)"""
+SKETCHED = "select count(*)::bigint n_queries, 10 * count(*)::bigint n_true, true enough from embeddings where vec_id % 50 = 0"
+
 PATH = "select vec_id, lead(vec_id) over (order by md5(vec_id || ',0'), vec_id) nxt from embeddings"
 VALID = "case when {c}::varchar <> 'nan' then {c} end"  # isnan() is folded away by the column statistics
 RUNS = ", ".join(VALID.format(c=c) + f" {c}" for c in ("w0", "w1", "w2"))
@@ -197,7 +240,8 @@ SQL |= {
     "knn_exact_cosine": knn_sql("cosine", 10, True),
     "knn_from_index_exact": knn_sql("cosine", 10, False),
     "closest_pairs_exact": f"select i, j, round(w, 6) w from (select * from ({pairs_sql('euclidean')}) order by w, i, j limit 20)",
-    "closest_pairs_lsh": f"select i, j, round(w, 6) w from (select * from ({pairs_sql('cosine')}) order by w, i, j limit 20)",
+    "closest_pairs_lsh": f"with {CLOSE} select i, j, round(w, 6) w, r.p::integer prefix, 'lsh' path from r join stop on r.p = stop.p where rn <= {CLOSEST}",
+    "closest_pairs_glove_exact": f"with {GLOVE_POINTS} select i, j, round(w, 6) w from (select a.vec_id i, b.vec_id j, round({DISTANCE['cosine']}, 9) + 0.0 w from pts a join pts b on a.vec_id < b.vec_id order by w, i, j limit {CLOSEST})",
     "simhash_codes": f"select vec_id, rep, array_to_string(code, ',') code from ({codes_sql(SIM)})",
     "index_save_load_roundtrip": f"select vec_id, rep, array_to_string(code, ',') code from ({codes_sql(SIM)})",
     "e2lsh_codes": f"select vec_id, rep, array_to_string(code, ',') code from ({codes_sql(E2)})",
@@ -224,18 +268,24 @@ SQL |= {
     "confirmed_split": f"with {SPLIT} select i, j, round(w, 6) w, round(fail, 6) fail, confirmed from cs",
     "bound_weight": f"with {SPLIT}, {BOUND} select n_edges, n_confirmed, round(weight, 6) weight, round(bound, 6) bound from b",
     "epsilon_accept": f"with {SPLIT}, {BOUND} select t.epsilon::double epsilon, weight <= (1 + t.epsilon::double) * bound accepted from b, (values (0.01), (0.2), (0.5), (1.0)) t(epsilon)",
-    "find_tree_simhash": mst("cosine"),
-    "find_tree_e2lsh": mst("euclidean"),
-    "find_epsilon_tree_simhash": mst("cosine"),
+    "find_tree_simhash": found_tree(EMBEDDED, SIM_TREE, "cosine", 2, SURE),
+    "find_tree_e2lsh": found_tree(EMBEDDED, E2_TREE, "euclidean", 2, SURE),
+    "find_epsilon_tree_simhash": found_tree(EMBEDDED, SIM_TREE, "cosine", 2, NEAR),
+    "find_tree_parts": found_tree(PART_POINTS, PARTS, "euclidean", PARTS.depth - 4, SURE),
+    "find_tree_parts_pruned": found_tree(PART_POINTS, PARTS, "euclidean", PARTS.depth - 4, SURE),
+    "find_epsilon_tree_parts": found_tree(PART_POINTS, PARTS, "euclidean", PARTS.depth - 4, NEAR),
+    "find_tree_parts_levels": f"with {sweep_sql(PART_POINTS, PARTS, 'euclidean', PARTS.depth - 4, SURE)} select f.p::integer prefix, 'lsh' path, n_edges::bigint n_edges, n_confirmed::bigint n_confirmed, round(weight, 6) weight, round(bound, 6) bound from f join stop on f.p = stop.p",
+    "exact_mst_parts": f"with {PART_POINTS}, {boruvka('select a.vec_id i, b.vec_id j, ' + DISTANCE['euclidean'] + ' w from pts a join pts b on a.vec_id < b.vec_id', 'select vec_id v from pts')} {EDGES}",
     "tree_connected": f"with {boruvka(pairs_sql('euclidean'), ALL)} select (select count(*) from embeddings)::bigint n_points, (select count(*) from tree)::bigint n_edges, count(distinct c)::bigint n_components, count(distinct c) <= 1 connected from labels",
     "local_msf_by_rep": f"with {SIM_CODES}, {BY_TABLE}, {boruvka('select rep * 10000000 + i i, rep * 10000000 + j j, w from bt', 'select distinct rep * 10000000 + vec_id v from codes')} select (i // 10000000)::integer rep, (i % 10000000)::bigint i, (j % 10000000)::bigint j, round(w, 6) w from tree",
     "merge_msf": f"with {SIM_CODES}, {BY_TABLE}, {boruvka('select distinct i, j, w from bt', ALL)} {EDGES}",
-    "knn_lsh": knn_lsh_sql(10, False),
-    "knn_lsh_sketch_filter": knn_lsh_sql(10, True),
+    "knn_lsh": knn_lsh_sql(10),
+    "knn_lsh_sketch_simple": SKETCHED,
+    "knn_lsh_sketch_default": SKETCHED,
     "cap_unconfirmed": f"""
         with {SIM_CODES}, {BY_TABLE}, s as (select *, {fail_sql(SIM_P.format(d='w'), '3', '8', SIM.repetitions, SIM.depth)} < {DELTA} confirmed from bt),
         n as (select *, row_number() over (partition by rep, confirmed order by w, i, j) r from s)
-        select rep, i, j, round(w, 6) w, confirmed from n where confirmed or r <= 50""",
+        select rep, i, j, round(w, 6) w, confirmed from n where confirmed or r <= 10 * (select count(*) from embeddings)""",
     "reservoir_pairs": f"""
         with {SIM_CODES}, {BY_TABLE}, n as (select *, row_number() over (partition by rep, key order by md5(i || ',' || j || ',0'), i, j) r from bt)
         select rep, i, j, round(w, 6) w from n where r <= 2""",
@@ -252,7 +302,7 @@ SQL |= {
         e as (select distinct run_id, least(u, v) i, greatest(u, v) j from tree_edges where u <> v)
         select run_id, count(*)::bigint n_edges, round(sum(1 - list_cosine_similarity(a.x, b.x)), 4) weight from e join v a on a.row_id = e.i join v b on b.row_id = e.j group by run_id""",
     "incremental_append_tree": mst("euclidean"),
-    "collision_log_roundtrip": f"select i, j, edge1, edge2, distance from glove_sampl where i = 24 and {USABLE}",
+    "collision_log_roundtrip": "select i, j, edge1, edge2, distance from glove_sampl",
     "memory_plan": "select l.l::bigint memory_limit, n::bigint n, ((l.l - 4 * n * 64) // (12 * n + 4 * 8 * 64))::bigint repetitions from (values (2000000), (8000000), (900000000)) l(l), (select count(*) n from embeddings)",
     "jaccard_pairs_documents": f"with {SETS}, {SIMILAR} select i, j, round(w, 6) w from near",
     "jaccard_classes_documents": f"with {SETS} select doc_id, rep from members",

@@ -63,6 +63,11 @@ E2 = E2LSH(DIM, 4, 6, width=2.0)
 CROSS = CrossPolytope(DIM, 4, 3)
 DELTA = 0.5  # of the queries that split edges by their chance of having been missed
 LSH_PREFIX = 7
+SIM_TREE = SimHash(DIM, 50, 12)  # tables enough for the rule to hold where vectors lie far apart
+E2_TREE = E2LSH(DIM, 50, 8, width=2.0)
+PARTS = E2LSH(2, 20, 12, width=40.0)  # over part_points
+GLOVE = SimHash(100, 12, 16)  # over glove_points
+CLOSEST = 500
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,16 +200,54 @@ def epsilon_accept(spark, sf_dir):
     return eps.crossJoin(F.broadcast(cand.bound_weight(_split(spark, sf_dir)))).select("epsilon", (F.col("weight") <= (1 + F.col("epsilon")) * F.col("bound")).alias("accepted"))
 
 
+def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and price of every part as a vector in a square of 100 by 100: points dense enough for hash buckets to prune."""
+    price = F.when(F.col("p_retailprice") < float("inf"), F.col("p_retailprice"))
+    parts = table(spark, sf_dir, "part").filter("p_partkey is not null and p_size is not null").filter(price.isNotNull())
+    return parts.select(F.col("p_partkey").alias("vec_id"), F.array((F.col("p_size") * 2).cast("float"), (price - 900.0).cast("float")).alias("embedding"))
+
+
+def glove_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable vectors of the collection, which has near groups and copies."""
+    fit = F.forall("train", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists("train", lambda e: e != 0)
+    vectors_ = table(spark, sf_dir, "glove_100_angular").filter(F.col("row_id").isNotNull() & (F.size("train") == 100)).filter(fit)
+    return vectors_.select(F.col("row_id").alias("vec_id"), F.col("train").alias("embedding"))
+
+
 def find_tree_simhash(spark, sf_dir):
-    return rounded(tree.find_tree(points(spark, sf_dir), SIM).edges)
+    return rounded(tree.find_tree(points(spark, sf_dir), SIM_TREE, switch=None).described())
 
 
 def find_tree_e2lsh(spark, sf_dir):
-    return rounded(tree.find_tree(points(spark, sf_dir), E2).edges)
+    return rounded(tree.find_tree(points(spark, sf_dir), E2_TREE, switch=None).described())
 
 
 def find_epsilon_tree_simhash(spark, sf_dir):
-    return rounded(tree.find_epsilon_tree(points(spark, sf_dir), SIM).edges)
+    return rounded(tree.find_epsilon_tree(points(spark, sf_dir), SIM_TREE, switch=None).described())
+
+
+def find_tree_parts(spark, sf_dir):
+    """Tree of the parts by size and price, with the prefix at which it was accepted."""
+    return rounded(tree.find_tree(part_points(spark, sf_dir), PARTS).described())
+
+
+def find_epsilon_tree_parts(spark, sf_dir):
+    return rounded(tree.find_epsilon_tree(part_points(spark, sf_dir), PARTS, epsilon=0.2).described())
+
+
+def find_tree_parts_pruned(spark, sf_dir):
+    """The same tree, without comparing points that confirmed edges already connect."""
+    return rounded(tree.find_tree(part_points(spark, sf_dir), PARTS, prune_connected=True).described())
+
+
+def find_tree_parts_levels(spark, sf_dir):
+    """Figures of the level at which the tree of the parts was accepted."""
+    found = tree.find_tree(part_points(spark, sf_dir), PARTS)
+    return rounded(found.metrics().filter("accepted").select("prefix", "path", "n_edges", "n_confirmed", "weight", "bound"), "weight", "bound")
+
+
+def exact_mst_parts(spark, sf_dir):
+    return rounded(pairs.exact_tree(part_points(spark, sf_dir), "euclidean"))
 
 
 def tree_connected(spark, sf_dir):
@@ -229,26 +272,39 @@ def knn_lsh(spark, sf_dir):
     return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10), "dist")
 
 
-def knn_lsh_sketch_filter(spark, sf_dir):
-    return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10, filter_type="simple", bits=32, max_difference=14), "dist")
+def _sketch_recall(mode: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        true = pairs.exact_neighbours(asked(spark, sf_dir), points(spark, sf_dir), "cosine", 10)
+        found = knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10, filter_type=mode, bits=32, miss=0.01).select("query_id", "id", F.lit(1).alias("hit"))
+        both = true.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_hit"))
+        return both.select("n_queries", "n_true", (F.col("n_hit") >= 0.9 * F.col("n_true")).alias("enough"))
+
+    query.__doc__ = f"Whether the search with the {mode} sketch filter finds nine tenths of the 10 nearest."
+    return query
 
 
 def knn_lsh_sketch_derived(spark, sf_dir):
-    """The same with limits that follow from the k-th distances so far."""
+    """Neighbours by sketches whose limits follow from the k-th distances so far."""
     return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10, filter_type="simple", bits=32, miss=0.01), "dist")
 
 
 def closest_pairs_lsh(spark, sf_dir):
-    return rounded(knn.closest_pairs(points(spark, sf_dir), SIM, 20))
+    """The 500 closest pairs of the collection, with the prefix at which they were accepted; distances to nine decimals, as copies tie."""
+    found, figures = knn.closest_pairs(glove_points(spark, sf_dir), GLOVE, CLOSEST, digits=9)
+    return rounded(found).withColumns({"prefix": F.lit(figures["prefix"]), "path": F.lit(figures["path"])})
+
+
+def closest_pairs_glove_exact(spark, sf_dir):
+    return rounded(pairs.closest_pairs(glove_points(spark, sf_dir), "cosine", CLOSEST, digits=9))
 
 
 def _by_table(spark, sf_dir):
-    met = cand._met(sim_codes(spark, sf_dir), LSH_PREFIX).select(F.col("a.rep").alias("rep"), F.array_join(F.col("a.key").cast("array<string>"), ",").alias("key"), F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"))
+    met = cand.met(sim_codes(spark, sf_dir), LSH_PREFIX).select("rep", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"), "i", "j")
     return cand.weigh(met, points(spark, sf_dir), "cosine")
 
 
 def cap_unconfirmed(spark, sf_dir):
-    return rounded(cand.cap_unconfirmed(cand.confirm(_by_table(spark, sf_dir), SIM, 3, DELTA), 50).select("rep", "i", "j", "w", "confirmed"))
+    return rounded(cand.cap_unconfirmed(cand.confirm(_by_table(spark, sf_dir), SIM, 3, DELTA), 10 * points(spark, sf_dir).count()).select("rep", "i", "j", "w", "confirmed"))
 
 
 def reservoir_pairs(spark, sf_dir):
@@ -278,9 +334,7 @@ def tree_median_edge(spark, sf_dir):
 
 
 def tree_log_weights(spark, sf_dir):
-    vectors_ = table(spark, sf_dir, "glove_100_angular").filter(F.size("train") == 100)
-    finite = F.forall("train", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists("train", lambda e: e != 0)
-    good = vectors_.filter(finite).select(F.col("row_id").alias("vec_id"), F.col("train").alias("embedding"))
+    good = glove_points(spark, sf_dir)
     return diagnostics.tree_weights(table(spark, sf_dir, "tree_edges"), good, "cosine").withColumn("weight", F.round("weight", 4))
 
 
@@ -297,12 +351,6 @@ def index_save_load_roundtrip(spark, sf_dir):
 
 
 def collision_log_roundtrip(spark, sf_dir):
-    path = scratch_path(spark, "log")
-    logs.write_collisions(table(spark, sf_dir, "glove_sampl").filter("i = 24").filter(usable_distance()), path)
-    return logs.read_collisions(spark, path)
-
-
-def collision_log_roundtrip_whole(spark, sf_dir):
     """The whole log, with its nulls and the distances that aren't finite."""
     path = scratch_path(spark, "log")
     logs.write_collisions(table(spark, sf_dir, "glove_sampl"), path)
@@ -360,6 +408,8 @@ QUERIES = {
     "e2lsh_codes": _codes(E2),
     "crosspolytope_codes": _codes(CROSS),
     "component_labels": component_labels_query,
+    "knn_lsh_sketch_simple": _sketch_recall("simple"),
+    "knn_lsh_sketch_default": _sketch_recall("default"),
     **{
         f.__name__: f
         for f in (
@@ -367,9 +417,9 @@ QUERIES = {
             knn_from_index_exact, closest_pairs_exact, bucket_sizes_by_prefix, bucket_runs, lsh_pairs_full_hash, lsh_pairs_prefix,
             lsh_pairs_incremental, pair_lcp, lsh_pairs_filtered, failure_probability_table, confirmed_split, bound_weight, epsilon_accept,
             find_tree_simhash, find_tree_e2lsh, find_epsilon_tree_simhash, tree_connected, local_msf_by_rep, merge_msf, knn_lsh,
-            knn_lsh_sketch_filter, knn_lsh_sketch_derived, closest_pairs_lsh, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
+            knn_lsh_sketch_derived, closest_pairs_lsh, closest_pairs_glove_exact, find_tree_parts, find_epsilon_tree_parts, find_tree_parts_pruned, find_tree_parts_levels, exact_mst_parts, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
             distance_histogram, tree_median_edge, tree_log_weights, incremental_append_tree, index_save_load_roundtrip,
-            collision_log_roundtrip, collision_log_roundtrip_whole, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
+            collision_log_roundtrip, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
             jaccard_mst_documents, minhash_codes_documents,
         )
     },

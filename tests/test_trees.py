@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from graftline.functions.families import E2LSH, CrossPolytope, SimHash, codes
 from graftline.functions.vectors import METRICS, metric, prepare
 from graftline.operators import candidates as cand
+from graftline.operators.buckets import bucket_closest, hashed, placed
 from graftline.operators import knn, tree
 from graftline.operators.msf import canonical, component_labels, distributed_forest, forest, msf
 from graftline.operators.pairs import all_pairs, closest_pairs, exact_neighbours, exact_tree
@@ -109,6 +110,8 @@ def test_finders_on_clusters(spark, family):
     near = tree.find_epsilon_tree(points, family, epsilon=0.5)
     assert near.edges.agg(F.sum("w")).first()[0] <= 1.5 * least + 1e-9 and near.edges.count() == len(x) - 1
     assert found.metrics().count() == len(found.levels) and found.levels[-1]["accepted"]
+    last = found.levels[-1]
+    assert found.path == last["path"] and found.described().first().prefix == found.prefix
     row = tree.is_connected(found.edges, points).first()
     assert row.connected and row.n_edges == len(x) - 1
 
@@ -146,7 +149,9 @@ def test_neighbours_and_closest_pairs(spark):
     assert {(r.query_id, r.id) for r in knn.knn(asked, points, E2LSH(16, 8, 4, width=4.0), 5).collect()} == want
     pairs = sorted((d[i, j], i, j) for i in range(150) for j in range(i + 1, 150))[:10]
     assert ends(closest_pairs(points, "euclidean", 10, tile_rows=40)) == {(i, j) for _, i, j in pairs}
-    assert len(ends(knn.closest_pairs(points, E2LSH(16, 16, 4, width=4.0), 10)) & {(i, j) for _, i, j in pairs}) >= 8
+    found, figures = knn.closest_pairs(points, E2LSH(16, 16, 4, width=4.0), 10)
+    assert figures["path"] == "lsh" and figures["prefix"] > 0
+    assert len(ends(found) & {(i, j) for _, i, j in pairs}) >= 9
 
 
 def test_filter_modes(spark):
@@ -167,6 +172,54 @@ def test_derived_sketch_limit_keeps_the_neighbours(spark, sf):
         knn.knn(frame(spark, clustered(150)), frame(spark, clustered(150)), E2LSH(16, 4, 4, width=4.0), 5, filter_type="simple", miss=0.01)
 
 
+def plane(n=600, seed=3):
+    return (np.random.default_rng(seed).random((n, 2)) * 100).astype(np.float32)
+
+
+@pytest.mark.parametrize("tile_rows", [40, 2048])
+@pytest.mark.parametrize("prune", [False, True])
+def test_the_rule_accepts_before_all_pairs_are_compared(spark, monkeypatch, tile_rows, prune):
+    monkeypatch.setattr("graftline.operators.buckets.TILE_ROWS", tile_rows)
+    x = plane()
+    found = tree.find_tree(frame(spark, x), E2LSH(2, 16, 12, width=60.0), prune_connected=prune)
+    assert found.path == "lsh" and found.prefix > 0 and found.levels[-1]["n_confirmed"] == len(x) - 1
+    assert ends(found.edges) == kruskal(x, "euclidean")
+    near = tree.find_epsilon_tree(frame(spark, x), E2LSH(2, 16, 12, width=60.0), epsilon=0.1)
+    assert near.path == "lsh" and near.prefix >= found.prefix
+
+
+def test_the_sweep_starts_where_the_buckets_connect(spark):
+    x, family = plane(200), E2LSH(2, 4, 8, width=40.0)
+    table = hashed(frame(spark, x), family)
+    start = tree.connecting_prefix(table, family.depth, len(x))
+
+    def parts(prefix):
+        labels = component_labels(cand.prefix_pairs(table, prefix), frame(spark, x).select("vec_id"))
+        return labels.select("comp").distinct().count()
+
+    assert parts(start) == 1 and (start == family.depth or parts(start + 1) > 1)
+
+
+def test_a_bucket_with_half_of_the_rows_is_spread(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 8)), 1000, axis=0) + 1e-3 * rng.standard_normal((1000, 8)), rng.standard_normal((1000, 8))]).astype(np.float32)
+    table = hashed(frame(spark, x), SimHash(8, 2, 16))
+    rows = placed(table, 16, False, 100).groupBy("bucket", "lo", "hi").count().collect()
+    assert max(r["count"] for r in rows) <= 300  # two tiles of about 100
+    pairs = cand.met(codes(frame(spark, x), SimHash(8, 1, 16)), 16, hot=100)
+    plain = cand.met(codes(frame(spark, x), SimHash(8, 1, 16)), 16, hot=10**9)
+    assert pairs.select("i", "j").exceptAll(plain.select("i", "j")).isEmpty() and pairs.count() == plain.count() > 400_000
+    closest = bucket_closest(table, 16, "cosine", 50, 9, tile_rows=100).collect()
+    assert [tuple(r) for r in closest] == [tuple(r) for r in bucket_closest(table, 16, "cosine", 50, 9).collect()] and len(closest) == 50
+
+
+def test_random_path_visits_every_point_once(spark):
+    edges = cand.random_path(spark.range(101).withColumnRenamed("id", "vec_id")).collect()
+    ends_ = [v for r in edges for v in (r.i, r.j)]
+    assert len(edges) == 100 and sorted(np.bincount(ends_).tolist())[:3] == [1, 1, 2] and max(np.bincount(ends_)) == 2
+    assert cand.random_path(spark.range(1).withColumnRenamed("id", "vec_id")).count() == 0
+
+
 def test_index_save_load_extend(spark, tmp_path):
     points, family = frame(spark, clustered(40)), SimHash(16, 3, 4)
     whole = Index(points, family)
@@ -205,7 +258,7 @@ def test_the_whole_log_survives_a_round_trip(spark, sf, tmp_path):
         return Counter(map(repr, df.select("i", "j", "edge1", "edge2", "distance").collect()))
 
     log = table(spark, sf, "glove_sampl")
-    assert lines(core.QUERIES["collision_log_roundtrip_whole"](spark, sf)) == lines(log)
+    assert lines(core.QUERIES["collision_log_roundtrip"](spark, sf)) == lines(log)
     odd = spark.createDataFrame([(None,) * 5, (1, None, 2, 3, float("nan")), (1, 0, 2, 3, float("inf")), (1, 0, 2, 3, float("-inf")), (1, 0, None, 3, -0.0), (1, 0, 2, 3, 1e-300)], logs.COLLISIONS)
     logs.write_collisions(odd, str(tmp_path / "odd"))
     assert lines(logs.read_collisions(spark, str(tmp_path / "odd"))) == lines(odd)
