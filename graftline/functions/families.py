@@ -82,14 +82,24 @@ class E2LSH(Family):
 
 @dataclass(frozen=True)
 class CrossPolytope(Family):
-    """Nearest signed axis after a random rotation of ``axes`` dimensions; for angles.
+    """Nearest signed axis after a random rotation of ``axes`` dimensions; for angles. ``weights`` says whether
+    distances are cosine or angular.
 
     A symbol is 2 * axis, plus 1 if the coordinate is negative; ties go to the lower axis. The collision
     probability has no closed form and is estimated by a seeded simulation.
     """
 
     axes: int = 8
-    metric = "cosine"
+    weights: str = "cosine"
+
+    def __post_init__(self):
+        super().__post_init__()
+        if self.weights not in ("cosine", "angular"):
+            raise ValueError("weights must be cosine or angular")
+
+    @property
+    def metric(self) -> str:
+        return self.weights
 
     @cached_property
     def rotations(self) -> np.ndarray:
@@ -115,6 +125,8 @@ class CrossPolytope(Family):
         return out
 
     def collision(self, distance: Column) -> Column:
+        if self.weights == "angular":
+            distance = F.lit(1.0) - F.cos(distance)
         out = F.lit(self.curve[-1][1])
         for (d0, p0), (d1, p1) in reversed(list(zip(self.curve, self.curve[1:], strict=False))):
             out = F.when(distance <= d1, F.lit(p0) + (distance - F.lit(d0)) * F.lit((p1 - p0) / (d1 - d0))).otherwise(out)

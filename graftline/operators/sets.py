@@ -7,22 +7,42 @@ the first ``n - ceil(t * n) + 1`` tokens, so only those are joined on, and sizes
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftline.functions.families import minhash_codes
+from graftline.functions.probability import failure, minhash_collision
+from graftline.operators.candidates import prefix_pairs
 from graftline.session import materialize
 
 
+# Fixed value: white space of Unicode, as a character class of any regular expression engine
+BLANKS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+HOT = 4096  # sets with a token in their prefixes; more are cut so that no task gets all their pairs
+
+
+def words_of(text: Column | str) -> Column:
+    """The words of a text, between runs of white space; none of a null, empty or blank text."""
+    return F.filter(F.coalesce(F.split(text, BLANKS), F.array().cast("array<string>")), lambda w: w != "")
+
+
+def word_set(text: Column | str) -> Column:
+    """The distinct words of a text, sorted."""
+    return F.array_sort(F.array_distinct(words_of(text)))
+
+
 def shingles(text: Column | str, words: int = 5) -> Column:
-    """Distinct runs of ``words`` words (split at single blanks), sorted; a shorter text is one run, an empty or null one none."""
+    """Distinct runs of ``words`` words, sorted; a shorter text is one run, a text without words has none."""
 
     def runs(parts: Column) -> Column:
         count = F.greatest(F.size(parts) - words + 1, F.lit(1))
-        return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(parts, k, words), " "))))
+        some = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(parts, k, words), " "))))
+        return F.when(F.size(parts) > 0, some).otherwise(F.array().cast("array<string>"))
 
     # the lambda variable binds the words, so that the text is split once and not for every run
-    bound = F.element_at(F.transform(F.array(F.split(text, " ")), runs), 1)
-    return F.when(F.length(text) > 0, bound).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(words_of(text)), runs), 1)
 
 
 def classes(sets: DataFrame, set_id: str = "doc_id", tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
@@ -50,15 +70,52 @@ def similar(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
     reps = materialize(reps, "sets")
     first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     head = materialize(_ranked(reps).filter(F.col("place") <= first).select("id", "token", "n"), "prefixes")
-    a, b = head.alias("a"), head.alias("b")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    pairs = a.join(b, near).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    # one side of a frequent token is cut and the other copied to the cuts
+    often = head.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT)
+    sized = head.join(often, "token", "left").withColumn("cuts", F.coalesce(F.ceil(F.col("c") / HOT).cast("int"), F.lit(1)))
+    a = sized.select("token", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), F.col("id").alias("i"), F.col("n").alias("ni"))
+    b = sized.select("token", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.col("id").alias("j"), F.col("n").alias("nj"))
+    near = (F.col("i") < F.col("j")) & (F.col("ni") >= F.col("nj") * threshold - 1e-9) & (F.col("nj") >= F.col("ni") * threshold - 1e-9)
+    pairs = a.join(b, ["token", "cut"]).filter(near).select("i", "j").distinct()
+    return _verified(pairs, reps, threshold)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(reps.select(F.col("id").alias("i"), F.col("tokens").alias("x")), "i").join(reps.select(F.col("id").alias("j"), F.col("tokens").alias("y")), "j")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
     return both.withColumn("_s", shared).withColumn("_u", union).filter(F.col("_s") >= threshold * F.col("_u") - 1e-9).select("i", "j", (F.lit(1.0) - F.col("_s") / F.col("_u")).alias("w"))
 
 
+@dataclass(frozen=True)
+class MinHash:
+    """``repetitions`` tables of ``depth`` least seeded hashes, for the Jaccard distance of token sets."""
+
+    repetitions: int
+    depth: int
+    seed: int = 42
+    metric = "jaccard"
+
+    def codes(self, sets: DataFrame, set_id: str = "id", tokens: str = "tokens") -> DataFrame:
+        """``vec_id, rep, code`` of the sets that aren't empty."""
+        return minhash_codes(sets, self.repetitions, self.depth, self.seed, set_id, tokens).withColumnRenamed(set_id, "vec_id")
+
+    def collision(self, distance: Column) -> Column:
+        return minhash_collision(distance)
+
+    def failure(self, distance: Column, prefix: Column | int, seen: Column | int | None = None) -> Column:
+        return failure(self.collision(distance), prefix, self.repetitions if seen is None else seen, self.repetitions, self.depth)
+
+
+def bucket_similar(reps: DataFrame, family: MinHash, threshold: float, prefix: int | None = None) -> DataFrame:
+    """``i, j, w, fail``: pairs of sets with Jaccard similarity of at least ``threshold`` that share a bucket at ``prefix``, by
+    default the whole code, and the chance that a pair so similar is missed."""
+    prefix = family.depth if prefix is None else prefix
+    reps = materialize(reps, "sets")
+    near = _verified(prefix_pairs(materialize(family.codes(reps), "codes"), prefix), reps, threshold)
+    return near.withColumn("fail", family.failure(F.col("w"), prefix))
+
+
 def set_neighbours(queries: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, id, dist``: the ``k`` nearest distinct sets that share a token with each query, by (dist, id).
 

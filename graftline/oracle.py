@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash
-from graftline.queries import CLOSEST, CROSS, DELTA, DIM, E2, E2_TREE, GLOVE, LSH_PREFIX, PARTS, SIM, SIM_TREE
+from graftline.operators.sets import BLANKS
+from graftline.queries import ALIKE, CLOSEST, CROSS, DELTA, DIM, E2, E2_TREE, GLOVE, LSH_PREFIX, PARTS, SIM, SIM_TREE, WORDS
 
 USABLE = "edge1 is not null and edge2 is not null and edge1 <> edge2 and distance >= 0 and distance <= 2"
 
@@ -156,16 +157,28 @@ def knn_lsh_sql(k: int) -> str:
 
 BY_TABLE = f"met as (select a.rep, array_to_string(a.code[1:{LSH_PREFIX}], ',') as key, a.vec_id i, b.vec_id j {prefix_join(LSH_PREFIX)}), bt as (select met.*, {DISTANCE['cosine']} w from met join embeddings a on a.vec_id = met.i join embeddings b on b.vec_id = met.j)"
 
-SETS = """
-    docs as (select doc_id, case when text is null or length(text) = 0 then []::varchar[] else list_distinct(list_transform(
-        range(1, greatest(len(string_split(text, ' ')) - 4, 1) + 1), lambda k: array_to_string(string_split(text, ' ')[k:k + 4], ' '))) end tokens from documents),
+def sets_sql(tokens: str) -> str:
+    """Token sets of the documents from the list ``w`` of their words, the classes of equal ones and their representatives."""
+    return f"""
+    words as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '{BLANKS}'), lambda x: x <> '') w from documents),
+    docs as (select doc_id, case when len(w) = 0 then []::varchar[] else list_distinct({tokens}) end tokens from words),
     sets as materialized (select doc_id, list_sort(tokens) tokens from docs where len(tokens) > 0),
     members as materialized (select doc_id, min(doc_id) over (partition by tokens) rep from sets),
     flat as materialized (select doc_id, unnest(tokens) t, len(tokens) n from sets),
     reps as materialized (select flat.* from flat join members m on flat.doc_id = m.doc_id and m.rep = m.doc_id)"""
-SIMILAR = """
+
+
+SETS = sets_sql("list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))")
+WORD_SETS = sets_sql("w")
+
+
+def similar_sql(threshold: float) -> str:
+    return f"""
     shared as (select a.doc_id i, b.doc_id j, a.n na, b.n nb, count(*) s from reps a join reps b on a.t = b.t and a.doc_id < b.doc_id group by all),
-    near as materialized (select i, j, 1 - s::double / (na + nb - s) w from shared where s >= 0.8 * (na + nb - s) - 1e-9)"""
+    near as materialized (select i, j, 1 - s::double / (na + nb - s) w from shared where s >= {threshold} * (na + nb - s) - 1e-9)"""
+
+
+SIMILAR = similar_sql(0.8)
 
 
 def minhash_sql(repetitions: int, depth: int, seed: int = 42) -> str:
@@ -312,4 +325,12 @@ SQL |= {
         select query_id, rank, id, round(dist, 6) dist from n where rank <= 5""",
     "jaccard_mst_documents": f"with {SETS}, {SIMILAR}, {boruvka('select * from near', 'select doc_id v from members', 12)} {EDGES}",
     "minhash_codes_documents": minhash_sql(2, 2),
+    "jaccard_pairs_words": f"with {WORD_SETS}, {similar_sql(ALIKE)} select i, j, round(w, 6) w from near",
+    "jaccard_mst_words": f"with {WORD_SETS}, {similar_sql(ALIKE)}, {boruvka('select * from near', 'select doc_id v from members', 12)} {EDGES}",
+    "minhash_pairs_words": f"""
+        with {WORD_SETS}, {similar_sql(ALIKE)}, h as (select doc_id, r.rep, k.k, min(('0x' || substr(md5('{WORDS.seed}|' || (r.rep * {WORDS.depth} + k.k) || '|' || t), 1, 15))::bigint) s
+            from reps, range(0, {WORDS.repetitions}) r(rep), range(0, {WORDS.depth}) k(k) group by all),
+        c as materialized (select doc_id, rep, list(s order by k) code from h group by doc_id, rep),
+        m as (select distinct a.doc_id i, b.doc_id j from c a join c b on a.rep = b.rep and a.code = b.code and a.doc_id < b.doc_id)
+        select i, j, round(w, 6) w, round({fail_sql('(1 - w)', str(WORDS.depth), str(WORDS.repetitions), WORDS.repetitions, WORDS.depth)}, 6) fail from near join m using (i, j)""",
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame
 
 from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash
+from graftline.operators import knn, tree
+from graftline.operators.tree import TreeResult
 
 FAMILIES = {"euclidean": E2LSH, "cosine": SimHash, "angular": CrossPolytope}
 
@@ -32,7 +36,29 @@ class Settings:
 
     def family(self, dim: int) -> Family:
         """The metric's family of hash functions."""
-        return FAMILIES[self.metric](dim, self.repetitions, self.depth, self.seed)
+        kind = FAMILIES[self.metric]
+        family = kind(dim, self.repetitions, self.depth, self.seed)
+        return replace(family, weights="angular") if self.metric == "angular" else family
+
+
+def find_tree(points: DataFrame, dim: int, settings: Settings) -> TreeResult:
+    """Spanning tree of points under the settings, right with high probability."""
+    return tree.find_tree(points, settings.family(dim), settings.delta, settings.per_edge)
+
+
+def find_epsilon_tree(points: DataFrame, dim: int, settings: Settings) -> TreeResult:
+    """Spanning tree at most ``1 + epsilon`` times as heavy as the least."""
+    return tree.find_epsilon_tree(points, settings.family(dim), settings.epsilon, settings.delta, settings.per_edge)
+
+
+def neighbours(queries: DataFrame, points: DataFrame, dim: int, settings: Settings) -> DataFrame:
+    """Neighbours of the queries; ``1 - recall`` is the chance of a miss that ends the search."""
+    return knn.knn(queries, points, settings.family(dim), settings.k, 1 - settings.recall, settings.filter_type)
+
+
+def closest_pairs(points: DataFrame, dim: int, settings: Settings) -> DataFrame:
+    """The ``k`` closest pairs at the wanted recall."""
+    return knn.closest_pairs(points, settings.family(dim), settings.k, settings.recall)[0]
 
 
 def repetitions_within(memory_limit: int, n: int, dim: int, depth: int) -> int:
@@ -43,8 +69,3 @@ def repetitions_within(memory_limit: int, n: int, dim: int, depth: int) -> int:
     if tables < 1:
         raise ValueError("insufficient memory")
     return int(tables)
-
-
-def exact_is_cheaper(loads: list[int], n: int, switch: float = 0.5) -> list[bool]:
-    """For every prefix, whether its buckets hold so many pairs that comparing all points costs less."""
-    return [pairs >= switch * (n * (n - 1) // 2) for pairs in loads]

@@ -392,6 +392,30 @@ def jaccard_mst_documents(spark, sf_dir):
     return rounded(msf(sets.similar(reps)))
 
 
+WORDS = sets.MinHash(24, 3)
+ALIKE = 0.5  # of word sets, where texts that differ in some words are alike
+
+
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of each set of words, by its smallest document."""
+    return sets.classes(table(spark, sf_dir, "documents").select("doc_id", sets.word_set("text").alias("tokens")))[0]
+
+
+def jaccard_pairs_words(spark, sf_dir):
+    """Pairs of distinct word sets with similarity 0.5 or more."""
+    return rounded(sets.similar(document_words(spark, sf_dir), ALIKE))
+
+
+def jaccard_mst_words(spark, sf_dir):
+    """Spanning forest of these pairs."""
+    return rounded(msf(sets.similar(document_words(spark, sf_dir), ALIKE)))
+
+
+def minhash_pairs_words(spark, sf_dir):
+    """Those of these pairs that share a MinHash bucket, with the chance of missing one so similar."""
+    return rounded(sets.bucket_similar(document_words(spark, sf_dir), WORDS, ALIKE), "w", "fail")
+
+
 def minhash_codes_documents(spark, sf_dir):
     found = minhash_codes(document_sets(spark, sf_dir), 2, 2)
     return found.select("doc_id", "rep", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
@@ -420,7 +444,7 @@ QUERIES = {
             knn_lsh_sketch_derived, closest_pairs_lsh, closest_pairs_glove_exact, find_tree_parts, find_epsilon_tree_parts, find_tree_parts_pruned, find_tree_parts_levels, exact_mst_parts, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
             distance_histogram, tree_median_edge, tree_log_weights, incremental_append_tree, index_save_load_roundtrip,
             collision_log_roundtrip, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
-            jaccard_mst_documents, minhash_codes_documents,
+            jaccard_mst_documents, minhash_codes_documents, jaccard_pairs_words, jaccard_mst_words, minhash_pairs_words,
         )
     },
 }

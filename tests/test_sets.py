@@ -31,9 +31,9 @@ def test_join_is_exact(spark):
 
 
 def test_shingles(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "a b c d e f"), (5, "x x x x x x"), (6, " ")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "a b c d e f"), (5, "x x x x x x"), (6, " "), (7, "a\u00a0 b\n\nc\td e ")], "doc_id long, text string")
     got = {x.doc_id: x.tokens for x in df.select("doc_id", sets.shingles("text").alias("tokens")).collect()}
-    assert got == {1: [], 2: [], 3: ["a b"], 4: ["a b c d e", "b c d e f"], 5: ["x x x x x"], 6: [" "]}
+    assert got == {1: [], 2: [], 3: ["a b"], 4: ["a b c d e", "b c d e f"], 5: ["x x x x x"], 6: [], 7: ["a b c d e"]}
     with pytest.raises(ValueError):
         sets.similar(df, 0)
 
@@ -44,3 +44,17 @@ def test_diagnostics(spark):
     assert got == {1: (2.0, pytest.approx(2 / 3)), 2: (1.0, 1.0), 3: (None, None)}
     values = spark.createDataFrame([(0.0,), (-0.0,), (1.0,), (2.0,), (None,), (float("nan"),), (9.0,)], "v double")
     assert {x.bin: x.n for x in histogram(values, "v", 0.0, 2.0, 2).collect()} == {1: 2, 2: 2}
+
+
+def test_minhash_buckets_find_similar_sets(spark, monkeypatch):
+    monkeypatch.setattr(sets, "HOT", 20)  # frequent tokens are cut
+    r = random.Random(2)
+    base = [[str(r.randrange(500)) for _ in range(40)] for _ in range(20)]
+    data = [(n, sorted(set(r.choice(base)[:36]) | {str(r.randrange(500)) for _ in range(4)} | {"common"})) for n in range(200)]
+    reps = spark.createDataFrame(data, "id long, tokens array<string>")
+    want = {(i, j) for i, a in data for j, b in data if i < j and jaccard(set(a), set(b)) >= 0.7}
+    assert {(x.i, x.j) for x in sets.similar(reps, 0.7).collect()} == want
+    found = sets.bucket_similar(reps, sets.MinHash(40, 3), 0.7).collect()
+    assert {(x.i, x.j) for x in found} <= want and len(found) >= 0.95 * len(want)
+    assert all(0 <= x.fail < 0.05 for x in found)
+    assert sets.bucket_similar(reps.limit(0), sets.MinHash(2, 2), 0.7).count() == 0

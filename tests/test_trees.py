@@ -280,7 +280,7 @@ def test_appending_gives_the_tree_of_all(spark, tmp_path):
 
 
 def test_settings_and_memory():
-    assert isinstance(Settings("cosine").family(8), SimHash)
+    assert isinstance(Settings("cosine").family(8), SimHash) and Settings("angular").family(8).metric == "angular"
     for bad in ({"metric": "dot"}, {"delta": 0}, {"recall": 2}, {"k": 0}):
         with pytest.raises(ValueError):
             Settings(**bad)
@@ -289,6 +289,23 @@ def test_settings_and_memory():
         repetitions_within(1000, 1000, 64, 8)
 
 
+def test_settings_drive_the_operators(spark):
+    from graftline.plans import config
+
+    x = clustered(120)
+    points = frame(spark, x)
+    for name in ("angular", "cosine"):
+        found = config.find_tree(points, 16, Settings(name, 12, 6))
+        assert ends(found.edges) == kruskal(x, name)
+        m = metric(name)
+        u = prepare(x, m)
+        edge = found.edges.first()
+        assert edge.w == pytest.approx(m.rows(u[edge.i], u[edge.j : edge.j + 1])[0])
+    assert config.find_epsilon_tree(points, 16, Settings("cosine", 12, 6)).edges.count() == 119
+    assert config.neighbours(points.filter("vec_id < 3"), points, 16, Settings("cosine", 12, 6, k=4)).count() == 12
+    assert config.closest_pairs(points, 16, Settings("cosine", 12, 6, k=7)).count() == 7
+
+
 def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         SimHash(0, 1, 1)
