@@ -27,7 +27,7 @@ ROWS_PER_CELL = 256
 MAX_CENTROIDS = 1024  # of a half; fuller cells are cut into shards
 SAMPLE_ROWS = 20_000  # fitted on; at least 50 for each centroid
 ROUNDS = 8
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 65_536
 MAX_TASKS = 20_000
 _SHARDS = 1 << 13
 KINDS = {8: np.int8, 16: np.int16, 32: np.float32}

@@ -24,7 +24,7 @@ from graftline.llm import imi
 from graftline.session import materialize, parallelism
 
 PROBES = 16
-MARGIN = 0.08  # a search within a small radius needs no cell whose wall is farther
+MARGIN = 0.07  # a search within a small radius needs no cell whose wall is farther
 SMALL_RADIUS = 0.3
 SHARE = 0.2  # of the cells, visited by a search at any distance
 PRODUCT = 4_000_000  # elements of a matrix product at a time
