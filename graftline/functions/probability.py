@@ -35,6 +35,13 @@ def e2lsh_collision(distance: Column, width: float) -> Column:
     return F.when(distance <= 0, F.lit(1.0)).otherwise(inside - tail)
 
 
+def binomial(n: Column | int, k: Column | int) -> Column:
+    """Number of ways to choose ``k`` of ``n``; 0 if ``k`` isn't from 0 to ``n``. Exact up to n = 20."""
+    n, k = (v.cast("int") if isinstance(v, Column) else F.lit(v) for v in (n, k))
+    ways = F.factorial(n) / (F.factorial(k) * F.factorial(n - k))
+    return F.when((k >= 0) & (k <= n), F.round(ways)).otherwise(F.lit(0)).cast("long")
+
+
 def minhash_collision(jaccard_distance: Column) -> Column:
     return F.lit(1.0) - jaccard_distance
 

@@ -316,6 +316,13 @@ SQL |= {
         select run_id, count(*)::bigint n_edges, round(sum(1 - list_cosine_similarity(a.x, b.x)), 4) weight from e join v a on a.row_id = e.i join v b on b.row_id = e.j group by run_id""",
     "incremental_append_tree": mst("euclidean"),
     "collision_log_roundtrip": "select i, j, edge1, edge2, distance from glove_sampl",
+    "recall_log_roundtrip": "select name, rep, recall, w0, w1, w2 from recall_results",
+    "tree_log_roundtrip": f"with {boruvka(pairs_sql('euclidean'), ALL)} select i, j from tree",
+    "index_lookup": f"select c.vec_id, c.rep, array_to_string(c.code, ',') code, len(e.embedding)::integer dim, round(sqrt(list_inner_product(e.embedding::double[], e.embedding::double[])), 6) norm from ({codes_sql(SIM)}) c join embeddings e using (vec_id) where c.vec_id = 7 and c.rep = 1",
+    "index_description": f"select count(*)::bigint points, {SIM.repetitions} repetitions, {SIM.depth} depth, '{SIM.describe()}' family, true same from embeddings",
+    "stream_append_tree": mst("euclidean"),
+    "hdf5_roundtrip": "select vec_id row_id, len(embedding)::integer dim, round(list_sum(embedding::double[]), 6) total from embeddings",
+    "binomial_table": "select n.n::bigint n, k.k::bigint k, case when k.k <= n.n then (factorial(n.n::integer) / factorial(k.k::integer) / factorial((n.n - k.k)::integer))::bigint else 0 end ways from range(0, 13) n(n), range(0, 13) k(k)",
     "memory_plan": "select l.l::bigint memory_limit, n::bigint n, ((l.l - 4 * n * 64) // (12 * n + 4 * 8 * 64))::bigint repetitions from (values (2000000), (8000000), (900000000)) l(l), (select count(*) n from embeddings)",
     "jaccard_pairs_documents": f"with {SETS}, {SIMILAR} select i, j, round(w, 6) w from near",
     "jaccard_classes_documents": f"with {SETS} select doc_id, rep from members",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions import vectors
 from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash, codes, minhash_codes
+from graftline.functions.probability import binomial
 from graftline.operators import candidates as cand
 from graftline.operators import diagnostics, knn, pairs, sets, tree
 from graftline.operators.msf import component_labels, msf
@@ -16,8 +17,9 @@ from graftline.operators.skew import per_key, plan_per_key, skew_join
 from graftline.plans.config import repetitions_within
 from graftline.session import materialize, scratch_path, table
 from graftline.sources import logs
+from graftline.sources.hdf5 import HDF5Source, write_hdf5
 from graftline.sources.index_store import Index
-from graftline.streaming.incremental import append_points
+from graftline.streaming.incremental import TreeStream, append_points
 
 
 def usable_distance() -> Column:
@@ -357,6 +359,65 @@ def collision_log_roundtrip(spark, sf_dir):
     return logs.read_collisions(spark, path)
 
 
+def recall_log_roundtrip(spark, sf_dir):
+    """All recall results through the text log."""
+    path = scratch_path(spark, "recalls")
+    logs.write_recalls(table(spark, sf_dir, "recall_results"), path)
+    return logs.read_recalls(spark, path)
+
+
+def tree_log_roundtrip(spark, sf_dir):
+    """The edges of the exact tree through the text log."""
+    path = scratch_path(spark, "tree")
+    logs.write_tree(pairs.exact_tree(points(spark, sf_dir), "euclidean"), path)
+    return logs.read_tree(spark, path)
+
+
+def _saved_index(spark: SparkSession, sf_dir: str) -> tuple[Index, Index]:
+    index, path = Index(points(spark, sf_dir), SIM), scratch_path(spark, "index")
+    index.save(path)
+    return index, Index.load_or_build(points(spark, sf_dir), SIM, path)
+
+
+def index_lookup(spark, sf_dir):
+    """The vector of one id and its code in one table, from a saved index."""
+    _, index = _saved_index(spark, sf_dir)
+    code = index.code_of(7, 1).select("vec_id", "rep", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
+    return code.join(index.get(7), "vec_id").select("vec_id", "rep", "code", F.size("embedding").alias("dim"), F.round(vectors.norm("embedding"), 6).alias("norm"))
+
+
+def index_description(spark, sf_dir):
+    """What a saved index says about itself, and whether it equals the one it was saved from."""
+    built, index = _saved_index(spark, sf_dir)
+    about = index.describe()
+    return spark.createDataFrame([(about["points"], about["repetitions"], about["depth"], about["family"], index.equals(built))], "points long, repetitions int, depth int, family string, same boolean")
+
+
+def stream_append_tree(spark, sf_dir):
+    """The tree after points have arrived in micro-batches, a file each."""
+    arriving = scratch_path(spark, "arriving")
+    points(spark, sf_dir).select("vec_id", "embedding").repartition(4, "vec_id").write.parquet(arriving)
+    stream = spark.readStream.schema("vec_id long, embedding array<float>").option("maxFilesPerTrigger", 1).parquet(arriving)
+    state = TreeStream(spark)
+    state.start(stream, availableNow=True).awaitTermination()
+    return rounded(state.tree)
+
+
+def hdf5_roundtrip(spark, sf_dir):
+    """Vectors through HDF5 files; ids are positions in the order of the points."""
+    path = scratch_path(spark, "hdf5")
+    write_hdf5(points(spark, sf_dir), "vec_id", "embedding", path)
+    spark.dataSource.register(HDF5Source)
+    stored = spark.read.format("hdf5").option("dataset", "train").load(path)
+    total = F.aggregate("train", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return stored.select("row_id", F.size("train").alias("dim"), F.round(total, 6).alias("total"))
+
+
+def binomial_table(spark, sf_dir):
+    grid = spark.range(0, 13).select(F.col("id").alias("n")).crossJoin(spark.range(0, 13).select(F.col("id").alias("k")))
+    return grid.select("n", "k", binomial(F.col("n"), F.col("k")).alias("ways"))
+
+
 def memory_plan(spark, sf_dir):
     n = points(spark, sf_dir).count()
     rows = [(limit, n, repetitions_within(limit, n, DIM, 8)) for limit in (2_000_000, 8_000_000, 900_000_000)]
@@ -443,7 +504,7 @@ QUERIES = {
             find_tree_simhash, find_tree_e2lsh, find_epsilon_tree_simhash, tree_connected, local_msf_by_rep, merge_msf, knn_lsh,
             knn_lsh_sketch_derived, closest_pairs_lsh, closest_pairs_glove_exact, find_tree_parts, find_epsilon_tree_parts, find_tree_parts_pruned, find_tree_parts_levels, exact_mst_parts, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
             distance_histogram, tree_median_edge, tree_log_weights, incremental_append_tree, index_save_load_roundtrip,
-            collision_log_roundtrip, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
+            collision_log_roundtrip, recall_log_roundtrip, tree_log_roundtrip, index_lookup, index_description, stream_append_tree, hdf5_roundtrip, binomial_table, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
             jaccard_mst_documents, minhash_codes_documents, jaccard_pairs_words, jaccard_mst_words, minhash_pairs_words,
         )
     },

@@ -271,12 +271,25 @@ def test_appending_gives_the_tree_of_all(spark, tmp_path):
     assert ends(append_points(exact_tree(old, "euclidean"), old, new, "euclidean")) == kruskal(x, "euclidean")
     for n, part in enumerate((old, new, new)):
         part.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
-    stream = spark.readStream.schema(POINT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    state = TreeStream(spark)
-    query = state.start(stream)
-    query.processAllAvailable()
-    query.stop()
+    where = str(tmp_path / "state")
+
+    def follow():
+        state = TreeStream(spark, where=where)
+        stream = spark.readStream.schema(POINT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        query = state.start(stream, availableNow=True)
+        query.awaitTermination()
+        return state
+
+    state = follow()
     assert ends(state.tree) == kruskal(x, "euclidean") and state.points.count() == 60
+    # after a restart the state goes on, a batch that comes again changes nothing and known points are left out
+    more = frame(spark, clustered(70)).filter("vec_id >= 60").unionByName(new.limit(3))
+    more.coalesce(1).write.parquet(str(tmp_path / "in" / "b9"))
+    state = follow()
+    assert state.points.count() == 70 and ends(state.tree) == kruskal(clustered(70), "euclidean")
+    before = state.batches
+    state.writer(points, before[-1])
+    assert state.batches == before and state.points.count() == 70
 
 
 def test_settings_and_memory():
