@@ -22,7 +22,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # The pattern that cuts text before byte-level merges, and the folder of the public vocabularies.
@@ -202,8 +203,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ByteBPE:
-    """One encoder per vocabulary and process."""
-    return ByteBPE(read_ranks(path))
+    """One encoder per vocabulary and process. In a worker the file is the one that ``send_vocabulary`` sent."""
+    sent = SparkFiles.get(os.path.basename(path)) if TaskContext.get() else path
+    return ByteBPE(read_ranks(sent if os.path.exists(sent) else path))
+
+
+def send_vocabulary(spark: SparkSession, path: str) -> None:
+    """Let Spark carry the driver's vocabulary file to the executors, once for each Spark context."""
+    context = spark.sparkContext
+    sent = getattr(context, "_graftline_vocabularies", set())
+    if path not in sent and os.path.exists(path):
+        context.addFile(path)
+        context._graftline_vocabularies = sent | {path}
 
 
 def encode_table(df: DataFrame, doc_id: str, text: str, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
@@ -213,6 +224,7 @@ def encode_table(df: DataFrame, doc_id: str, text: str, vocabulary: str = BYTE_B
     kept, a null id is passed on, other columns are ignored, an empty table gives no rows. Whole texts of
     any length are encoded, in linear time.
     """
+    send_vocabulary(df.sparkSession, vocabulary)
     schema = T.StructType([T.StructField(doc_id, df.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +241,7 @@ def encode_table(df: DataFrame, doc_id: str, text: str, vocabulary: str = BYTE_B
 
 def count_table(df: DataFrame, keep: list[str], text: str, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
     """Columns ``keep`` and ``n_tokens`` of every row; null and empty texts have 0 tokens."""
+    send_vocabulary(df.sparkSession, vocabulary)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

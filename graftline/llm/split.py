@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graftline.llm.bpe import BYTE_BPE_50K, ByteBPE, encoder
+from graftline.llm.bpe import BYTE_BPE_50K, ByteBPE, encoder, send_vocabulary
 
 # ranks of boundaries: the children of a node are separated by its highest one
 TOKEN, WORD, SENTENCE, LINE, ITEM, PARAGRAPH, HEADING = 1, 2, 4, 6, 8, 12, 14
@@ -150,6 +150,7 @@ def split_table(df: DataFrame, doc_id: str, text: str, limit: int = 512, overlap
     """
     if not 0 <= overlap < limit - 8:
         raise ValueError("the overlap must be well below the limit")
+    send_vocabulary(df.sparkSession, vocabulary)
     out = [T.StructField(doc_id, df.schema[doc_id].dataType)]
     out += [T.StructField(c, T.IntegerType(), False) for c in ("piece", "n_pieces", "start_char", "end_char", "n_tokens")]
     out += [T.StructField("cut", T.StringType(), False)] + [T.StructField("piece_text", T.StringType(), False)] * keep_text
