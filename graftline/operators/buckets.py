@@ -1,6 +1,6 @@
 """Work within hash buckets: spanning trees and closest pairs of the points that share a prefix in a table.
 
-A point goes to its bucket of every table with its vector, and the pairs of a bucket are compared there, so no
+A point goes to its bucket of every table with its vector, if others are there, and the pairs of a bucket are compared there, so no
 pair ever travels. Buckets above ``TILE_ROWS`` are cut into tiles whose pairs are tasks of their own. Buckets of
 a table are disjoint, and forests compose, so what leaves a bucket is its own tree or its own best pairs.
 
@@ -29,18 +29,18 @@ LIST = 1_000_000  # pairs listed at once
 
 
 def hashed(points: DataFrame, family: Family) -> DataFrame:
-    """``vec_id, rep, code, embedding``, written once for all prefixes."""
-    table = codes(points, family).join(points.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding")), "vec_id")
-    return materialize(table, "hashed")
+    """``vec_id, rep, code``, written once for all prefixes."""
+    return materialize(codes(points, family), "hashed")
 
 
-def placed(table: DataFrame, prefix: int, new: bool, tile_rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of buckets with at least two points, once for each task they belong to, sorted by task."""
+def placed(table: DataFrame, points: DataFrame, prefix: int, new: bool, tile_rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of buckets with at least two points, once for each task they belong to, sorted by task, with their vectors."""
     child = F.element_at("code", prefix + 1) if new else F.col("vec_id")
-    keyed = table.select("vec_id", "rep", F.xxhash64("rep", prefix_of("code", prefix)).alias("bucket"), child.alias("child"), *extra, "embedding")
+    keyed = table.select("vec_id", "rep", F.xxhash64("rep", prefix_of("code", prefix)).alias("bucket"), child.alias("child"), *extra)
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("_a"), F.max("child").alias("_b")).filter("n > 1 and _a <> _b").select("bucket", "n")
     tiles = F.ceil(F.col("n") / tile_rows).cast("int")
-    some = keyed.join(sizes, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+    vectors = points.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
+    some = keyed.join(sizes, "bucket").join(vectors, "vec_id").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
     spread = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rep", "vec_id", "child", *extra, "embedding")
     return spread.repartition(4 * parallelism(table.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "vec_id")
@@ -123,7 +123,7 @@ def _batch(i, j, w, bucket, rep) -> pa.RecordBatch:
 FOUND = "rep int, bucket long, i long, j long, w double"
 
 
-def bucket_trees(table: DataFrame, prefix: int, name: str, new: bool = False, comp: bool = False, tile_rows: int | None = None) -> DataFrame:
+def bucket_trees(table: DataFrame, points: DataFrame, prefix: int, name: str, new: bool = False, comp: bool = False, tile_rows: int | None = None) -> DataFrame:
     """``rep, bucket, i, j, w``: edges that contain the spanning forest of the pairs of every bucket. With ``comp``,
     pairs whose ``comp`` of ``table`` is the same are left out."""
     from graftline.operators.msf import forest
@@ -137,11 +137,11 @@ def bucket_trees(table: DataFrame, prefix: int, name: str, new: bool = False, co
         at = np.concatenate([r[forest(i[r], j[r], w[r])] for r in out])
         return i[at], j[at], w[at], bucket[at], rep[at]
 
-    rows = placed(table, prefix, new, tile_rows or TILE_ROWS, ("comp",) if comp else ())
+    rows = placed(table, points, prefix, new, tile_rows or TILE_ROWS, ("comp",) if comp else ())
     return rows.mapInArrow(_work(m, labels, keep, lambda ids, x, apart: dense_tree(ids, x, m, apart)), FOUND)
 
 
-def bucket_closest(table: DataFrame, prefix: int, name: str, k: int, digits: int | None, new: bool = False, tile_rows: int | None = None) -> DataFrame:
+def bucket_closest(table: DataFrame, points: DataFrame, prefix: int, name: str, k: int, digits: int | None, new: bool = False, tile_rows: int | None = None) -> DataFrame:
     """``i, j, w``: the ``k`` closest pairs by (w, i, j) of those that share a bucket; a pair may come from several tables."""
     m = metric(name)
 
@@ -175,7 +175,7 @@ def bucket_closest(table: DataFrame, prefix: int, name: str, k: int, digits: int
                     held = tuple(c[at] for c in both)
         return held
 
-    rows = placed(table, prefix, new, tile_rows or TILE_ROWS)
+    rows = placed(table, points, prefix, new, tile_rows or TILE_ROWS)
     found = rows.mapInArrow(_work(m, ("child",) if new else (), keep, whole), FOUND).select("i", "j", "w")
     # the same pair has the same distance in every table
     return found.distinct().orderBy("w", "i", "j").limit(k)

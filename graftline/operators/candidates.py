@@ -108,13 +108,10 @@ def bucket_runs(codes: DataFrame) -> DataFrame:
     return codes.withColumn("_c", changed).withColumn("bucket", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("rep", "vec_id", "bucket")
 
 
-def candidate_load(codes: DataFrame, depth: int) -> list[int]:
-    """Pairs in the buckets at each prefix 0..depth, over all tables, repeated ones counted each time."""
-    levels = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), prefix_of("code", p).alias("key")) for p in range(depth + 1)]))
-    sizes = codes.select("rep", levels.alias("l")).groupBy("rep", "l.p", "l.key").agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.groupBy("p").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).collect()
-    load = {r["p"]: r["pairs"] for r in rows}
-    return [int(load.get(p, 0)) for p in range(depth + 1)]
+def level_load(codes: DataFrame, prefix: int) -> int:
+    """Pairs in the buckets at a prefix, over all tables, repeated ones counted each time."""
+    sizes = codes.select(F.xxhash64("rep", prefix_of("code", prefix)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return int(sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0)
 
 
 def confirm(edges: DataFrame, family, prefix: int, delta: float, seen: int | None = None) -> DataFrame:

@@ -47,10 +47,10 @@ def _load(asked: DataFrame, table: DataFrame, depth: int) -> list[int]:
     """Candidates of all queries at each prefix, over all tables, repeated ones counted each time."""
 
     def sizes(rows: DataFrame, name: str) -> DataFrame:
-        levels = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), cand.prefix_of("code", p).alias("key")) for p in range(depth + 1)]))
-        return rows.select("rep", levels.alias("l")).groupBy("rep", "l.p", "l.key").agg(F.count(F.lit(1)).alias(name))
+        levels = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.xxhash64("rep", cand.prefix_of("code", p)).alias("key")) for p in range(depth + 1)]))
+        return rows.select(levels.alias("l")).groupBy("l.p", "l.key").agg(F.count(F.lit(1)).alias(name))
 
-    met = sizes(asked, "q").join(sizes(table, "n"), ["rep", "p", "key"]).groupBy("p").agg(F.sum(F.col("q") * F.col("n")).alias("c"))
+    met = sizes(asked, "q").join(sizes(table, "n"), ["p", "key"]).groupBy("p").agg(F.sum(F.col("q") * F.col("n")).alias("c"))
     found = {r["p"]: r["c"] for r in met.collect()}
     return [int(found.get(p, 0)) for p in range(depth + 1)]
 
@@ -147,15 +147,15 @@ def closest_pairs(points: DataFrame, family: Family, k: int, recall: float = 0.9
     if n < SMALL:
         return closest_pairs_exact(points, family.metric, k, digits=digits), exact
     table = hashed(points, family)
-    load = [*cand.candidate_load(table, family.depth), 0]
-    top = None
+    top, before = None, 0
     for prefix in range(family.depth, 0, -1):
-        if load[prefix] < min(k, every):
+        load = cand.level_load(table, prefix)
+        if load < min(k, every):
             continue
-        work = load[prefix] - (load[prefix + 1] if top is not None else 0)
+        work, before = load - before, load
         if switch is not None and work >= switch * every:
             break
-        edges = bucket_closest(table, prefix, family.metric, k, digits, top is not None)
+        edges = bucket_closest(table, points, prefix, family.metric, k, digits, top is not None)
         top = materialize((edges if top is None else edges.unionByName(top).distinct()).orderBy("w", "i", "j").limit(k), "top")
         row = top.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).select("n", family.failure(F.col("w"), prefix).alias("fail")).first()
         if row.n == k and row.fail <= 1 - recall:

@@ -1,7 +1,9 @@
 """All pairs of vectors in tiles, and what is taken from them: trees, closest pairs, exact neighbours.
 
-Points fall into tiles by a hash; a task holds two tiles and computes distances as matrix rows. Only the
-tasks' results leave them: a forest, the best pairs or the best neighbours, except where all pairs are asked.
+Points fall into tiles by a hash, as large as a task can well hold, or smaller where that gives too few tasks. A task
+holds two tiles and compares each with the other, or one with itself. Only the
+tasks' results leave them: a forest, the best pairs or the best neighbours, except where all pairs are asked. Where few of the distances are
+kept, blocks of matrix products find those that may be, and only these are computed exactly.
 """
 
 from __future__ import annotations
@@ -16,8 +18,27 @@ from pyspark.sql import functions as F
 
 from graftline.functions.vectors import Metric, metric, prepare
 from graftline.operators.msf import EDGE, msf
+from graftline.session import parallelism
 
-TILE_ROWS = 2048
+TILE_ROWS = 8192
+LEAST_ROWS = 256
+BLOCK = 512  # rows of one side of a matrix product
+
+
+def tiles_of(n: int, tasks: int, tile_rows: int | None = None) -> int:
+    """Tiles for ``n`` points: of ``TILE_ROWS`` at most, and enough for their pairs to occupy ``tasks``."""
+    if tile_rows:
+        return max(1, math.ceil(n / tile_rows))
+    return max(1, math.ceil(n / TILE_ROWS), min(math.ceil(n / LEAST_ROWS), math.ceil(math.sqrt(2 * tasks))))
+
+
+def scores(x: np.ndarray, y: np.ndarray, m: Metric) -> tuple[np.ndarray, float]:
+    """Numbers in the order of the distances between prepared rows, by a matrix product, and how far off they may be."""
+    product = x @ y.T
+    if m.unit:
+        return -product, 1e-12
+    a, b = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    return a[:, None] + b - 2 * product, 1e-12 * float(a.max(initial=0) + b.max(initial=0))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -31,11 +52,10 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def tiled(points: DataFrame, run: Callable[[int, int, pa.Table], pa.Table], schema: str, tile_rows: int = TILE_ROWS, by: str | None = None) -> DataFrame:
+def tiled(points: DataFrame, run: Callable[[int, int, pa.Table], pa.Table], schema: str, tile_rows: int | None = None, by: str | None = None) -> DataFrame:
     """Apply ``run(lo, hi, rows)`` to every pair of tiles lo <= hi of ``vec_id, embedding``; ``tile`` tells which
     tile a row is of. With ``by``, tiles are formed within each value of that column."""
-    n = points.count()
-    tiles = max(1, math.ceil(n / tile_rows))
+    tiles = tiles_of(points.count(), parallelism(points.sparkSession), tile_rows)
     tile = F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")
     cols = [F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding")] + ([F.col(by).alias("part")] if by else [F.lit(0).alias("part")])
     paired = points.select(*cols, tile.alias("tile")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
@@ -69,25 +89,39 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(w, pa.float64())], names=["i", "j", "w"])
 
 
-def all_pairs(points: DataFrame, name: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+def all_pairs(points: DataFrame, name: str, tile_rows: int | None = None) -> DataFrame:
     """``i, j, w`` of all pairs i < j."""
     m = metric(name)
     return tiled(points, lambda lo, hi, t: _edges(list(_pair_rows(lo, hi, t, m))), EDGE, tile_rows)
 
 
-def closest_pairs(points: DataFrame, name: str, k: int, tile_rows: int = TILE_ROWS, digits: int | None = None) -> DataFrame:
+def closest_pairs(points: DataFrame, name: str, k: int, tile_rows: int | None = None, digits: int | None = None) -> DataFrame:
     """The ``k`` closest pairs by (w, i, j); a task passes on at most ``k``. With ``digits`` weights are rounded first."""
     m = metric(name)
 
     def run(lo: int, hi: int, t: pa.Table) -> pa.Table:
-        held: list = []
-        rows = 0
-        for part in _pair_rows(lo, hi, t, m):
-            held.append(part if digits is None else (*part[:2], np.round(part[2], digits) + 0.0))
-            rows += len(part[0])
-            if rows > 4 * k + 100_000:
-                held, rows = [_least(held, k)], k
-        return _edges([_least(held, k)] if held else [])
+        ids, tile, x = _ordered(t, m)
+        a, b = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        margin = 0.0 if digits is None else 10.0**-digits
+        for s in range(0, len(a), BLOCK):
+            part = a[s : s + BLOCK]
+            score, off = scores(x[part], x[b], m)
+            if lo == hi:
+                score[part[:, None] >= b] = np.inf
+            if len(held[2]) == k:
+                last = held[2][-1] + margin  # of the k-th so far, as a score
+                most = 1 - last if m.name == "cosine" else math.cos(min(math.pi, last)) if m.unit else last
+                bound = (-most if m.unit else most**2) + off
+            else:
+                bound = np.partition(score, k, axis=None)[k] + off + (2 * margin if m.unit else 2 * margin * (1 + margin)) if score.size > k else np.inf
+            r, c = np.nonzero((score <= bound) & np.isfinite(score))
+            if len(r):
+                p, q = part[r], b[c]
+                w = np.concatenate([m.rows(x[p[n : n + 100_000]], x[q[n : n + 100_000]]) for n in range(0, len(p), 100_000)])
+                w = w if digits is None else np.round(w, digits) + 0.0
+                held = _least([held, (np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), w)], k)
+        return _edges([held])
 
     return tiled(points, run, EDGE, tile_rows).orderBy("w", "i", "j").limit(k)
 
@@ -103,26 +137,32 @@ def dense_tree(ids: np.ndarray, x: np.ndarray, m: Metric, apart: list[np.ndarray
     pairs count that differ in every label, and the result may be a forest."""
     n = len(ids)
     outside = np.ones(n, bool)
-    best, lo, hi = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    best, lo, hi = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)  # best is infinite inside
     out, now = [], 0
     for _ in range(n - 1):
         outside[now] = False
-        rest = np.flatnonzero(outside)
-        d = m.rows(x[now], x[rest])
+        reach = outside
         for label in apart or ():
-            d[label[rest] == label[now]] = np.inf
-        a, b = np.minimum(now, rest), np.maximum(now, rest)
+            reach = reach & (label != label[now])
+        rest = np.flatnonzero(reach)
+        d = m.rows(x[now], x[rest])
         old = best[rest]
-        better = (d < old) | ((d == old) & np.isfinite(d) & ((a < lo[rest]) | ((a == lo[rest]) & (b < hi[rest]))))
-        at = rest[better]
+        closer = d <= old
+        at, d, old = rest[closer], d[closer], old[closer]
+        a, b = np.minimum(now, at), np.maximum(now, at)
+        better = (d < old) | (a < lo[at]) | ((a == lo[at]) & (b < hi[at]))
+        at = at[better]
         best[at], lo[at], hi[at] = d[better], a[better], b[better]
-        w = best[rest]
-        ties = rest[w == w.min()]
-        if np.isinf(best[ties[0]]):  # nothing left to reach: a new tree
-            now = int(rest[0])
+        now = int(best.argmin())
+        least = best[now]
+        if np.isinf(least):  # nothing left to reach: a new tree
+            now = int(outside.argmax())
             continue
-        now = int(ties[0] if len(ties) == 1 else ties[np.lexsort((hi[ties], lo[ties]))[0]])
-        out.append((lo[now], hi[now], best[now]))
+        ties = np.flatnonzero(best == least)
+        if len(ties) > 1:
+            now = int(ties[np.lexsort((hi[ties], lo[ties]))[0]])
+        out.append((lo[now], hi[now], least))
+        best[now] = np.inf
     if not out:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0)
@@ -130,24 +170,26 @@ def dense_tree(ids: np.ndarray, x: np.ndarray, m: Metric, apart: list[np.ndarray
     return ids[i], ids[j], w
 
 
-def exact_tree(points: DataFrame, name: str, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Exact minimum spanning tree ``i, j, w`` over all pairs: a tree per pair of tiles, merged."""
+def exact_tree(points: DataFrame, name: str, tile_rows: int | None = None) -> DataFrame:
+    """Exact minimum spanning tree ``i, j, w`` over all pairs: a tree per tile and per pair of tiles, merged."""
     m = metric(name)
 
     def run(lo: int, hi: int, t: pa.Table) -> pa.Table:
-        ids, _, x = _ordered(t, m)
-        return _edges([dense_tree(ids, x, m)])
+        ids, tile, x = _ordered(t, m)
+        # pairs within a tile are compared where lo = hi
+        return _edges([dense_tree(ids, x, m, None if lo == hi else [tile])])
 
     return msf(tiled(points, run, EDGE, tile_rows).distinct(), points.count())
 
 
-def exact_trees_by(points: DataFrame, name: str, by: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+def exact_trees_by(points: DataFrame, name: str, by: str, tile_rows: int | None = None) -> DataFrame:
     """The forest of the exact trees within each value of ``by``; rows with a null there are left out."""
     m = metric(name)
 
     def run(lo: int, hi: int, t: pa.Table) -> pa.Table:
-        ids, _, x = _ordered(t, m)
-        return _edges([dense_tree(ids, x, m)])
+        ids, tile, x = _ordered(t, m)
+        # pairs within a tile are compared where lo = hi
+        return _edges([dense_tree(ids, x, m, None if lo == hi else [tile])])
 
     known = points.filter(F.col(by).isNotNull())
     return msf(tiled(known, run, EDGE, tile_rows, by).distinct(), known.count())
@@ -162,7 +204,8 @@ def exact_neighbours(queries: DataFrame, points: DataFrame, name: str, k: int, k
     m = metric(name)
     blocks = max(1, math.ceil(queries.count() / block_rows))
     asked = queries.select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<float>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
-    parts = max(1, math.ceil(points.count() / (4 * TILE_ROWS)))
+    n = points.count()
+    parts = max(1, math.ceil(n / (4 * TILE_ROWS)), min(math.ceil(n / LEAST_ROWS), math.ceil(parallelism(points.sparkSession) / blocks)))
     left = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = points.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("p"))
     right = right.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -170,20 +213,23 @@ def exact_neighbours(queries: DataFrame, points: DataFrame, name: str, k: int, k
     def run(a, b):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if a.num_rows and b.num_rows:
-            b = b.sort_by("id")
             q, ids = a.column("q").to_numpy(), b.column("id").to_numpy()
             x, y = prepare(matrix(a.column("v")), m), prepare(matrix(b.column("v")), m)
-            for r in range(len(q)):
-                d = m.rows(x[r], y)
+            for s in range(0, len(q), BLOCK):
+                score, off = scores(x[s : s + BLOCK], y, m)
                 if not keep_self:
-                    d = np.where(ids == q[r], np.inf, d)
-                best = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-                best = np.flatnonzero(d <= np.sort(d[best])[: k + 1][-1])
-                best = best[np.lexsort((ids[best], d[best]))][:k]
-                best = best[np.isfinite(d[best])]
-                out.append((np.full(len(best), q[r]), ids[best], d[best]))
-        t = _edges(out)
-        return t.rename_columns(["query_id", "id", "dist"])
+                    score[q[s : s + BLOCK, None] == ids] = np.inf
+                last = np.partition(score, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(score), np.inf)
+                r, c = np.nonzero((score <= (last + 2 * off)[:, None]) & np.isfinite(score))
+                if not len(r):
+                    continue
+                d = m.rows(x[s + r], y[c])
+                order = np.lexsort((ids[c], d, r))
+                r, c, d = r[order], c[order], d[order]
+                rank = np.arange(len(r)) - np.searchsorted(r, r)
+                good = rank < k
+                out.append((q[s + r[good]], ids[c[good]], d[good]))
+        return _edges(out).rename_columns(["query_id", "id", "dist"])
 
     found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(run, "query_id long, id long, dist double")
     order = Window.partitionBy("query_id").orderBy("dist", "id")

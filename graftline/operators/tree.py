@@ -62,9 +62,8 @@ def _sweep(points: DataFrame, family: Family, delta: float, per_edge: bool, acce
         return TreeResult(spark.createDataFrame([], EDGE), family.depth)
     limit = delta if per_edge else delta / n
     table = hashed(points, family)
-    load = [*cand.candidate_load(table, family.depth), 0]
     start = connecting_prefix(table, family.depth, n)
-    tree, levels, every = None, [], n * (n - 1) // 2
+    tree, levels, every, before = None, [], n * (n - 1) // 2, 0
 
     def judged(prefix: int, path: str, compared: int) -> bool:
         sure = cand.confirm(tree, family, prefix, limit)
@@ -74,7 +73,8 @@ def _sweep(points: DataFrame, family: Family, delta: float, per_edge: bool, acce
         return ok
 
     for prefix in range(start, -1, -1):
-        work = load[prefix] - (load[prefix + 1] if tree is not None else 0)
+        load = cand.level_load(table, prefix) if prefix else every
+        work, before = load - before, load
         if not prefix or switch is not None and work >= switch * every:
             # at prefix 0 every table would compare all pairs
             tree = materialize(exact_tree(points, family.metric), "tree")
@@ -84,7 +84,7 @@ def _sweep(points: DataFrame, family: Family, delta: float, per_edge: bool, acce
         if prune_connected and tree is not None:
             sure = cand.confirm(tree, family, prefix + 1, limit).filter("confirmed")
             rows = table.join(component_labels(sure, points.select("vec_id")), "vec_id")
-        edges = bucket_trees(rows, prefix, family.metric, tree is not None, "comp" in rows.columns).select("i", "j", "w")
+        edges = bucket_trees(rows, points, prefix, family.metric, tree is not None, "comp" in rows.columns).select("i", "j", "w")
         tree = materialize(msf((edges if tree is None else edges.unionByName(tree)).distinct(), n), "tree")
         if judged(prefix, "lsh", work):
             return TreeResult(tree, prefix, "lsh", levels)
@@ -118,8 +118,7 @@ def forests_by_table(table: DataFrame, points: DataFrame, prefix: int, name: str
     The buckets of a table share no point, so its forest is that of its buckets; only the trees of a bucket that was cut
     into tiles are merged.
     """
-    vectors = points.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
-    edges = bucket_trees(table.join(vectors, "vec_id"), prefix, name)
+    edges = bucket_trees(table, points, prefix, name)
 
     def run(t: pa.Table) -> pa.Table:
         cols = [t.column(c).to_numpy() for c in ("i", "j", "w")]

@@ -203,14 +203,14 @@ def test_the_sweep_starts_where_the_buckets_connect(spark):
 def test_a_bucket_with_half_of_the_rows_is_spread(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([np.repeat(rng.standard_normal((1, 8)), 1000, axis=0) + 1e-3 * rng.standard_normal((1000, 8)), rng.standard_normal((1000, 8))]).astype(np.float32)
-    table = hashed(frame(spark, x), SimHash(8, 2, 16))
-    rows = placed(table, 16, False, 100).groupBy("bucket", "lo", "hi").count().collect()
+    table, points = hashed(frame(spark, x), SimHash(8, 2, 16)), frame(spark, x)
+    rows = placed(table, points, 16, False, 100).groupBy("bucket", "lo", "hi").count().collect()
     assert max(r["count"] for r in rows) <= 300  # two tiles of about 100
     pairs = cand.met(codes(frame(spark, x), SimHash(8, 1, 16)), 16, hot=100)
     plain = cand.met(codes(frame(spark, x), SimHash(8, 1, 16)), 16, hot=10**9)
     assert pairs.select("i", "j").exceptAll(plain.select("i", "j")).isEmpty() and pairs.count() == plain.count() > 400_000
-    closest = bucket_closest(table, 16, "cosine", 50, 9, tile_rows=100).collect()
-    assert [tuple(r) for r in closest] == [tuple(r) for r in bucket_closest(table, 16, "cosine", 50, 9).collect()] and len(closest) == 50
+    closest = bucket_closest(table, points, 16, "cosine", 50, 9, tile_rows=100).collect()
+    assert [tuple(r) for r in closest] == [tuple(r) for r in bucket_closest(table, points, 16, "cosine", 50, 9).collect()] and len(closest) == 50
 
 
 def test_random_path_visits_every_point_once(spark):
