@@ -9,25 +9,32 @@ that is itself too large is cut between characters. Consecutive pieces overlap b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from graftline.llm.bpe import BYTE_BPE_50K, ByteBPE, encoder, send_vocabulary
 
+LINES = "\n\r\v\f\x85\u2028\u2029"
 # ranks of boundaries: the children of a node are separated by its highest one
 TOKEN, WORD, SENTENCE, LINE, ITEM, PARAGRAPH, HEADING = 1, 2, 4, 6, 8, 12, 14
+_BLOCK = r"(?:p|div|section|article|table|ul|ol|blockquote|pre)\b"
+# patterns of boundaries, what one of must occur in the text, and the rank; the group ``gap`` is where the boundary lies
 _MARKS = [
-    (regex.compile(r"(?<=[.!?…]['\")\]»”’]*)\s+(?=\S)|(?<=[。！？；]['\")\]»”’」』]*)(?=[^\s」』])"), lambda m: SENTENCE),
-    (regex.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]|(?i:<br\s*/?>)"), lambda m: LINE),
-    (regex.compile(r"(?m)^([ \t]*)(?=(?:[-*+•·]|\d{1,3}[.)])[ \t])|(?i:(?=<li\b))"), lambda m: ITEM + 3 - min(3, len((m.group(1) or "").expandtabs(4)) // 2)),
-    (regex.compile(r"\n[ \t\r]*\n\s*|\r[ \t]*\r\s*|\u2029\s*|(?i:(?=<(?:p|div|section|article|table|ul|ol|blockquote|pre)\b))|(?i:</(?:p|div|section|article|table|ul|ol|blockquote|pre)>)"), lambda m: PARAGRAPH),
-    (regex.compile(r"(?m)^(?=(#{1,6})[ \t]\S)|(?i:(?=<h([1-6])\b))"), lambda m: HEADING + 6 - (len(m.group(1)) if m.group(1) else int(m.group(2)))),
+    (re.compile(r"[.!?…]['\")\]»”’]*(?P<gap>\s+)(?=\S)"), ".!?…", lambda m: SENTENCE),
+    (re.compile(r"[。！？；]['\")\]»”’」』]*(?P<gap>)(?=[^\s」』])"), "。！？；", lambda m: SENTENCE),
+    (re.compile(r"(?P<gap>\r\n|[\n\r\v\f\x85\u2028\u2029]|(?i:<br\s*/?>))"), LINES + "<", lambda m: LINE),
+    (re.compile(r"(?m)^(?P<gap>[ \t]*)(?=(?:[-*+•·]|\d{1,3}[.)])[ \t])"), LINES, lambda m: ITEM + 3 - min(3, len(m.group("gap").expandtabs(4)) // 2)),
+    (re.compile(r"(?P<gap>)(?i:(?=<li\b))"), "<", lambda m: ITEM + 3),
+    (re.compile(r"(?P<gap>\n[ \t\r]*\n\s*|\r[ \t]*\r\s*|\u2029\s*)"), LINES, lambda m: PARAGRAPH),
+    (re.compile(rf"(?P<gap>(?i:(?=<{_BLOCK})|</{_BLOCK}>))"), "<", lambda m: PARAGRAPH),
+    (re.compile(r"(?m)^(?P<gap>)(?=(#{1,6})[ \t]\S)"), "#", lambda m: HEADING + 6 - len(m.group(2))),
+    (re.compile(r"(?P<gap>)(?i:(?=<h([1-6])\b))"), "<", lambda m: HEADING + 6 - int(m.group(2))),
 ]
 LEAST_BUDGET = 4  # tokens; below the limit less any overlap, so pieces of so few with nothing else fit
 KINDS = {TOKEN: "token", WORD: "word", SENTENCE: "sentence", LINE: "line", PARAGRAPH: "paragraph"}
@@ -54,8 +61,10 @@ class Outline:
         self.token_char = (np.cumsum(starts) - 1)[self.token_byte]
         self.rank = np.full(len(words) + 1, WORD, np.int8)
         self.rank[[0, -1]] = 0
-        for pattern, rank in _MARKS:
-            found = [(m.start(), m.end(), rank(m)) for m in pattern.finditer(text)]
+        for pattern, signs, rank in _MARKS:
+            if not any(c in text for c in signs):
+                continue
+            found = [(*m.span("gap"), rank(m)) for m in pattern.finditer(text)]
             if found:
                 self._mark(*(np.array(c) for c in zip(*found, strict=True)))
 
