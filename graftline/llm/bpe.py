@@ -239,6 +239,21 @@ def encode_table(df: DataFrame, doc_id: str, text: str, vocabulary: str = BYTE_B
     return df.select(doc_id, text).mapInArrow(run, schema)
 
 
+def decode_table(df: DataFrame, doc_id: str, ids: str = "ids", vocabulary: str = BYTE_BPE_50K) -> DataFrame:
+    """``doc_id, text``: the texts of lists of token ids, the empty text of an empty or null list. An id that the
+    vocabulary lacks is an error; bytes that are no UTF-8 become replacement characters."""
+    send_vocabulary(df.sparkSession, vocabulary)
+    schema = T.StructType([T.StructField(doc_id, df.schema[doc_id].dataType), T.StructField("text", T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {r: t.encode("latin-1") for t, r in encoder(vocabulary).id_of.items()}
+        for b in batches:
+            texts = [b"".join(map(token.__getitem__, x.as_py() or ())).decode("utf-8", "replace") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=schema.names)
+
+    return df.select(doc_id, ids).mapInArrow(run, schema)
+
+
 def count_table(df: DataFrame, keep: list[str], text: str, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
     """Columns ``keep`` and ``n_tokens`` of every row; null and empty texts have 0 tokens."""
     send_vocabulary(df.sparkSession, vocabulary)

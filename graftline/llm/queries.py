@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graftline.llm.bpe import encode_table
+from graftline.llm.bpe import decode_table, encode_table
 from graftline.llm.clusters import Clusters
 from graftline.llm.mix import Mix
 from graftline.llm.neighbours import nearest, nearest_pairs
@@ -50,6 +50,15 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Clusters(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 0.20).described()
 
 
+def p2_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every cluster, and whether its typical rows are three of its members."""
+    clusters = Clusters(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 0.20)
+    clusters.found = materialize(clusters.found, "found")
+    typical = clusters.described().select("cluster_row", "size", F.explode("typical").alias("row_id"))
+    inside = typical.join(clusters.found.withColumn("hit", F.lit(1)), ["cluster_row", "row_id"], "left")
+    return inside.groupBy("cluster_row", "size").agg((F.count("hit") == 3).alias("good"))
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest other vectors of every usable vector, at any distance."""
     return nearest(table(spark, sf_dir, "glove_100_angular"), "row_id", "train", 100, 5, exact=True)
@@ -132,6 +141,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_ids(spark, sf_dir).filter(F.size("ids") == 0).select("doc_id")
 
 
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of every text as decoded from its ids."""
+    return decode_table(p6_ids(spark, sf_dir), "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> Mix:
     return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
 
@@ -151,6 +165,17 @@ def p7_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text", fit=True).report
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target the documents there are, and whether no document is in the mix more often than it may be, none twice as
+    the same copy, and the whole not above its share."""
+    mix = _mix(spark, sf_dir)
+    rows = mix.rows.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("copies"))
+    worst = rows.groupBy("source").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("copies")).alias("twice"))
+    out = mix.report.join(worst, "source", "left")
+    fits = (F.coalesce("n", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("twice", F.lit(0)) == 0)
+    return out.select("source", "n_docs", fits.alias("within_repeats"), (F.col("mix_tokens") <= F.col("target_tokens")).alias("within_share"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of which every document is in the mix as often as it may be, and that still lack tokens."""
     return _mix(spark, sf_dir).report.filter("short").select("source")
@@ -161,6 +186,16 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_table(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 32)
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every text the characters that its pieces cover, and whether all are within the limit and begin before the end of the one before."""
+    pieces = split_table(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 32, keep_text=False)
+    before = F.lag("end_char", 1, 0).over(Window.partitionBy("doc_id").orderBy("piece"))
+    linked = (F.col("start_char") <= F.col("before")) & ((F.col("piece") == 0) | (F.col("start_char") < F.col("before")))
+    good = linked & (F.col("end_char") > F.col("before")) & (F.col("n_tokens") <= 512) & (F.col("n_tokens") > 0)
+    new = F.col("end_char") - F.col("before")
+    return pieces.withColumn("before", before).groupBy("doc_id").agg(F.sum(new).cast("long").alias("n_chars"), F.bool_and(good).alias("good"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that had to be cut: each of them has exactly one second piece."""
     pieces = split_table(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 32, keep_text=False)
@@ -173,6 +208,7 @@ QUERIES = {
     "p1_scan": p1_scan,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
+    "p2_checked": p2_checked,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p3_recall": p3_recall,
@@ -182,10 +218,13 @@ QUERIES = {
     "p5_percentiles": p5_percentiles,
     "p6_found": p6_found,
     "p6_ids": p6_ids,
+    "p6_roundtrip": p6_roundtrip,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p7_fitted": p7_fitted,
+    "p7_checked": p7_checked,
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
+    "p8_checked": p8_checked,
 }

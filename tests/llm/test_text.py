@@ -7,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graftline.llm.bpe import BYTE_BPE_50K, PATTERN, TOKENIZERS, count_table, encode_table, encoder, read_ranks
+from graftline.llm.bpe import BYTE_BPE_50K, PATTERN, TOKENIZERS, count_table, decode_table, encode_table, encoder, read_ranks
 from graftline.llm.mix import Mix, split_tree
 from graftline.llm.split import split_table, split_text
 
@@ -43,6 +43,8 @@ def test_tables(spark):
     counts = {r.doc_id: r.n_tokens for r in count_table(df.filter("doc_id is not null"), ["doc_id"], "text").collect()}
     assert counts == {n: len(ids) for n, ids in want if n >= 0}
     assert encode_table(df.limit(0), "doc_id", "text").collect() == []
+    back = {r.doc_id: r.text for r in decode_table(encode_table(df, "doc_id", "text"), "doc_id").collect() if r.doc_id is not None}
+    assert back == {n: t or "" for n, t in enumerate(TEXTS)}
 
 
 def test_round_trip_of_all_documents(spark, sf):
