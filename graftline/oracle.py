@@ -228,7 +228,7 @@ def found_tree(points: str, family: Family, name: str, floor: int, accept: str)
 
 
 CLOSE = f"""
-    {levels_sql(GLOVE_POINTS, GLOVE, 'cosine', GLOVE.depth - 1, 9)},
+    {levels_sql(GLOVE_POINTS, GLOVE, 'cosine', 5, 9)},
     r as (select p, i, j, w, row_number() over (partition by p order by w, i, j) rn from wp join lev on lcp >= p),
     g as (select p, count(*) n, max(w) w from r where rn <= {CLOSEST} group by p),
     stop as (select max(p) p from g where n = {CLOSEST} and {fail_sql(SIM_P.format(d='w'), 'p', str(GLOVE.repetitions), GLOVE.repetitions, GLOVE.depth)} <= 0.1)"""
