@@ -293,6 +293,12 @@ SQL |= {
     "local_msf_by_rep": f"with {SIM_CODES}, {BY_TABLE}, {boruvka('select rep * 10000000 + i i, rep * 10000000 + j j, w from bt', 'select distinct rep * 10000000 + vec_id v from codes')} select (i // 10000000)::integer rep, (i % 10000000)::bigint i, (j % 10000000)::bigint j, round(w, 6) w from tree",
     "merge_msf": f"with {SIM_CODES}, {BY_TABLE}, {boruvka('select distinct i, j, w from bt', ALL)} {EDGES}",
     "knn_lsh": knn_lsh_sql(10),
+    "knn_few_points": """
+        with p as (select n_nationkey id, [n_nationkey, n_regionkey * 10]::double[] x from nation),
+        d as (select a.id::bigint query_id, b.id::bigint id, list_distance(a.x, b.x) dist from p a join p b on a.id <> b.id),
+        r as (select *, row_number() over (partition by query_id order by dist, id)::integer as rank from d)
+        select query_id, rank, id, round(dist, 6) dist from r where rank <= 3""",
+    "rejected_arguments": "select unnest(['negative prefix', 'no symbols', 'other length', 'unknown metric', 'unknown filter', 'sketches of lengths', 'recall of nothing', 'negative epsilon', 'insufficient memory', 'existing path']) argument, true refused",
     "knn_lsh_sketch_simple": SKETCHED,
     "knn_lsh_sketch_default": SKETCHED,
     "cap_unconfirmed": f"""

@@ -290,6 +290,44 @@ def knn_lsh_sketch_derived(spark, sf_dir):
     return rounded(knn.knn(asked(spark, sf_dir), points(spark, sf_dir), SIM, 10, filter_type="simple", bits=32, miss=0.01), "dist")
 
 
+def nation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").filter("n_nationkey is not null and n_regionkey is not null").select(F.col("n_nationkey").cast("long").alias("vec_id"), F.array(F.col("n_nationkey").cast("float"), (F.col("n_regionkey") * 10).cast("float")).alias("embedding"))
+
+
+def knn_few_points(spark, sf_dir):
+    """Neighbours among so few points that all are compared."""
+    few = nation_points(spark, sf_dir)
+    return rounded(knn.knn(few, few, E2LSH(2, 4, 4, width=8.0), 3), "dist")
+
+
+def rejected_arguments(spark, sf_dir):
+    """Arguments that the operators refuse, and whether they do."""
+    few, family = nation_points(spark, sf_dir), E2LSH(2, 4, 4)
+    path = scratch_path(spark, "taken")
+    few.write.parquet(f"{path}/points")
+    checks = {
+        "negative prefix": lambda: cand.prefix_of("code", -1),
+        "no symbols": lambda: E2LSH(2, 4, 0),
+        "other length": lambda: codes(few, E2LSH(3, 4, 4)).collect(),
+        "unknown metric": lambda: pairs.exact_tree(few, "dot"),
+        "unknown filter": lambda: knn.knn(few, few, family, 3, filter_type="ring"),
+        "sketches of lengths": lambda: knn.knn(few, few, family, 3, filter_type="simple"),
+        "recall of nothing": lambda: knn.closest_pairs(few, family, 3, recall=0.0),
+        "negative epsilon": lambda: tree.find_epsilon_tree(few, family, -0.1),
+        "insufficient memory": lambda: repetitions_within(1000, 1000, DIM, 8),
+        "existing path": lambda: Index(few, family).save(path),
+    }
+
+    def refused(call) -> bool:
+        try:
+            call()
+        except Exception:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(call)) for name, call in checks.items()], "argument string, refused boolean")
+
+
 def closest_pairs_lsh(spark, sf_dir):
     """The 500 closest pairs of the collection, with the prefix at which they were accepted; distances to nine decimals, as copies tie."""
     found, figures = knn.closest_pairs(glove_points(spark, sf_dir), GLOVE, CLOSEST, digits=9)
@@ -502,7 +540,7 @@ QUERIES = {
             knn_from_index_exact, closest_pairs_exact, bucket_sizes_by_prefix, bucket_runs, lsh_pairs_full_hash, lsh_pairs_prefix,
             lsh_pairs_incremental, pair_lcp, lsh_pairs_filtered, failure_probability_table, confirmed_split, bound_weight, epsilon_accept,
             find_tree_simhash, find_tree_e2lsh, find_epsilon_tree_simhash, tree_connected, local_msf_by_rep, merge_msf, knn_lsh,
-            knn_lsh_sketch_derived, closest_pairs_lsh, closest_pairs_glove_exact, find_tree_parts, find_epsilon_tree_parts, find_tree_parts_pruned, find_tree_parts_levels, exact_mst_parts, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
+            knn_lsh_sketch_derived, knn_few_points, rejected_arguments, closest_pairs_lsh, closest_pairs_glove_exact, find_tree_parts, find_epsilon_tree_parts, find_tree_parts_pruned, find_tree_parts_levels, exact_mst_parts, cap_unconfirmed, reservoir_pairs, bernoulli_pairs, random_path, recall_over_runs,
             distance_histogram, tree_median_edge, tree_log_weights, incremental_append_tree, index_save_load_roundtrip,
             collision_log_roundtrip, recall_log_roundtrip, tree_log_roundtrip, index_lookup, index_description, stream_append_tree, hdf5_roundtrip, binomial_table, memory_plan, jaccard_pairs_documents, jaccard_classes_documents, jaccard_knn_documents,
             jaccard_mst_documents, minhash_codes_documents, jaccard_pairs_words, jaccard_mst_words, minhash_pairs_words,
