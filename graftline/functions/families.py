@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graftline.functions import probability
 
@@ -154,20 +155,41 @@ def codes(points: DataFrame, family: Family, vec_id: str = "vec_id", vector: str
     return points.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "vec_id long, rep int, code array<long>")
 
 
+PRIME = (1 << 31) - 1
+
+
+def minhash_factors(repetitions: int, depth: int, seed: int) -> list[tuple[int, int]]:
+    """``a`` and ``b`` of the hashes ``(a * x + b) mod PRIME`` of all symbols."""
+    drawn = np.random.default_rng(seed).integers(1, PRIME, (repetitions * depth, 2))
+    return [(int(a), int(b)) for a, b in drawn]
+
+
 def minhash_codes(sets: DataFrame, repetitions: int, depth: int, seed: int = 42, set_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """``<set_id>, rep, code`` for sets of strings: a symbol is the least seeded hash of the set's tokens.
 
-    The hash is the first 15 hex digits of md5, the same in any engine. Empty sets have no code.
+    A token is hashed once, to the first 15 hex digits of its md5 modulo ``PRIME``, the same in any engine; the hashes
+    of the symbols are linear in that. Empty sets have no code.
     """
+    number = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long") % F.lit(PRIME))
+    factors = minhash_factors(repetitions, depth, seed)
+    some = sets.filter(F.size(tokens) > 0).select(set_id, number.alias("numbers"))
+    schema = T.StructType([some.schema[set_id], T.StructField("rep", T.IntegerType()), T.StructField("code", T.ArrayType(T.LongType()))])
+    scale, shift = (np.array(f, np.int64)[:, None] for f in zip(*factors, strict=True))
 
-    def symbol(n: int) -> Column:
-        def hashed(token: Column) -> Column:
-            return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{n}|"), token)), 1, 15), 16, 10).cast("long")
-
-        return F.array_min(F.transform(tokens, hashed))
-
-    parts = []
-    for rep in range(repetitions):
-        code = F.array(*[symbol(rep * depth + k) for k in range(depth)])
-        parts.append(F.struct(F.lit(rep).alias("rep"), code.alias("code")))
-    return sets.filter(F.size(tokens) > 0).select(set_id, F.explode(F.array(*parts)).alias("c")).select(set_id, "c.rep", "c.code")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            bounds = lists.offsets.to_numpy()
+            x = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+            least = np.empty((len(factors), b.num_rows), np.int64)
+            starts = bounds[:-1] - bounds[0]
+            step = max(1, 4_000_000 // max(1, len(x)))
+            for s in range(0, len(factors), step):
+                least[s : s + step] = np.minimum.reduceat((scale[s : s + step] * x + shift[s : s + step]) % PRIME, starts, axis=1)
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), repetitions)))
+            code = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows * repetitions + 1, dtype=np.int32) * depth), pa.array(least.T.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(repetitions, dtype=np.int32), b.num_rows)), code], names=[set_id, "rep", "code"])
+
+    return some.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from graftline.functions.families import E2LSH, CrossPolytope, Family, SimHash
+from graftline.functions.families import E2LSH, PRIME, CrossPolytope, Family, SimHash, minhash_factors
 from graftline.operators.sets import BLANKS
 from graftline.queries import ALIKE, CLOSEST, CROSS, DELTA, DIM, E2, E2_TREE, GLOVE, LSH_PREFIX, PARTS, SIM, SIM_TREE, WORDS
 
@@ -181,11 +181,15 @@ def similar_sql(threshold: float) -> str:
 SIMILAR = similar_sql(0.8)
 
 
+def minhash_rows(repetitions: int, depth: int, seed: int, source: str) -> str:
+    """``doc_id, rep, code`` of the token sets of ``source(doc_id, t)``."""
+    factors = ", ".join(f"({n // depth}, {n % depth}, {a}::bigint, {b}::bigint)" for n, (a, b) in enumerate(minhash_factors(repetitions, depth, seed)))
+    symbol = f"min((f.a * (('0x' || substr(md5(t), 1, 15))::bigint % {PRIME}) + f.b) % {PRIME})"
+    return f"select doc_id, rep, list(s order by k) code from (select doc_id, f.rep, f.k, {symbol} s from {source}, (values {factors}) f(rep, k, a, b) group by all) group by doc_id, rep"
+
+
 def minhash_sql(repetitions: int, depth: int, seed: int = 42) -> str:
-    return f"""
-        with {SETS}, h as (select doc_id, r.rep, k.k, min(('0x' || substr(md5('{seed}|' || (r.rep * {depth} + k.k) || '|' || t), 1, 15))::bigint) s
-            from flat, range(0, {repetitions}) r(rep), range(0, {depth}) k(k) group by all)
-        select doc_id, rep::integer rep, array_to_string(list(s order by k), ',') code from h group by doc_id, rep"""
+    return f"with {SETS} select doc_id, rep::integer rep, array_to_string(code, ',') code from ({minhash_rows(repetitions, depth, seed, 'flat')})"
 
 
 PART_POINTS = "pts as materialized (select p_partkey vec_id, [(p_size * 2)::float, (p_retailprice - 900.0::double)::float] embedding from part where p_partkey is not null and p_size is not null and p_retailprice < 'inf'::double)"
@@ -341,9 +345,8 @@ SQL |= {
     "jaccard_pairs_words": f"with {WORD_SETS}, {similar_sql(ALIKE)} select i, j, round(w, 6) w from near",
     "jaccard_mst_words": f"with {WORD_SETS}, {similar_sql(ALIKE)}, {boruvka('select * from near', 'select doc_id v from members', 12)} {EDGES}",
     "minhash_pairs_words": f"""
-        with {WORD_SETS}, {similar_sql(ALIKE)}, h as (select doc_id, r.rep, k.k, min(('0x' || substr(md5('{WORDS.seed}|' || (r.rep * {WORDS.depth} + k.k) || '|' || t), 1, 15))::bigint) s
-            from reps, range(0, {WORDS.repetitions}) r(rep), range(0, {WORDS.depth}) k(k) group by all),
-        c as materialized (select doc_id, rep, list(s order by k) code from h group by doc_id, rep),
+        with {WORD_SETS}, {similar_sql(ALIKE)},
+        c as materialized ({minhash_rows(WORDS.repetitions, WORDS.depth, WORDS.seed, 'reps')}),
         m as (select distinct a.doc_id i, b.doc_id j from c a join c b on a.rep = b.rep and a.code = b.code and a.doc_id < b.doc_id)
         select i, j, round(w, 6) w, round({fail_sql('(1 - w)', str(WORDS.depth), str(WORDS.repetitions), WORDS.repetitions, WORDS.depth)}, 6) fail from near join m using (i, j)""",
 }
