@@ -35,20 +35,6 @@ ERROR = 3e-6  # of the distance of two 16-bit directions, at most
 STEP = 1e-8  # distances are compared in whole steps
 
 
-def _best(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of every row's ``k`` largest values, with all that equal the last within the error."""
-    keep = sims >= least
-    some = np.flatnonzero(keep.any(axis=1))
-    if not len(some):
-        return some, some
-    part, keep = sims[some], keep[some]
-    if part.shape[1] > k:
-        last = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k]
-        keep &= part >= (last - LOOSE)[:, None]
-    r, c = np.nonzero(keep)
-    return some[r], c
-
-
 def copies(x: np.ndarray, most: int) -> np.ndarray:
     """Rows to keep so that of equal vectors only the first ``most`` stay."""
     view = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
@@ -61,93 +47,87 @@ def copies(x: np.ndarray, most: int) -> np.ndarray:
     return place < most
 
 
-def all_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray | None, entry: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """``row, other``: the best ``k`` entries of the other side for the rows of both, or of ``left`` itself without
-    ``right``, with all that equal the last within the error. No pair comes twice for a row."""
-    best = np.full((len(x), k), least, np.float32)  # of every row so far, largest first
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def offer(rows: np.ndarray, others: np.ndarray) -> None:
-        others_in = others[entry[others]]
-        if not len(others_in):
-            return
-        sims = x[rows] @ x[others_in].T
-        if rows is others:
-            sims[entry[rows], np.arange(len(others_in))] = -9
-        floor = best[rows, -1] - np.float32(LOOSE)
-        fresh = np.flatnonzero(best[rows, -1] <= least)
-        if len(fresh) and len(others_in) > k:
-            last = np.partition(sims[fresh], len(others_in) - k, axis=1)[:, len(others_in) - k]
-            floor[fresh] = np.maximum(floor[fresh], last - np.float32(LOOSE))
-        r, c = np.divmod(np.flatnonzero(sims >= floor[:, None]), len(others_in))
+class Best:
+    """The ``k`` most similar entries of every row of a task, as they are offered, with all that equal the last within the
+    error. An entry may be offered again. ``least`` is the similarity that is asked at least."""
+
+    def __init__(self, x: np.ndarray, entry: np.ndarray, k: int, least: float):
+        self.x, self.entry, self.k, self.least = x, entry, k, np.float32(least)
+        self.best = np.full((len(x), k), least, np.float32)  # of every row so far, largest first
+        self.who = np.full((len(x), k), -1)  # and the entries these are of
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def offer(self, rows: np.ndarray, others: np.ndarray) -> None:
+        """Entries among ``others`` for ``rows``; both are sorted, and a row isn't offered itself."""
+        others = others[self.entry[others]]
+        step = max(1, PRODUCT // max(1, len(others)))
+        for s in range(0, len(rows) if len(others) else 0, step):
+            self._offer(rows[s : s + step], others)
+
+    def _offer(self, rows: np.ndarray, others: np.ndarray) -> None:
+        k, best = self.k, self.best
+        sims = self.x[rows] @ self.x[others].T
+        at = np.searchsorted(others, rows)
+        own = np.flatnonzero((at < len(others)) & (others[np.minimum(at, len(others) - 1)] == rows))
+        sims[own, at[own]] = -9
+        last = best[rows, -1]
+        floor = last - np.float32(LOOSE)
+        fresh = np.flatnonzero(last <= self.least)
+        if len(fresh) and len(others) > k:
+            fresh = fresh[(sims[fresh] >= self.least).any(axis=1)]
+            most = np.partition(sims[fresh], len(others) - k, axis=1)[:, len(others) - k]
+            floor[fresh] = np.maximum(floor[fresh], most - np.float32(LOOSE))
+        r, c = np.divmod(np.flatnonzero(sims >= floor[:, None]), len(others))
+        new = (self.who[rows[r]] != others[c][:, None]).all(axis=1)
+        r, c = r[new], c[new]
         if not len(r):
             return
         value = sims[r, c]
-        found.append((rows[r], others_in[c], value))
+        self.found.append((rows[r], others[c], value))
         some, r = np.unique(r, return_inverse=True)
         both = np.concatenate([np.repeat(np.arange(len(some)), k), r])
         value = np.concatenate([best[rows[some]].ravel(), value])
+        who = np.concatenate([self.who[rows[some]].ravel(), others[c]])
         order = np.lexsort((-value, both))
         count = np.bincount(both)
-        best[rows[some]] = value[order][(np.cumsum(count) - count)[:, None] + np.arange(k)]
+        first = order[(np.cumsum(count) - count)[:, None] + np.arange(k)]
+        best[rows[some]], self.who[rows[some]] = value[first], who[first]
 
-    tiles = [left[s : s + TILE] for s in range(0, len(left), TILE)]
-    across = None if right is None else [right[s : s + TILE] for s in range(0, len(right), TILE)]
-    for n, p in enumerate(tiles):
-        for q in tiles[n:] if across is None else across:
-            offer(p, q)
-            if p is not q:
-                offer(q, p)
-    if not found:
-        none = np.empty(0, np.int64)
-        return none, none
-    r, c, value = (np.concatenate(f) for f in zip(*found, strict=True))
-    keep = value >= best[r, -1] - np.float32(LOOSE)
-    return r[keep], c[keep]
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """``row, other``."""
+        if not self.found:
+            none = np.empty(0, np.int64)
+            return none, none
+        r, c, value = (np.concatenate(f) for f in zip(*self.found, strict=True))
+        keep = value >= self.best[r, -1] - np.float32(LOOSE)
+        return r[keep], c[keep]
 
 
 def search_block(b: imi.Block, k: int, radius: float, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``row, other, distance``: the best of every row of a task among the cells it visits there."""
     x = b.x.astype(np.float32)
     x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    least = 1 - radius - LOOSE
     # of a vector's copies any row needs at most k, and one more if it is itself among them
-    entry = copies(b.x, k + 1)
+    best = Best(x, copies(b.x, k + 1), k, 1 - radius - LOOSE)
     low, high = b.pair
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def compare(rows: np.ndarray, others: np.ndarray, back: bool) -> None:
-        others_in = others[entry[others]]
-        step = max(1, PRODUCT // max(1, len(others_in)))
-        for s in range(0, len(rows), step):
-            part = rows[s : s + step]
-            sims = x[part] @ x[others_in].T
-            at = np.searchsorted(others_in, part)
-            own = np.flatnonzero((at < len(others_in)) & (others_in[np.minimum(at, len(others_in) - 1)] == part))
-            sims[own, at[own]] = -9
-            r, c = _best(sims, k, least)
-            found.append((part[r], others_in[c]))
-            if back:
-                keep = entry[part]
-                r, c = _best(np.ascontiguousarray(sims[keep].T), k, least)
-                found.append((others_in[r], part[keep][c]))
-        if back and not entry[others].all():  # copies that aren't entries look for visitors too
-            rest = others[~entry[others]]
-            for s in range(0, len(rest), step):
-                keep = rows[entry[rows]]
-                r, c = _best(x[rest[s : s + step]] @ x[keep].T, k, least)
-                found.append((rest[s : s + step][r], keep[c]))
-
     for cell, rows in b.at.items():
+        mine, theirs = (rows[b.shard[rows] == low], rows[b.shard[rows] == high]) if low != high else (rows, rows)
         if exact:
-            cut = low != high
-            found.append(all_pairs(x, rows[b.shard[rows] == low] if cut else rows, rows[b.shard[rows] == high] if cut else None, entry, k, least))
-        elif low == high:
-            compare(rows, rows, False)
-            if cell in b.visiting:
-                compare(b.visiting[cell], rows, True)
-        else:
-            compare(rows[b.shard[rows] == low], rows[b.shard[rows] == high], True)
+            tiles = [[side[s : s + TILE] for s in range(0, len(side), TILE)] for side in (mine, theirs)]
+            for n, p in enumerate(tiles[0]):
+                for m, q in enumerate(tiles[1]):
+                    if low != high or m >= n:
+                        best.offer(p, q)
+                        if low != high or m > n:
+                            best.offer(q, p)
+            continue
+        best.offer(mine, theirs)
+        if low != high:
+            best.offer(theirs, mine)
+        elif cell in b.visiting:
+            best.offer(b.visiting[cell], rows)
+            best.offer(rows, b.visiting[cell])
+    found = [best.result()]
     if not sum(len(r) for r, _ in found):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0)
