@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline.functions.vectors import Metric, metric, prepare
+from graftline.operators import near
 from graftline.operators.msf import EDGE, msf
 from graftline.session import parallelism
 
@@ -171,14 +172,21 @@ def dense_tree(ids: np.ndarray, x: np.ndarray, m: Metric, apart: list[np.ndarray
 
 
 def exact_tree(points: DataFrame, name: str, tile_rows: int | None = None) -> DataFrame:
-    """Exact minimum spanning tree ``i, j, w`` over all pairs: a tree per tile and per pair of tiles, merged."""
+    """Exact minimum spanning tree ``i, j, w`` over all pairs: a tree per tile and per pair of tiles, merged. Points of
+    few dimensions are merged where they are equal, and their tiles are large, as not all pairs are compared there."""
     m = metric(name)
 
     def run(lo: int, hi: int, t: pa.Table) -> pa.Table:
         ids, tile, x = _ordered(t, m)
+        if near.is_near(x, m):
+            return _edges([near.near_tree(ids, x)])
         # pairs within a tile are compared where lo = hi
         return _edges([dense_tree(ids, x, m, None if lo == hi else [tile])])
 
+    parts = near.merged(points, name)
+    if parts:
+        places, stars = parts
+        return msf(tiled(places, run, EDGE, tile_rows or near.ROWS).distinct(), places.count()).unionByName(stars)
     return msf(tiled(points, run, EDGE, tile_rows).distinct(), points.count())
 
 
