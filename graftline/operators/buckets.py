@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions.families import Family, codes
 from graftline.functions.vectors import Metric, metric, prepare
+from graftline.operators import near
 from graftline.operators.candidates import prefix_of
 from graftline.operators.pairs import dense_tree, matrix
 from graftline.session import materialize, parallelism
@@ -125,7 +126,8 @@ FOUND = "rep int, bucket long, i long, j long, w double"
 
 def bucket_trees(table: DataFrame, points: DataFrame, prefix: int, name: str, new: bool = False, comp: bool = False, tile_rows: int | None = None) -> DataFrame:
     """``rep, bucket, i, j, w``: edges that contain the spanning forest of the pairs of every bucket. With ``comp``,
-    pairs whose ``comp`` of ``table`` is the same are left out."""
+    pairs whose ``comp`` of ``table`` is the same are left out. Large buckets of points of few dimensions are searched
+    whole, without listing pairs: what ``new`` and ``comp`` leave out is then looked at too, and the forest with the tree so far is the same."""
     from graftline.operators.msf import forest
 
     m = metric(name)
@@ -137,8 +139,11 @@ def bucket_trees(table: DataFrame, points: DataFrame, prefix: int, name: str, ne
         at = np.concatenate([r[forest(i[r], j[r], w[r])] for r in out])
         return i[at], j[at], w[at], bucket[at], rep[at]
 
-    rows = placed(table, points, prefix, new, tile_rows or TILE_ROWS, ("comp",) if comp else ())
-    return rows.mapInArrow(_work(m, labels, keep, lambda ids, x, apart: dense_tree(ids, x, m, apart)), FOUND)
+    def whole(ids, x, apart):
+        return near.near_tree(ids, x) if near.is_near(x, m) else dense_tree(ids, x, m, apart)
+
+    rows = placed(table, points, prefix, new, tile_rows or (near.ROWS if near.few(points, name) else TILE_ROWS), ("comp",) if comp else ())
+    return rows.mapInArrow(_work(m, labels, keep, whole), FOUND)
 
 
 def bucket_closest(table: DataFrame, points: DataFrame, prefix: int, name: str, k: int, digits: int | None, new: bool = False, tile_rows: int | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
+from graftline.functions.families import E2LSH
 from graftline.functions.vectors import metric
-from graftline.operators import near, pairs
+from graftline.operators import near, pairs, tree
 
 M = metric("euclidean")
 
@@ -52,3 +53,21 @@ def test_exact_tree_merges_copies(spark, tile_rows):
     assert places.count() == len(np.unique(x, axis=0)) and places.count() + stars.count() == len(x)
     got = pairs.exact_tree(points, "euclidean", tile_rows).toPandas()
     assert edges(got.i, got.j, got.w) == edges(*pairs.dense_tree(np.arange(len(x)), x, M))
+
+
+FAMILY = E2LSH(2, 12, 4, width=8.0)
+
+
+def crowded(spark):
+    x = crowd(1500)
+    return x, frame(spark, range(len(x)), x), edges(*pairs.dense_tree(np.arange(len(x)), x, M))
+
+
+def test_found_tree_hashes_one_point_of_a_place(spark):
+    x, points, want = crowded(spark)
+    found = tree.find_tree(points, FAMILY)
+    got = found.edges.toPandas()
+    assert edges(got.i, got.j, got.w) == want
+    places = len(np.unique(x, axis=0))
+    # with its copies it would compare them in each of the tables
+    assert found.levels[0]["compared"] <= places * (places - 1) // 2
