@@ -71,3 +71,11 @@ def test_found_tree_hashes_one_point_of_a_place(spark):
     places = len(np.unique(x, axis=0))
     # with its copies it would compare them in each of the tables
     assert found.levels[0]["compared"] <= places * (places - 1) // 2
+
+
+def test_figures_count_the_copies(spark):
+    x, points, want = crowded(spark)
+    found = tree.find_tree(points, FAMILY)
+    last = found.metrics().filter("accepted").first()
+    assert last.n_edges == len(x) - 1 and last.weight == pytest.approx(sum(w for _, _, w in want))
+    assert last.compared <= len(np.unique(x, axis=0)) ** 2 // 2
