@@ -79,3 +79,10 @@ def test_figures_count_the_copies(spark):
     last = found.metrics().filter("accepted").first()
     assert last.n_edges == len(x) - 1 and last.weight == pytest.approx(sum(w for _, _, w in want))
     assert last.compared <= len(np.unique(x, axis=0)) ** 2 // 2
+
+
+def test_pruned_tree_keeps_the_copies(spark):
+    x, points, want = crowded(spark)
+    found = tree.find_tree(points, FAMILY, prune_connected=True)
+    got = found.edges.toPandas()
+    assert edges(got.i, got.j, got.w) == want and found.levels[0]["compared"] <= len(np.unique(x, axis=0)) ** 2 // 2
