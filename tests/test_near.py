@@ -86,3 +86,11 @@ def test_pruned_tree_keeps_the_copies(spark):
     found = tree.find_tree(points, FAMILY, prune_connected=True)
     got = found.edges.toPandas()
     assert edges(got.i, got.j, got.w) == want and found.levels[0]["compared"] <= len(np.unique(x, axis=0)) ** 2 // 2
+
+
+def test_epsilon_tree_keeps_the_copies(spark):
+    x, points, want = crowded(spark)
+    found = tree.find_epsilon_tree(points, FAMILY, epsilon=0.2)
+    got = found.edges.toPandas()
+    assert len(got) == len(x) - 1 and got.w.sum() <= 1.2 * sum(w for _, _, w in want)
+    assert found.levels[0]["compared"] <= len(np.unique(x, axis=0)) ** 2 // 2
