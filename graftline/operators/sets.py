@@ -2,7 +2,9 @@
 
 Equal sets form one class, represented by its smallest id, so copies never multiply into pairs. The join is
 exact: with the tokens of every set ordered from rare to frequent, two sets of similarity t or more share one of
-the first ``n - ceil(t * n) + 1`` tokens, so only those are joined on, and sizes must agree within t.
+the first ``n - ceil(t * n) + 1`` tokens, so only those are joined on, and sizes must agree within t. Of the smaller set the
+first ``n - ceil(2t / (1 + t) * n) + 1`` are enough. Every joined row has a bitmap of its set's tokens: two sets differ in at least
+as many tokens as their bitmaps in bits, so pairs that differ too much end in the join, and few are left to be compared by tokens.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from pyspark.sql import functions as F
 
 from graftline.functions.families import minhash_codes
 from graftline.functions.probability import failure, minhash_collision
-from graftline.operators.candidates import prefix_pairs
+from graftline.operators.candidates import prefix_of
 from graftline.session import materialize
 
 
 # Fixed value: white space of Unicode, as a character class of any regular expression engine
 BLANKS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 HOT = 4096  # sets with a token in their prefixes; more are cut so that no task gets all their pairs
+BITS = [f"s{k}" for k in range(8)]  # of a bitmap, 64 each
 
 
 def words_of(text: Column | str) -> Column:
@@ -55,6 +58,34 @@ def classes(sets: DataFrame, set_id: str = "doc_id", tokens: str = "tokens") ->
     return reps, membership
 
 
+def bitmaps(reps: DataFrame) -> DataFrame:
+    """``id, n, s0, ...``: the size of every set and the bits of its hashed tokens."""
+    hashes = reps.select("id", F.size("tokens").alias("n"), F.expr("transform(tokens, t -> xxhash64(t))").alias("h"))
+    word = "aggregate(h, 0L, (s, x) -> s | if(pmod(x, {n}) = {k}, shiftleft(1L, cast(pmod(shiftright(x, 8), 64) as int)), 0L))"
+    return hashes.select("id", "n", *[F.expr(word.format(n=len(BITS), k=k)).alias(s) for k, s in enumerate(BITS)])
+
+
+def _near(threshold: float) -> Column:
+    """Whether rows ``x`` and ``y``, the smaller, may be of sets so similar, by their sizes and bitmaps."""
+    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in BITS[1:]), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
+    sizes = F.col("x.n") + F.col("y.n")
+    return smaller & (F.col("y.n") >= F.col("x.n") * threshold - 1e-9) & (differ <= sizes * ((1 - threshold) / (1 + threshold)) + 1e-6)
+
+
+def _met(rows: DataFrame, threshold: float, smaller: Column | None = None) -> DataFrame:
+    """``i, j``: pairs of rows ``key, id, n, s0, ...`` with a common key that may be so similar; of the smaller set only rows with
+    ``smaller`` count. One side of a frequent key is cut and the other copied to the cuts."""
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
+    sized = rows.join(often, "key").withColumn("cuts", F.ceil(F.col("c") / HOT).cast("int"))
+    y = sized if smaller is None else sized.filter(smaller)
+    y = y.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("key", "cut", "id", "n", *BITS)
+    x = sized.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).select("key", "cut", "id", "n", *BITS)
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.cut") == F.col("y.cut"))
+    found = x.alias("x").join(y.alias("y"), same & _near(threshold))
+    return found.select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j")).distinct()
+
+
 def _ranked(reps: DataFrame) -> DataFrame:
     """``id, token, n, place``: tokens as hashes, the rarest of a set first."""
     flat = reps.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).select("id", "n", F.xxhash64("t").alias("token"))
@@ -69,15 +100,10 @@ def similar(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
         raise ValueError("the threshold must be in (0, 1]")
     reps = materialize(reps, "sets")
     first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    head = materialize(_ranked(reps).filter(F.col("place") <= first).select("id", "token", "n"), "prefixes")
-    # one side of a frequent token is cut and the other copied to the cuts
-    often = head.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT)
-    sized = head.join(often, "token", "left").withColumn("cuts", F.coalesce(F.ceil(F.col("c") / HOT).cast("int"), F.lit(1)))
-    a = sized.select("token", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), F.col("id").alias("i"), F.col("n").alias("ni"))
-    b = sized.select("token", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.col("id").alias("j"), F.col("n").alias("nj"))
-    near = (F.col("i") < F.col("j")) & (F.col("ni") >= F.col("nj") * threshold - 1e-9) & (F.col("nj") >= F.col("ni") * threshold - 1e-9)
-    pairs = a.join(b, ["token", "cut"]).filter(near).select("i", "j").distinct()
-    return _verified(pairs, reps, threshold)
+    fewer = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    head = _ranked(reps).filter(F.col("place") <= first).select("id", F.col("token").alias("key"), (F.col("place") <= fewer).alias("early"))
+    rows = materialize(head.join(bitmaps(reps), "id"), "prefixes")
+    return _verified(materialize(_met(rows, threshold, F.col("early")), "candidates"), reps, threshold)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -112,7 +138,9 @@ def bucket_similar(reps: DataFrame, family: MinHash, threshold: float, prefix: i
     default the whole code, and the chance that a pair so similar is missed."""
     prefix = family.depth if prefix is None else prefix
     reps = materialize(reps, "sets")
-    near = _verified(prefix_pairs(materialize(family.codes(reps), "codes"), prefix), reps, threshold)
+    keys = family.codes(reps).select(F.col("vec_id").alias("id"), F.xxhash64("rep", prefix_of("code", prefix)).alias("key"))
+    rows = materialize(keys.join(bitmaps(reps), "id"), "codes")
+    near = _verified(materialize(_met(rows, threshold), "candidates"), reps, threshold)
     return near.withColumn("fail", family.failure(F.col("w"), prefix))
 
 
