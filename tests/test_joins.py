@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from graftline.operators import sets
+from graftline.operators.msf import forest, msf
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +40,12 @@ def test_few_pairs_leave_the_join(words, monkeypatch):
     reps, _, alike = words
     want = sum(s >= 0.5 for s in alike.values())
     assert sets.similar(reps, 0.5).count() == want and checked[0] <= 2 * want
+
+
+def test_forest_of_similar_words(words):
+    reps, _, alike = words
+    pairs = [(i, j, 1 - s) for (i, j), s in alike.items() if s >= 0.5 - 1e-9]
+    i, j, w = (np.array(c) for c in zip(*pairs, strict=True))
+    keep = forest(i, j, np.round(w, 12))
+    got = msf(sets.similar(reps, 0.5)).collect()
+    assert len(got) == len(keep) and sum(r.w for r in got) == pytest.approx(w[keep].sum())
