@@ -49,3 +49,14 @@ def test_forest_of_similar_words(words):
     keep = forest(i, j, np.round(w, 12))
     got = msf(sets.similar(reps, 0.5)).collect()
     assert len(got) == len(keep) and sum(r.w for r in got) == pytest.approx(w[keep].sum())
+
+
+def test_few_pairs_leave_the_buckets(words, monkeypatch):
+    checked = []
+    real = sets._verified
+    monkeypatch.setattr(sets, "_verified", lambda pairs, *rest: checked.append(pairs.count()) or real(pairs, *rest))
+    reps, _, alike = words
+    want = {p for p, s in alike.items() if s >= 0.5 - 1e-9}
+    # at prefix 0 all sets share a bucket
+    got = {(r.i, r.j) for r in sets.bucket_similar(reps, sets.MinHash(2, 2), 0.5, 0).collect()}
+    assert got == want and checked[0] <= 2 * len(want)
