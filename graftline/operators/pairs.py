@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from graftline.functions.vectors import Metric, metric, prepare
 from graftline.operators import near
 from graftline.operators.msf import EDGE, msf
-from graftline.session import parallelism
+from graftline.session import materialize, parallelism
 
 TILE_ROWS = 8192
 LEAST_ROWS = 256
@@ -96,9 +96,59 @@ def all_pairs(points: DataFrame, name: str, tile_rows: int | None = None) -> Dat
     return tiled(points, lambda lo, hi, t: _edges(list(_pair_rows(lo, hi, t, m))), EDGE, tile_rows)
 
 
+def _cells(points: DataFrame, reach: float) -> DataFrame:
+    """``vec_id, rep, code``: cells of three projections of the rows at length 1, so wide that rows within ``reach`` share one: a row
+    so near the upper side of its cell that it may reach over is also in the next."""
+    width = 8 * reach
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column("vec_id").to_numpy(), prepare(matrix(b.column("embedding")), metric("cosine"))
+            sides = np.linalg.qr(np.random.default_rng(11).standard_normal((x.shape[1], min(3, x.shape[1]))))[0]
+            at = x @ sides / width
+            cell = np.floor(at).astype(np.int64)
+            over = at - cell >= 1 - reach / width - 1e-6
+            for up in np.ndindex(*(2,) * cell.shape[1]):
+                rows = np.flatnonzero((over | (np.array(up) == 0)).all(axis=1))
+                code = (cell[rows] + np.array(up)).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * cell.shape[1], pa.int32()), pa.array(code, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(np.zeros(len(rows)), pa.int32()), lists], names=["vec_id", "rep", "code"])
+
+    vectors = points.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return vectors.mapInArrow(run, "vec_id long, rep int, code array<long>")
+
+
+def _closest_in_cells(points: DataFrame, k: int, digits: int | None) -> DataFrame | None:
+    """The ``k`` closest pairs under the cosine metric if they are so close that few rows share a cell, else None.
+
+    Rows at length 1 and cosine distance w are sqrt(2 w) apart, and no projection is further. So pairs up to a limit all share
+    a cell; the pairs found are the closest if the k-th is within the limit.
+    """
+    from graftline.operators.buckets import bucket_closest
+    from graftline.operators.candidates import level_load
+
+    n, limit = points.count(), 0.0
+    slack = 1e-12 if digits is None else 10.0**-digits
+    while limit < 0.1:
+        cells = materialize(_cells(points, math.sqrt(2 * (limit + slack)) + 1e-9), "cells")
+        if level_load(cells, 3) > n * (n - 1) // 32:
+            return None
+        found = materialize(bucket_closest(cells, points, 3, "cosine", k, digits), "closest")
+        row = found.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).first()
+        if row.n == k and row.w <= limit:
+            return found.orderBy("w", "i", "j")
+        limit = row.w if row.n == k else max(100 * limit, 1e-6)
+    return None
+
+
 def closest_pairs(points: DataFrame, name: str, k: int, tile_rows: int | None = None, digits: int | None = None) -> DataFrame:
-    """The ``k`` closest pairs by (w, i, j); a task passes on at most ``k``. With ``digits`` weights are rounded first."""
+    """The ``k`` closest pairs by (w, i, j); a task passes on at most ``k``. With ``digits`` weights are rounded first. Where the
+    closest are as near as copies under the cosine metric, only rows that share a cell are compared."""
     m = metric(name)
+    if m.name == "cosine" and not tile_rows and (found := _closest_in_cells(points, k, digits)) is not None:
+        return found
 
     def run(lo: int, hi: int, t: pa.Table) -> pa.Table:
         ids, tile, x = _ordered(t, m)
