@@ -164,13 +164,18 @@ def minhash_factors(repetitions: int, depth: int, seed: int) -> list[tuple[int,
     return [(int(a), int(b)) for a, b in drawn]
 
 
+def token_number(token: Column) -> Column:
+    """The first 15 hex digits of the token's md5 as a number, the same in any engine."""
+    return F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("long")
+
+
 def minhash_codes(sets: DataFrame, repetitions: int, depth: int, seed: int = 42, set_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """``<set_id>, rep, code`` for sets of strings: a symbol is the least seeded hash of the set's tokens.
 
     A token is hashed once, to the first 15 hex digits of its md5 modulo ``PRIME``, the same in any engine; the hashes
     of the symbols are linear in that. Empty sets have no code.
     """
-    number = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long") % F.lit(PRIME))
+    number = F.transform(tokens, lambda t: token_number(t) % F.lit(PRIME))
     factors = minhash_factors(repetitions, depth, seed)
     some = sets.filter(F.size(tokens) > 0).select(set_id, number.alias("numbers"))
     schema = T.StructType([some.schema[set_id], T.StructField("rep", T.IntegerType()), T.StructField("code", T.ArrayType(T.LongType()))])

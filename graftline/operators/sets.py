@@ -5,6 +5,7 @@ exact: with the tokens of every set ordered from rare to frequent, two sets of s
 the first ``n - ceil(t * n) + 1`` tokens, so only those are joined on, and sizes must agree within t. Of the smaller set the
 first ``n - ceil(2t / (1 + t) * n) + 1`` are enough. Every joined row has a bitmap of its set's tokens: two sets differ in at least
 as many tokens as their bitmaps in bits, so pairs that differ too much end in the join, and few are left to be compared by tokens.
+The join by buckets runs in tiles (``settiles``), which need a number for each token; should two tokens share one, Spark joins the rows instead.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions.families import minhash_codes
 from graftline.functions.probability import failure, minhash_collision
+from graftline.operators import settiles
 from graftline.operators.candidates import prefix_of
 from graftline.session import materialize
 
@@ -52,8 +54,7 @@ def classes(sets: DataFrame, set_id: str = "doc_id", tokens: str = "tokens") ->
     """``reps(id, tokens)``, one of each set that isn't empty, and ``membership(<set_id>, rep)``."""
     full = sets.filter(F.size(tokens) > 0).select(F.col(set_id).alias("id"), F.col(tokens).alias("tokens"), F.sha2(F.array_join(tokens, "\x1f"), 256).alias("digest"))
     heads = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    # ids are unique, so the representative's own row is the only one of that id
-    reps = full.join(heads, (full["digest"] == heads["digest"]) & (full["id"] == heads["rep"])).select("id", "tokens")
+    reps = full.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens")).select("id", "tokens")
     membership = full.select("id", "digest").join(heads, "digest").select(F.col("id").alias(set_id), "rep")
     return reps, membership
 
@@ -138,6 +139,10 @@ def bucket_similar(reps: DataFrame, family: MinHash, threshold: float, prefix: i
     default the whole code, and the chance that a pair so similar is missed."""
     prefix = family.depth if prefix is None else prefix
     reps = materialize(reps, "sets")
+    if settiles.distinct_numbers(reps):
+        repetitions, depth, seed = family.repetitions, family.depth, family.seed
+        near = settiles.joined(reps, threshold, lambda sets: settiles.bucket_keys(sets, repetitions, depth, seed, prefix))
+        return near.withColumn("fail", family.failure(F.col("w"), prefix))
     keys = family.codes(reps).select(F.col("vec_id").alias("id"), F.xxhash64("rep", prefix_of("code", prefix)).alias("key"))
     rows = materialize(keys.join(bitmaps(reps), "id"), "codes")
     near = _verified(materialize(_met(rows, threshold), "candidates"), reps, threshold)

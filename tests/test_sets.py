@@ -1,9 +1,13 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graftline.operators import sets
+from graftline.operators import sets, settiles
 from graftline.operators.diagnostics import histogram, recall_over_runs
+from graftline.operators.msf import forest, msf
+from graftline.session import materialize
 
 
 def jaccard(a, b):
@@ -58,3 +62,41 @@ def test_minhash_buckets_find_similar_sets(spark, monkeypatch):
     assert {(x.i, x.j) for x in found} <= want and len(found) >= 0.95 * len(want)
     assert all(0 <= x.fail < 0.05 for x in found)
     assert sets.bucket_similar(reps.limit(0), sets.MinHash(2, 2), 0.7).count() == 0
+
+
+def alike(n=240):
+    r = random.Random(7)
+    base = [[str(r.randrange(500)) for _ in range(r.randint(1, 40))] for _ in range(25)]
+    return [(k, sorted(set(r.choice(base)) ^ {str(r.randrange(500)) for _ in range(r.randint(0, 5))} | {"common"})) for k in range(n)]
+
+
+@pytest.fixture
+def in_tiles(monkeypatch):
+    """Small blocks and parts, and the names of the tables that are written."""
+    for name, value in (("FEW", 20), ("LIST", 50), ("HELD", 100), ("TOKENS", 300)):
+        monkeypatch.setattr(settiles, name, value)
+    written = []
+    monkeypatch.setattr(sets, "materialize", lambda df, name: (written.append(name), materialize(df, name))[1])
+    return written
+
+
+@pytest.mark.parametrize("prefix", [0, 2, 3])
+def test_bucket_pairs_in_tiles_write_no_pairs(spark, in_tiles, prefix):
+    data = alike()
+    reps = spark.createDataFrame(data, "id long, tokens array<string>")
+    family = sets.MinHash(5, 3)
+    code = {(x.vec_id, x.rep): tuple(x.code[:prefix]) for x in family.codes(reps).collect()}
+    met = {(i, j) for i, _ in data for j, _ in data if i < j and any(code[i, k] == code[j, k] for k in range(5))}
+    want = {(i, j) for i, a in data for j, b in data if (i, j) in met and jaccard(set(a), set(b)) >= 0.5}
+    got = sets.bucket_similar(reps, family, 0.5, prefix).collect()
+    assert len(got) == len(want) and {(x.i, x.j) for x in got} == want
+    assert in_tiles == ["sets"]
+
+
+def test_tokens_of_one_number_are_told_apart(spark, in_tiles, monkeypatch):
+    data = alike(80)
+    reps = spark.createDataFrame(data, "id long, tokens array<string>")
+    want = {(x.i, x.j) for x in sets.similar(reps, 0.5).collect()}, {(x.i, x.j) for x in sets.bucket_similar(reps, sets.MinHash(5, 3), 0.5).collect()}
+    monkeypatch.setattr(settiles, "token_number", lambda t: F.length(t).cast("long"))
+    assert not settiles.distinct_numbers(reps)
+    assert ({(x.i, x.j) for x in sets.similar(reps, 0.5).collect()}, {(x.i, x.j) for x in sets.bucket_similar(reps, sets.MinHash(5, 3), 0.5).collect()}) == want
