@@ -5,7 +5,7 @@ exact: with the tokens of every set ordered from rare to frequent, two sets of s
 the first ``n - ceil(t * n) + 1`` tokens, so only those are joined on, and sizes must agree within t. Of the smaller set the
 first ``n - ceil(2t / (1 + t) * n) + 1`` are enough. Every joined row has a bitmap of its set's tokens: two sets differ in at least
 as many tokens as their bitmaps in bits, so pairs that differ too much end in the join, and few are left to be compared by tokens.
-The join by buckets runs in tiles (``settiles``), which need a number for each token; should two tokens share one, Spark joins the rows instead.
+Both joins run in tiles (``settiles``), which need a number for each token; should two tokens share one, Spark joins the rows instead.
 """
 
 from __future__ import annotations
@@ -100,6 +100,8 @@ def similar(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be in (0, 1]")
     reps = materialize(reps, "sets")
+    if settiles.distinct_numbers(reps):
+        return settiles.joined(reps, threshold, lambda sets: settiles.prefix_keys(sets, threshold))
     first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     fewer = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
     head = _ranked(reps).filter(F.col("place") <= first).select("id", F.col("token").alias("key"), (F.col("place") <= fewer).alias("early"))

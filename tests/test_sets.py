@@ -80,6 +80,19 @@ def in_tiles(monkeypatch):
     return written
 
 
+def test_forest_of_sets_in_tiles_writes_no_pairs(spark, in_tiles):
+    data = alike()
+    reps = spark.createDataFrame(data, "id long, tokens array<string>")
+    want = {(i, j): 1 - jaccard(set(a), set(b)) for i, a in data for j, b in data if i < j and jaccard(set(a), set(b)) >= 0.5}
+    got = sets.similar(reps, 0.5).toPandas()
+    assert len(got) == len(want) > 500 and {(i, j): w for i, j, w in zip(got.i, got.j, got.w, strict=True)} == pytest.approx(want)
+    keys = sorted((w, i, j) for (i, j), w in want.items())
+    i, j, w = (np.array(c) for c in ([k[1] for k in keys], [k[2] for k in keys], [k[0] for k in keys]))
+    tree = msf(sets.similar(reps, 0.5)).toPandas()
+    assert set(zip(tree.i, tree.j, strict=True)) == {(i[k], j[k]) for k in forest(i, j, w)}
+    assert set(in_tiles) == {"sets"}
+
+
 @pytest.mark.parametrize("prefix", [0, 2, 3])
 def test_bucket_pairs_in_tiles_write_no_pairs(spark, in_tiles, prefix):
     data = alike()
